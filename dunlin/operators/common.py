@@ -24,13 +24,20 @@ from ..sources.periods import AS_OF, KEY, PE, PS, Periods
 from ..sources.tables import Tables
 
 DIM_BROADCAST_ROWS = 100_000
+_BOUNDED: dict = {}
 
 
-def bounded_broadcast(df: DataFrame, limit: int = DIM_BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, limit: int = DIM_BROADCAST_ROWS, key=None) -> DataFrame:
     """Broadcast ``df`` only if it provably has at most ``limit`` rows (one
-    cheap ``LIMIT limit+1`` count); otherwise leave the join to the planner."""
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
+    cheap ``LIMIT limit+1`` count, remembered per ``key``); otherwise leave
+    the join to the planner (AQE still broadcasts if runtime stats are small)."""
+    if key is not None and key in _BOUNDED:
+        small = _BOUNDED[key]
+    else:
+        small = df.limit(limit + 1).count() <= limit
+        if key is not None:
+            _BOUNDED[key] = small
+    return F.broadcast(df) if small else df
 
 
 def campaigns(t: Tables, references, subcategory: str | None = None) -> DataFrame:
@@ -41,7 +48,7 @@ def campaigns(t: Tables, references, subcategory: str | None = None) -> DataFram
     if subcategory is not None:
         cm = cm.filter(F.col("subcategory") == subcategory)
     cm = cm.select(F.upper("campaign").alias("campaign_u"), "reference").distinct()
-    return bounded_broadcast(cm)
+    return bounded_broadcast(cm, key=(id(t.campaign_master), tuple(references), subcategory))
 
 
 def calls_in_periods(t: Tables, periods: Periods, references, subcategory=None,
@@ -119,8 +126,10 @@ def active_contact(t: Tables) -> DataFrame:
 def loan_phone(t: Tables) -> DataFrame:
     """loan_account -> customer's earliest active phone key (inner: loans
     without an active contact drop out, as ``cd.rnk = 1`` in WHERE does)."""
-    lm = t.loan_master.select("loan_account", "customer_id")
-    return lm.join(active_contact(t), "customer_id").select("loan_account", "customer_id", "phone10")
+    def build():
+        lm = t.loan_master.select("loan_account", "customer_id")
+        return lm.join(active_contact(t), "customer_id").select("loan_account", "customer_id", "phone10")
+    return t.shared(("loan_phone",), build)
 
 
 def snapshot_in_periods(t: Tables, periods: Periods, day: str = "any") -> DataFrame:
@@ -130,14 +139,17 @@ def snapshot_in_periods(t: Tables, periods: Periods, day: str = "any") -> DataFr
     ``'start'`` / ``'end'``: only ``bucket_date = period start / end``."""
     spark = t.calls.sparkSession
     bf = t.bucket_flow
-    if day == "any":
-        return bf.filter(periods.date_bounds("bucket_date")).join(
-            periods.calendar(spark).withColumnRenamed("day", "bucket_date"), "bucket_date")
-    col = PS if day == "start" else PE
-    fr = periods.frame(spark)
-    days = sorted({s if day == "start" else e for s, e, _ in periods.spans})
-    return (bf.filter(F.col("bucket_date").isin(days))
-              .join(fr, bf["bucket_date"] == fr[col]))
+
+    def build():
+        if day == "any":
+            return bf.filter(periods.date_bounds("bucket_date")).join(
+                periods.calendar(spark).withColumnRenamed("day", "bucket_date"), "bucket_date")
+        col = PS if day == "start" else PE
+        fr = periods.frame(spark)
+        days = sorted({s if day == "start" else e for s, e, _ in periods.spans})
+        return (bf.filter(F.col("bucket_date").isin(days))
+                  .join(fr, bf["bucket_date"] == fr[col]))
+    return t.shared(("snapshot", periods, day), build)
 
 
 def bucket_phones(t: Tables, periods: Periods, lo: int, hi: int, membership: str = "any",

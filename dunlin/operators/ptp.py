@@ -56,6 +56,10 @@ def paid_loans(t: Tables, periods: Periods) -> DataFrame:
 
 
 def ptp_flags(t: Tables, periods: Periods, bucket: int) -> DataFrame:
+    return t.shared(("ptp_flags", periods, bucket), lambda: _ptp_flags(t, periods, bucket))
+
+
+def _ptp_flags(t: Tables, periods: Periods, bucket: int) -> DataFrame:
     """Per bucket row: the phone-valued flags of the reference
     (``ptp_received``, ``Kept_ptp``, ``Normalized``, ``Normalizedwithoutptp``,
     ``Normalized_greg``, ``Normalized_greg_denominator``,
@@ -145,7 +149,7 @@ def ptp_payments_by_bucket(t: Tables, periods: Periods) -> DataFrame:
     pay = ptp_payments(t, periods)
     parts = []
     for b in (1, 2):
-        loans = _bucket_rows(t, periods, b).select(*KEY, "loan_account").distinct()
+        loans = ptp_flags(t, periods, b).select(*KEY, "loan_account").distinct()
         parts.append(loans.join(pay, KEY + ["loan_account"], "left")
                      .groupBy(*KEY).agg(F.sum("ptpamount").cast("double").alias(f"bucket{b}ptppmt")))
     agg = parts[0].join(parts[1], KEY, "full")

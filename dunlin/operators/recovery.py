@@ -38,6 +38,10 @@ def overdue_base(t: Tables, periods: Periods, by_bucket: bool = True) -> DataFra
 
 
 def payment_base(t: Tables, periods: Periods) -> DataFrame:
+    return t.shared(("payment_base", periods), lambda: _payment_base(t, periods))
+
+
+def _payment_base(t: Tables, periods: Periods) -> DataFrame:
     """Per (period, loan): payments on ever-delinquent instalments whose last
     payment date falls in the period, split into normalised (no longer
     delinquent) and still delinquent.  The ``_cnt`` columns count

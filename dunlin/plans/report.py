@@ -89,10 +89,12 @@ def kpi_frames(t: Tables, periods: Periods, rules: Rules = DEFAULT) -> list[Data
     ]
 
 
-def kpi_report(t: Tables, periods: Periods, rules: Rules = DEFAULT) -> DataFrame:
+def kpi_report(t: Tables, periods: Periods, rules: Rules = DEFAULT, reuse: bool = False) -> DataFrame:
     """One row per period with every KPI of the latest report version, typed
     (counts BIGINT, rates and amounts DOUBLE, dates DATE)."""
     spark = t.calls.sparkSession
+    if reuse and t.memo is None:
+        t = t.reusing()
     out = periods.frame(spark).drop(AS_OF)
     for f in kpi_frames(t, periods, rules):
         out = out.join(F.broadcast(f), KEY, "left")

@@ -25,6 +25,7 @@ KEY = [PS, PE]
 # A calendar of up to this many (period, day) rows is broadcast; beyond it the
 # range join falls back to a shuffled equi-join on the day key.
 BROADCAST_CALENDAR_ROWS = 2_000_000
+_FRAMES: dict = {}
 
 
 def _date(x) -> _dt.date:
@@ -70,28 +71,28 @@ class Periods:
     def n_days(self) -> int:
         return sum(max(0, (e - s).days + 1) for s, e, _ in self.spans)
 
-    _SCHEMA = T.StructType([
-        T.StructField(PS, T.DateType(), False),
-        T.StructField(PE, T.DateType(), False),
-        T.StructField(AS_OF, T.DateType(), False),
-    ])
+    def _values_sql(self) -> str:
+        rows = ", ".join(f"(DATE'{s}', DATE'{e}', DATE'{a}')" for s, e, a in self.spans)
+        return f"SELECT * FROM VALUES {rows} AS p({PS}, {PE}, {AS_OF})"
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """N-row period frame; broadcast (N is the length of a driver-side list)."""
-        return F.broadcast(spark.createDataFrame(list(self.spans), self._SCHEMA))
+        """N-row period frame (a local relation, broadcast: N is the length of
+        a driver-side list)."""
+        key = ("frame", id(spark), self)
+        if key not in _FRAMES:
+            _FRAMES[key] = F.broadcast(spark.sql(self._values_sql()))
+        return _FRAMES[key]
 
     def calendar(self, spark: SparkSession) -> DataFrame:
         """One row per (period, day in period): turns ``date(x) BETWEEN start AND
         end`` into an equi-join on ``day``.  An inverted period yields no days."""
-        rows = []
-        for s, e, a in self.spans:
-            d = s
-            while d <= e:
-                rows.append((s, e, a, d))
-                d += _dt.timedelta(days=1)
-        schema = T.StructType(self._SCHEMA.fields + [T.StructField("day", T.DateType(), False)])
-        cal = spark.createDataFrame(rows, schema)
-        return F.broadcast(cal) if len(rows) <= BROADCAST_CALENDAR_ROWS else cal
+        key = ("calendar", id(spark), self)
+        if key not in _FRAMES:
+            cal = spark.sql(
+                f"SELECT {PS}, {PE}, {AS_OF}, explode(sequence({PS}, {PE}, INTERVAL 1 DAY)) AS day "
+                f"FROM ({self._values_sql()}) WHERE {PS} <= {PE}")
+            _FRAMES[key] = F.broadcast(cal) if self.n_days <= BROADCAST_CALENDAR_ROWS else cal
+        return _FRAMES[key]
 
     # ---- pushdown helpers: literal bounds of the whole list --------------
     def ts_bounds(self, col: str):

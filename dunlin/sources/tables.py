@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, field, fields, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schema as S
@@ -26,9 +27,32 @@ class Tables:
     bucket_flow: DataFrame
     installments: DataFrame
     ptp: DataFrame
+    # Opt-in reuse of intermediate results shared by several KPIs (see
+    # :meth:`reusing`); not part of the table identity.
+    memo: dict | None = field(default=None, compare=False, repr=False)
 
     def names(self) -> list[str]:
-        return [f.name for f in fields(self)]
+        return [f.name for f in fields(self) if f.name != "memo"]
+
+    def reusing(self) -> "Tables":
+        """A copy whose shared intermediates (period slices of the snapshot,
+        loan -> phone map, payment bases) are built once and persisted
+        (MEMORY_AND_DISK; recomputed from lineage if an executor is lost).
+        Call :meth:`release` when the results have been collected or written."""
+        return replace(self, memo={})
+
+    def shared(self, key, build):
+        if self.memo is None:
+            return build()
+        if key not in self.memo:
+            self.memo[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+        return self.memo[key]
+
+    def release(self) -> None:
+        for df in (self.memo or {}).values():
+            df.unpersist()
+        if self.memo is not None:
+            self.memo.clear()
 
     def with_(self, **kw) -> "Tables":
         return replace(self, **kw)
