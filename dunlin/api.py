@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import contact, migration, ptp, recovery, staffing
-from .plans import report
+from .functions.keys import dpd_bucket, dpd_bucket_label, legacy_bucket, legacy_bucket_label, phone10
+from .plans import report, trends, ytd
 from .sources.derived import from_testdata
 from .sources.periods import Periods
 
@@ -70,5 +71,39 @@ def registered_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "weekly_kpi_report_weeks": _q(report.weekly_kpi_report, WEEKS),
         "monthly_kpi_report": _q(report.monthly_kpi_report, MONTH),
     }
+    q.update({
+        "kpi_report_v5": _q(report.kpi_report_v5, MAIN),
+        "kpi_report_v4": _q(report.kpi_report_v4, MAIN),
+        "kpi_v4_compat": _q(report.kpi_v4_compat, MAIN),
+        "bucket_transitions": _q(lambda t, p: migration.bucket_transitions(t, p, 1), MAIN),
+        "bucket_transitions_2": _q(lambda t, p: migration.bucket_transitions(t, p, 2), MAIN),
+        "bucket_transitions_multi": _q(lambda t, p: migration.bucket_transitions(t, p, 1), WEEKS),
+        "active_loans_of_called": _q(migration.called_customers_loans, MAIN),
+        "ptp_with_dpd": _q(ptp.ptp_with_dpd, MAIN),
+        "kpi_trends": _q(lambda t, p: trends.kpi_trends(report.kpi_report(t, p)), WEEKS),
+        "ytd_from_monthend": _q(_ytd_weeks, WEEKS),
+        "yearly_from_monthly": _q(lambda t, p: ytd.yearly_from_monthly(report.kpi_v4_compat(t, p), t), WEEKS),
+        "dpd_bins": _dpd_bins,
+    })
     q.update(_REGISTRY)
     return q
+
+
+def _ytd_weeks(t, p):
+    """Weeks 1-3 as the month-end history, week 4 as the newest period."""
+    rows = ytd.monthend_rows(report.kpi_report(t, p))
+    last = p.spans[-1][0]
+    hist = rows.filter(rows["period_start"] < last)
+    new = rows.filter(rows["period_start"] >= last)
+    return ytd.ytd_from_monthend(hist, new)
+
+
+def _dpd_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DPD bin primitives (9-way label/number, legacy label/number) and the
+    phone key, counted over the whole snapshot."""
+    t = from_testdata(spark, sf_dir)
+    from pyspark.sql import functions as F
+    b = t.bucket_flow
+    return (b.groupBy(dpd_bucket_label("max_dpd").alias("bucketbin"), dpd_bucket("max_dpd").alias("bucket"),
+                      legacy_bucket_label("max_dpd").alias("legacybucket"), legacy_bucket("max_dpd").alias("numbucket"))
+             .agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("loan_account").alias("n_loans")))

@@ -48,15 +48,14 @@ def bucket_normalization(t: Tables, periods: Periods, bucket: int, rules: Rules
     return agg.withColumn(rate, safe_div(num, den))
 
 
-def bucket_transitions(t: Tables, periods: Periods, active_statuses_like=("%Nor%", "%In%")) -> DataFrame:
-    """Loan-level start/end legacy bucket per period for loans of customers
-    called in the period (any campaign), keyed by the called number.
-
-    called phone -> customers whose *any* active number has that key (no
-    earliest-number filter: fans out to every customer sharing it) -> their
-    open loans (status LIKE '%Nor%' / '%In%' / NULL) -> start-day snapshot
-    (inner) and end-day snapshot (left).  ``Normalized`` = loan when start
-    bucket 1 and end bucket 0."""
+def called_customers_loans(t: Tables, periods: Periods, active_statuses_like=("%Nor%", "%In%")) -> DataFrame:
+    """Open loans of customers called in the period (``activeloans``).
+
+    Called phone (any campaign, 10-digit key) -> every customer whose *any*
+    active number has that key (no earliest-number filter, so a shared
+    number fans out to all its customers) -> their loans whose status is LIKE
+    '%Nor%' / '%In%' or NULL.  Columns: period key, MOBILENUMBER,
+    customer_id, loan_account, disbursed_at, flag_disbursement, loan_type."""
     spark = t.calls.sparkSession
     cal = periods.calendar(spark)
     mobi = (t.calls.filter(periods.ts_bounds("call_at"))
@@ -71,10 +70,22 @@ def bucket_transitions(t: Tables, periods: Periods, active_statuses_like=("%Nor%
     for pat in active_statuses_like:
         open_cond = open_cond | st.like(pat)
     open_cond = open_cond | F.coalesce(st, F.lit("NA")).like("NA")
-    open_loans = t.loan_master.filter(open_cond).select("loan_account", "customer_id")
-    active = (mobi.join(cd, "MOBILENUMBER")
-                  .join(open_loans, "customer_id")
-                  .select(*KEY, "MOBILENUMBER", "customer_id", "loan_account"))
+    open_ids = t.loan_master.filter(open_cond).select("loan_account").distinct()
+    loans = (t.loan_master.select("loan_account", "customer_id", "disbursed_at", "flag_disbursement", "loan_type")
+             .join(open_ids, "loan_account", "left_semi"))
+    return (mobi.join(cd, "MOBILENUMBER").join(loans, "customer_id")
+                .select(*KEY, "MOBILENUMBER", "customer_id", "loan_account", "disbursed_at",
+                        "flag_disbursement", "loan_type"))
+
+
+def bucket_transitions(t: Tables, periods: Periods, bucket: int = 1) -> DataFrame:
+    """Loan-level start/end legacy bucket per period for the open loans of
+    called customers (:func:`called_customers_loans`): start-day snapshot
+    (inner) and end-day snapshot (left).  ``Normalized`` = loan when the start
+    bucket is ``bucket`` and the end bucket 0 (a missing end counts as 0).
+    Rows fan out exactly as the reference's joins do (one per called number
+    and customer)."""
+    active = called_customers_loans(t, periods).select(*KEY, "MOBILENUMBER", "customer_id", "loan_account")
     start = (snapshot_in_periods(t, periods, "start")
              .select(*KEY, "loan_account", F.col("max_dpd").alias("s_dpd")))
     end = (snapshot_in_periods(t, periods, "end")
@@ -92,7 +103,7 @@ def bucket_transitions(t: Tables, periods: Periods, active_statuses_like=("%Nor%
     )
     return out.withColumn(
         "Normalized",
-        F.when((F.coalesce("weekstartnumbucket", F.lit(0)) == 1)
+        F.when((F.coalesce("weekstartnumbucket", F.lit(0)) == bucket)
                & (F.coalesce("weekendnumbucket", F.lit(0)) == 0), F.col("loan_account")))
 
 

@@ -154,3 +154,17 @@ def ptp_payments_by_bucket(t: Tables, periods: Periods) -> DataFrame:
                      .groupBy(*KEY).agg(F.sum("ptpamount").cast("double").alias(f"bucket{b}ptppmt")))
     agg = parts[0].join(parts[1], KEY, "full")
     return on_periods(periods, spark, F.broadcast(agg))
+
+
+def ptp_with_dpd(t: Tables, periods: Periods) -> DataFrame:
+    """Promises contacted in the period that have a due date, each with the
+    loan's DPD on the contact day (NULL if no snapshot that day).  The
+    reference's correlated scalar lookup becomes a left join on (loan, day);
+    the snapshot holds one row per (loan, day), so no row is multiplied."""
+    spark = t.calls.sparkSession
+    p = (t.ptp.filter(periods.ts_bounds("contact_date") & F.col("due_date").isNotNull())
+         .withColumn("day", F.to_date("contact_date")).join(periods.calendar(spark).drop("as_of"), "day"))
+    snap = t.bucket_flow.select(F.col("loan_account").alias("_l"), F.col("bucket_date").alias("_d"),
+                                F.col("max_dpd").alias("dpd"))
+    j = p.join(snap, (p["loan_account"] == snap["_l"]) & (p["day"] == snap["_d"]), "left")
+    return j.select(*KEY, "loan_account", "phone", "contact_date", "due_date", "status", "amount", "dpd")

@@ -113,3 +113,36 @@ def monthly_kpi_report(t: Tables, periods: Periods, rules: Rules = DEFAULT) -> D
 def kpi_report_v5(t: Tables, periods: Periods, rules: Rules = DEFAULT) -> DataFrame:
     """The 37-column v5 row (no bucket 3, no per-bucket recovery rates)."""
     return kpi_report(t, periods, rules).select(*V5_COLUMNS)
+
+
+def kpi_report_v4(t: Tables, periods: Periods, rules: Rules | None = None) -> DataFrame:
+    """The single-pass 17-column v4 report: welcome and bucket-1 contact,
+    bucket 1/2 "greg" normalisation on phones (end DPD within the bucket cap
+    and a payment in the period), PTP received/kept/amounts and staffing."""
+    from ..rules import PRESETS
+    from .ytd import V4_COLUMNS
+    rules = rules or PRESETS["v4"]
+    spark = t.calls.sparkSession
+    g = ptp.normalized_via_ptp(t, periods).select(
+        *KEY, F.col("b1_normalized_greg").alias("bucket1normalized_greg"),
+        F.col("b1_normalized_greg_denominator").alias("bucket1normalized_denominator"),
+        F.col("b2_normalized_greg_denominator").alias("bucket2normalized_denominator"),
+        F.col("b2_normalized_greg").alias("bucket2normalized_greg"))
+    frames = [
+        contact.welcome_call_contact_rate(t, periods, rules).select(*KEY, "apc_wc_connected", "wccalled"),
+        contact.bucket_contact_rate(t, periods, 1, rules).select(*KEY, "bucket1contacted", "bucketcallcontacted"),
+        g,
+        ptp.ptp_received_kept(t, periods).select(*KEY, "ptp_received", "kept_ptp"),
+        ptp.ptp_payments_by_bucket(t, periods),
+        staffing.fte(t, periods), staffing.total_accounts(t, periods), staffing.active_works(t, periods),
+    ]
+    out = periods.frame(spark).drop(AS_OF)
+    for f in frames:
+        out = out.join(F.broadcast(f), KEY, "left")
+    return out.select(*V4_COLUMNS)
+
+
+def kpi_v4_compat(t: Tables, periods: Periods, rules: Rules = DEFAULT) -> DataFrame:
+    """Latest report projected to the v4 table layout (K5)."""
+    from .ytd import v4_compat
+    return v4_compat(kpi_report(t, periods, rules))
