@@ -64,7 +64,7 @@ def called_customers_loans(t: Tables, periods: Periods, active_statuses_like=("%
             .distinct())
     cd = (t.contact_details.filter(F.col("active") == "Y")
           .select("customer_id", F.right(F.col("mobile"), F.lit(10)).alias("MOBILENUMBER"))
-          .filter(F.col("customer_id").isNotNull()).distinct())
+          .filter(F.col("customer_id").isNotNull()))
     st = F.col("loan_paid_status")
     open_cond = F.lit(False)
     for pat in active_statuses_like:

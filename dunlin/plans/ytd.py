@@ -123,7 +123,8 @@ def yearly_from_monthly(rows: DataFrame, t: Tables, window=None) -> DataFrame:
         "apc_wc_connected", "wccalled", "bucket1contacted", "bucketcallcontacted", "bucket1normalized_greg",
         "bucket1normalized_denominator", "bucket2normalized_greg", "bucket2normalized_denominator",
         "kept_ptp", "ptp_received", "bucket1ptppmt", "bucket2ptppmt")])
-    days = (yb.select(F.explode(F.sequence("WkstartDate", "WkendDate")).alias("day"))
+    days = (yb.filter(F.col("WkstartDate") <= F.col("WkendDate"))
+              .select(F.explode(F.sequence("WkstartDate", "WkendDate")).alias("day"))
               .filter(F.col("day").isNotNull()).distinct())
     cm = campaigns(t, ["REM", "COLL", "WC"])
     calls = t.calls.join(cm, F.upper(t.calls["campaign"]) == cm["campaign_u"])
