@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import contact, migration, ptp, recovery, staffing
 from .functions.keys import dpd_bucket, dpd_bucket_label, legacy_bucket, legacy_bucket_label, phone10
-from .plans import report, trends, ytd
+from .plans import report, scorecard, trends, ytd
 from .sources.derived import from_testdata
 from .sources.periods import Periods
 
@@ -84,11 +84,32 @@ def registered_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ytd_from_monthend": _q(_ytd_weeks, WEEKS),
         "yearly_from_monthly": _q(lambda t, p: ytd.yearly_from_monthly(report.kpi_v4_compat(t, p), t), WEEKS),
         "dpd_bins": _dpd_bins,
+        "ml_profile": _ml(lambda df: scorecard.ml_profile(df)),
+        "ml_rf_importance": _ml(lambda df: scorecard.ml_rf_importance(df, ML_FEATURES, median_cols=["overdueAmount"],
+                                                                      mean_cols=["loanRequestAmount"])),
+        "ml_select_features": _ml(lambda df: scorecard.ml_select_features(
+            scorecard.ml_rf_importance(df, ML_FEATURES, num_trees=100, median_cols=["overdueAmount"],
+                                       mean_cols=["loanRequestAmount"]))),
+        "ml_classification_report": _ml(lambda df: scorecard.ml_classification_report(
+            df, ML_FEATURES, median_cols=["overdueAmount"], mean_cols=["loanRequestAmount"])),
+        "ml_importance_hist": _ml(lambda df: scorecard.ml_importance_hist(
+            scorecard.ml_rf_importance(df, ML_FEATURES, median_cols=["overdueAmount"], mean_cols=["loanRequestAmount"]))),
     })
     q.update(_REGISTRY)
     return q
 
 
+ML_FEATURES = ["loanRequestAmount", "overdueAmount", "disbursementYear", "purposeDescription", "statusDescription"]
+
+
+def _ml(fn):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = from_testdata(spark, sf_dir)
+        pop = scorecard.ml_population(scorecard.population_from_tables(t, "2024-01-01", "2024-01-31"), ML_FEATURES)
+        return fn(pop)
+    return run
+
+
 def _ytd_weeks(t, p):
     """Weeks 1-3 as the month-end history, week 4 as the newest period."""
     rows = ytd.monthend_rows(report.kpi_report(t, p))

@@ -25,11 +25,22 @@ def monthend_schema() -> T.StructType:
         for c in MONTHEND_COLUMNS])
 
 
-def read_monthend_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Read month-end history CSV(s) in any of the three published layouts:
-    19 columns; 20 with an unnamed leading index; 18 with the index and no
-    reminder-call columns.  Missing columns become NULL; dates stay text
+def read_monthend_csv(spark: SparkSession, path) -> DataFrame:
+    """Read month-end history CSV file(s) in any of the three published
+    layouts: 19 columns; 20 with an unnamed leading index; 18 with the index
+    and no reminder-call columns.  Each file is read with its own header (one
+    reader over mixed layouts would apply the first header to all) and the
+    files are combined by name.  Missing columns become NULL; dates stay text
     (``dd-MM-yyyy``) as in the files, plus parsed ``period_start/period_end``."""
+    paths = [path] if isinstance(path, str) else list(path)
+    out = None
+    for p in paths:
+        one = _read_one(spark, p)
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def _read_one(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("header", "true").csv(path)
     cols = [c for c in raw.columns if c in MONTHEND_COLUMNS]
     typed = monthend_schema()

@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference is batch-only: every entry point is a one-shot report run over
+a period, with no watermark, window, state or late-data logic (SURVEY §2.10).
+Re-running a period is handled by the idempotent period upsert in
+:mod:`dunlin.plans.sinks`; a Structured Streaming job would add an operator the
+reference does not have, so none is built.
+"""
