@@ -47,7 +47,9 @@ def campaigns(t: Tables, references, subcategory: str | None = None) -> DataFram
     cm = t.campaign_master.filter(F.col("reference").isin(list(references)))
     if subcategory is not None:
         cm = cm.filter(F.col("subcategory") == subcategory)
-    cm = cm.select(F.upper("campaign").alias("campaign_u"), "reference").distinct()
+    # no DISTINCT: like the reference's LEFT JOIN, a duplicated campaign row
+    # duplicates legs, which no distinct count or top-1 result can see
+    cm = cm.select(F.upper("campaign").alias("campaign_u"), "reference")
     return bounded_broadcast(cm, key=(id(t.campaign_master), tuple(references), subcategory))
 
 

@@ -89,12 +89,27 @@ def kpi_frames(t: Tables, periods: Periods, rules: Rules = DEFAULT) -> list[Data
     ]
 
 
-def kpi_report(t: Tables, periods: Periods, rules: Rules = DEFAULT, reuse: bool = False) -> DataFrame:
+_REUSED: list[Tables] = []
+
+
+def release_cached() -> None:
+    """Unpersist the intermediates that reports persisted for reuse."""
+    while _REUSED:
+        _REUSED.pop().release()
+
+
+def kpi_report(t: Tables, periods: Periods, rules: Rules = DEFAULT, reuse: bool = True) -> DataFrame:
     """One row per period with every KPI of the latest report version, typed
-    (counts BIGINT, rates and amounts DOUBLE, dates DATE)."""
+    (counts BIGINT, rates and amounts DOUBLE, dates DATE).
+
+    ``reuse``: intermediates shared by several KPIs (snapshot slices,
+    loan -> phone map, payment base, PTP flags) are persisted once
+    (MEMORY_AND_DISK) instead of being recomputed per KPI; call
+    :func:`release_cached` after the rows are written."""
     spark = t.calls.sparkSession
     if reuse and t.memo is None:
         t = t.reusing()
+        _REUSED.append(t)
     out = periods.frame(spark).drop(AS_OF)
     for f in kpi_frames(t, periods, rules):
         out = out.join(F.broadcast(f), KEY, "left")
