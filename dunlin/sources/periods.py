@@ -98,9 +98,11 @@ class Periods:
     def ts_bounds(self, col: str):
         """``col`` within [lo, hi] days, as a half-open range on the raw
         timestamp so Parquet min/max statistics can skip row groups."""
-        lo = _dt.datetime.combine(self.lo, _dt.time())
-        hi = _dt.datetime.combine(self.hi + _dt.timedelta(days=1), _dt.time())
-        return (F.col(col) >= F.lit(lo)) & (F.col(col) < F.lit(hi))
+        # string literals cast in the session time zone, like the columns
+        # they are compared with (constant-folded, so still pushed down)
+        lo = F.lit(f"{self.lo} 00:00:00").cast("timestamp")
+        hi = F.lit(f"{self.hi + _dt.timedelta(days=1)} 00:00:00").cast("timestamp")
+        return (F.col(col) >= lo) & (F.col(col) < hi)
 
     def date_bounds(self, col: str):
         return F.col(col).between(F.lit(self.lo), F.lit(self.hi))
