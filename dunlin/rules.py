@@ -1,6 +1,13 @@
 """Business-rule switches that changed across the reference's report versions
 (SURVEY §2.14).  One implementation, parameterised; each old report is a
-preset.  ``DEFAULT`` is the latest (v5+) rule set."""
+preset.  ``DEFAULT`` is the latest (v5+) rule set.
+
+Wired into the operators: ``disbursed_within_period``, ``welcome_date_filter``
+(welcome/reminder) and ``bucket_membership`` (bucket contact).  Recorded but
+not yet applied by any operator: ``normalized_rule``,
+``bucket2_normalized_cap``, ``end_snapshot_day_before``; the v4 "greg"
+numerators are available as ``ptp_flags``' ``Normalized_greg`` (used by
+``kpi_report_v4``)."""
 
 from __future__ import annotations
 
