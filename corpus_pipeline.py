@@ -9,11 +9,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dunlin.llm import decontam, ngram_join, packing, secret_scan
+from dunlin.llm import decontam, ngram_join, packing, quality, secret_scan
 from dunlin.llm.queries import tokenizer_path
 from dunlin.llm.shared import shared_dir, stored
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id."""
     return ngram_join.deduplicated(docs)
@@ -34,7 +39,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secrets", secrets), ("pack", pack)]
+STAGES = [("quality", good_documents), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secrets", secrets),
+          ("pack", pack)]
 
 # Near-duplicate components, covariance factors and merges of a tokenizer are beyond SQL;
 # tests/llm/test_pipeline.py holds run() against a brute-force version of every stage.
