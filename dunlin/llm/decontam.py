@@ -19,7 +19,7 @@ from dunlin.llm.shared import column, slices, stored, text_buffer
 from dunlin.llm.words import Hasher, U, alnum_words, counts_of
 
 WINDOW = 10
-BLOCK_BYTES = 16_000_000  # benchmark text sent to the tasks at once
+BLOCK_BYTES = 2_000_000  # benchmark text sent to the tasks at once
 
 
 class Tests:
@@ -113,7 +113,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, by: str =
     word inside any occurrence is hit.  spans are the longest verbatim matches:
     item_id, item_word, word, n_words.  Null or wordless texts have no words and no
     matches; repeated rows come out as often as they came in; an empty benchmark hits
-    nothing.  With several blocks, blocks are merged on (partition, row), in one shuffle.
+    nothing.  What several blocks find is merged by a hash of (``by``, text), in one shuffle.
     """
     out = []
     for k, items in _blocks(benchmark):
@@ -125,16 +125,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, by: str =
         both = both.unionByName(x)
     g = stored(both).groupBy("row_key").agg(
         F.first(by).alias(by), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("h"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    return g.select(by, "n_words", F.size("h").cast("long").alias("n_hit"), "items", "spans")
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"),
+        (F.count("*") / len(out)).cast("int").alias("times"))
+    return g.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).select(by, "n_words", F.size("h").cast("long").alias("n_hit"), "items", "spans")
 
 
 def _scan_block(docs: DataFrame, items: list, window: int, by: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(items)  # at most about BLOCK_BYTES
 
     def run(batches):
-        from pyspark import TaskContext
-        task, seen = TaskContext.get().partitionId(), 0
         tests, hasher = Tests(sent.value, window), Hasher(alnum_words())
         for batch in batches:
             data, offs = text_buffer(column(batch, "text"))
@@ -174,12 +173,12 @@ def _scan_block(docs: DataFrame, items: list, window: int, by: str) -> DataFrame
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(set(x)) for x in found], pa.list_(pa.string())),
                      pa.array(spans, pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("word", pa.int64()), ("n_words", pa.int64())]))),
-                     pa.array([f"{task}:{seen + a + r}" for r in range(b - a)]), pa.array(hits, pa.list_(pa.int64()))],
+                     column(batch, "row_key").slice(a, b - a), pa.array(hits, pa.list_(pa.int64()))],
                     [by, "n_words", "n_hit", "items", "spans", "row_key", "hits"])
-            seen += batch.num_rows
 
     kind = dict(docs.dtypes)[by]
-    return docs.select(by, "text").mapInArrow(
+    key = F.concat_ws(":", F.xxhash64(by, "text"), F.xxhash64(F.lit(1), by, "text"))
+    return docs.select(by, "text", key.alias("row_key")).mapInArrow(
         run, f"{by} {kind}, n_words long, n_hit long, items array<string>, spans array<struct<item_id:string,item_word:long,word:long,n_words:long>>, row_key string, hits array<long>")
 
 

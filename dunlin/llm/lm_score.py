@@ -291,8 +291,8 @@ def score(docs: DataFrame, folds: int = 10, states: int = STATES, classes: int =
                 cut = pa.array(np.searchsorted(rr[new], np.arange(b - a + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((task << 40) + seen + np.arange(a, b)), column(batch, "doc_id").slice(a, b - a), column(batch, "held_out").slice(a, b - a),
-                     pa.array(n + 1), pa.array(n_top), pa.array(num), pa.array(logp - den),
-                     pa.ListArray.from_arrays(cut, pa.array(rh[new])), pa.ListArray.from_arrays(cut, pa.array(times))],
+                     pa.array(n + 1, pa.int64()), pa.array(n_top, pa.int64()), pa.array(num, pa.float64()), pa.array(logp - den, pa.float64()),
+                     pa.ListArray.from_arrays(cut, pa.array(rh[new], pa.int64())), pa.ListArray.from_arrays(cut, pa.array(times, pa.int64()))],
                     ["key", "doc_id", "held_out", "n_tokens", "n_top", "num", "rest", "rare", "times"])
             seen += batch.num_rows
 
