@@ -12,26 +12,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import contact, migration, ptp, recovery, staffing
+from .operators import checks, contact, migration, ptp, recovery, staffing
 from .functions.keys import dpd_bucket, dpd_bucket_label, legacy_bucket, legacy_bucket_label, phone10
-from .plans import report, scorecard, trends, ytd
+from .plans import report, scorecard, sinks, trends, ytd
 from .sources.derived import from_testdata
+from .sources.tables import scratch_path
 from .sources.periods import Periods
 
 MAIN = Periods.of(("2024-01-08", "2024-01-14"))
 WEEKS = Periods.of(("2024-01-01", "2024-01-07"), ("2024-01-08", "2024-01-14"),
                    ("2024-01-15", "2024-01-21"), ("2024-01-22", "2024-01-28"))
 MONTH = Periods.of(("2024-01-01", "2024-01-28"))
-
-_REGISTRY: dict[str, Callable] = {}
-
-
-def register(name: str):
-    def deco(fn):
-        _REGISTRY[name] = fn
-        return fn
-    return deco
-
+YEAR = Periods.of(("2024-01-01", "2024-01-31"))  # the year to date: the snapshot ends on 2024-01-31
 
 def _q(fn, periods):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,15 +66,27 @@ def registered_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q.update({
         "kpi_report_v5": _q(report.kpi_report_v5, MAIN),
         "kpi_report_v4": _q(report.kpi_report_v4, MAIN),
+        "kpi_report_v1": _q(report.kpi_report_v1, WEEKS),
+        "kpi_report_v2": _q(report.kpi_report_v2, WEEKS),
+        "kpi_report_v3": _q(report.kpi_report_v3, WEEKS),
+        "yearly_direct": _q(report.yearly_direct, YEAR),
         "kpi_v4_compat": _q(report.kpi_v4_compat, MAIN),
         "bucket_transitions": _q(lambda t, p: migration.bucket_transitions(t, p, 1), MAIN),
         "bucket_transitions_2": _q(lambda t, p: migration.bucket_transitions(t, p, 2), MAIN),
         "bucket_transitions_multi": _q(lambda t, p: migration.bucket_transitions(t, p, 1), WEEKS),
         "active_loans_of_called": _q(migration.called_customers_loans, MAIN),
         "ptp_with_dpd": _q(ptp.ptp_with_dpd, MAIN),
-        "kpi_trends": _q(lambda t, p: trends.kpi_trends(report.kpi_report(t, p)), WEEKS),
+        "kpi_trends": _q(lambda t, p: trends.kpi_trends(_stored(report.kpi_report(t, p))), WEEKS),
         "ytd_from_monthend": _q(_ytd_weeks, WEEKS),
-        "yearly_from_monthly": _q(lambda t, p: ytd.yearly_from_monthly(report.kpi_v4_compat(t, p), t), WEEKS),
+        "yearly_from_monthly": _q(lambda t, p: ytd.yearly_from_monthly(ytd.v4_compat(_stored(report.kpi_report(t, p))), t), WEEKS),
+        "yearly_from_monthly_v2": _q(lambda t, p: ytd.yearly_from_monthly_v2(ytd.v4_compat(_stored(report.kpi_report(t, p))), t), WEEKS),
+        "monthend_table": _q(lambda t, p: ytd.monthend_table(ytd.monthend_rows(_stored(report.kpi_report(t, p)))), WEEKS),
+        "shared_loan_phones": lambda spark, sf_dir: checks.shared_loan_phones(from_testdata(spark, sf_dir)),
+        "loans_called_on_several_numbers": _q(checks.loans_called_on_several_numbers, MAIN),
+        "largest_overdue": lambda spark, sf_dir: checks.largest_overdue(from_testdata(spark, sf_dir), MAIN.lo),
+        "ml_population": _ml(lambda df: df),
+        "ml_onehot": _ml(lambda df: scorecard.ml_onehot(df, ML_FEATURES)),
+        "ml_impute": _ml(lambda df: scorecard.ml_impute(df, ["overdueAmount"], ["loanRequestAmount"])),
         "dpd_bins": _dpd_bins,
         "ml_profile": _ml(lambda df: scorecard.ml_profile(df)),
         "ml_rf_importance": _ml(lambda df: scorecard.ml_rf_importance(df, ML_FEATURES, median_cols=["overdueAmount"],
@@ -95,7 +99,6 @@ def registered_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ml_importance_hist": _ml(lambda df: scorecard.ml_importance_hist(
             scorecard.ml_rf_importance(df, ML_FEATURES, median_cols=["overdueAmount"], mean_cols=["loanRequestAmount"]))),
     })
-    q.update(_REGISTRY)
     return q
 
 
@@ -110,9 +113,16 @@ def _ml(fn):
     return run
 
 
+def _stored(rows: DataFrame) -> DataFrame:
+    """Report rows written to a KPI table (per-period upsert) and read back: what roll-ups work on."""
+    path = scratch_path(rows.sparkSession, "kpi")
+    sinks.upsert_periods(rows, path)
+    return sinks.read_table(rows.sparkSession, path)
+
+
 def _ytd_weeks(t, p):
     """Weeks 1-3 as the month-end history, week 4 as the newest period."""
-    rows = ytd.monthend_rows(report.kpi_report(t, p))
+    rows = ytd.monthend_rows(_stored(report.kpi_report(t, p)))
     last = p.spans[-1][0]
     hist = rows.filter(rows["period_start"] < last)
     new = rows.filter(rows["period_start"] >= last)

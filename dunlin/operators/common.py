@@ -16,6 +16,8 @@ Scale notes (apply to every operator built on these):
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,20 +26,13 @@ from ..sources.periods import AS_OF, KEY, PE, PS, Periods
 from ..sources.tables import Tables
 
 DIM_BROADCAST_ROWS = 100_000
-_BOUNDED: dict = {}
 
 
-def bounded_broadcast(df: DataFrame, limit: int = DIM_BROADCAST_ROWS, key=None) -> DataFrame:
-    """Broadcast ``df`` only if it provably has at most ``limit`` rows (one
-    cheap ``LIMIT limit+1`` count, remembered per ``key``); otherwise leave
+def bounded_broadcast(t: Tables, name: str, df: DataFrame, limit: int = DIM_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df``, rows of table ``name``, only if that table has at most
+    ``limit`` rows (checked once per :class:`Tables` value); otherwise leave
     the join to the planner (AQE still broadcasts if runtime stats are small)."""
-    if key is not None and key in _BOUNDED:
-        small = _BOUNDED[key]
-    else:
-        small = df.limit(limit + 1).count() <= limit
-        if key is not None:
-            _BOUNDED[key] = small
-    return F.broadcast(df) if small else df
+    return F.broadcast(df) if t.at_most(name, limit) else df
 
 
 def campaigns(t: Tables, references, subcategory: str | None = None) -> DataFrame:
@@ -50,18 +45,18 @@ def campaigns(t: Tables, references, subcategory: str | None = None) -> DataFram
     # no DISTINCT: like the reference's LEFT JOIN, a duplicated campaign row
     # duplicates legs, which no distinct count or top-1 result can see
     cm = cm.select(F.upper("campaign").alias("campaign_u"), "reference")
-    return bounded_broadcast(cm, key=(id(t.campaign_master), tuple(references), subcategory))
+    return bounded_broadcast(t, "campaign_master", cm)
 
 
 def calls_in_periods(t: Tables, periods: Periods, references, subcategory=None,
-                     date_filter: bool = True) -> DataFrame:
+                     date_filter: bool = True, phones: DataFrame | None = None) -> DataFrame:
     """Call legs of the given campaign references, attached to every period
     whose day range contains ``date(call_at)``.
 
     Columns: period key, as_of, call_id, call_at, mobile (raw), phone10, apc,
     rpc, ptp (null-defaulted), is_apc (raw), agent, reference.
-    ``date_filter=False`` (yearly welcome calls, v1-v4 welcome) attaches every
-    call to every period instead.
+    ``date_filter=False`` (yearly welcome calls, v1-v2 welcome) attaches a call
+    of any day to every period whose ``phones`` (distinct period key, phone10) hold its number.
     """
     spark = t.calls.sparkSession
     cm = campaigns(t, references, subcategory)
@@ -72,9 +67,12 @@ def calls_in_periods(t: Tables, periods: Periods, references, subcategory=None,
                     .withColumn("day", F.to_date("call_at"))
                     .join(periods.calendar(spark), "day"))
     else:
-        # Legacy rule: the call date is not filtered, so every leg belongs to
-        # every period (one copy per period; the list is a few rows).
-        legs = legs.join(periods.frame(spark), F.lit(True))
+        # Legacy rule: the call date is not filtered.  A leg joins the periods
+        # of its phone only, so it does not fan out to every period.
+        if phones is None:
+            raise ValueError("calls without a date filter need the (period, phone) set they are read for")
+        of = phones.join(periods.frame(spark), KEY).select(*KEY, AS_OF, F.col("phone10").alias("_ph"))
+        legs = legs.join(of, phone10("mobile") == F.col("_ph")).drop("_ph")
     return legs.select(
         *KEY, AS_OF, "call_id", "call_at", "mobile",
         phone10("mobile").alias("phone10"),
@@ -134,38 +132,49 @@ def loan_phone(t: Tables) -> DataFrame:
     return t.shared(("loan_phone",), build)
 
 
-def snapshot_in_periods(t: Tables, periods: Periods, day: str = "any") -> DataFrame:
+def snapshot_in_periods(t: Tables, periods: Periods, day: str = "any", before: int = 0) -> DataFrame:
     """Daily snapshot rows attached to periods.
 
     ``day='any'``: every day of the period (calendar equi-join);
-    ``'start'`` / ``'end'``: only ``bucket_date = period start / end``."""
+    ``'start'`` / ``'end'``: only ``bucket_date = period start / end``, the
+    latter ``before`` days earlier."""
     spark = t.calls.sparkSession
     bf = t.bucket_flow
+    if day == "any":
+        return bf.filter(periods.date_bounds("bucket_date")).join(
+            periods.calendar(spark).withColumnRenamed("day", "bucket_date"), "bucket_date")
+    col = PS if day == "start" else PE
+    fr = periods.frame(spark)
+    days = sorted({s if day == "start" else e - _dt.timedelta(days=before) for s, e, _ in periods.spans})
+    return (bf.filter(F.col("bucket_date").isin(days))
+              .join(fr, F.date_add(bf["bucket_date"], before if day == "end" else 0) == fr[col]))
+
+
+# Bucket -> DPD range.
+BUCKET_RANGES = {1: (1, 30), 2: (31, 60), 3: (61, 90)}
 
+
+def arrears(t: Tables, periods: Periods, membership: str = "any") -> DataFrame:
+    """(period, loan, in_1, in_2, in_3, n_1, n_2): loans In Arrears with the DPD of
+    a bucket on any day of the period (or the start day), first due <= as_of;
+    n_b counts their snapshot rows in the bucket.
+
+    One filtered, column-pruned scan of the snapshot, combined per loan before
+    the shuffle, serves every bucket of the contact and promise KPIs."""
     def build():
-        if day == "any":
-            return bf.filter(periods.date_bounds("bucket_date")).join(
-                periods.calendar(spark).withColumnRenamed("day", "bucket_date"), "bucket_date")
-        col = PS if day == "start" else PE
-        fr = periods.frame(spark)
-        days = sorted({s if day == "start" else e for s, e, _ in periods.spans})
-        return (bf.filter(F.col("bucket_date").isin(days))
-                  .join(fr, bf["bucket_date"] == fr[col]))
-    return t.shared(("snapshot", periods, day), build)
-
-
-def bucket_phones(t: Tables, periods: Periods, lo: int, hi: int, membership: str = "any",
-                  due_filter: bool = True) -> DataFrame:
-    """Distinct (period, phone10) of loans In Arrears with DPD in [lo, hi] on any
-    day of the period (or the start day), first due <= as_of, mapped to the
-    customer's earliest active number.  The latest-snapshot ``rnk = 1`` filter
+        snap = snapshot_in_periods(t, periods, membership).filter(
+            (F.col("loan_status") == "In Arrears") & F.col("max_dpd").between(1, 90) & (F.col("first_due") <= F.col(AS_OF)))
+        return snap.groupBy(*KEY, "loan_account").agg(
+            *(F.max(F.col("max_dpd").between(lo, hi)).alias(f"in_{b}") for b, (lo, hi) in BUCKET_RANGES.items()),
+            *(F.count(F.when(F.col("max_dpd").between(*BUCKET_RANGES[b]), 1)).alias(f"n_{b}") for b in (1, 2)))
+    return t.shared(("arrears", periods, membership), build)
+
+
+def bucket_phones(t: Tables, periods: Periods, bucket: int, membership: str = "any") -> DataFrame:
+    """Distinct (period, phone10) of a bucket's loans (:func:`arrears`), mapped to
+    the customer's earliest active number.  The latest-snapshot ``rnk = 1`` filter
     of the reference does not change the phone set, so it is not applied."""
-    snap = snapshot_in_periods(t, periods, membership)
-    snap = snap.filter((F.col("loan_status") == "In Arrears")
-                       & F.coalesce("max_dpd", F.lit(0)).between(lo, hi))
-    if due_filter:
-        snap = snap.filter(F.col("first_due") <= F.col(AS_OF))
-    loans = snap.select(*KEY, "loan_account").distinct()
+    loans = arrears(t, periods, membership).filter(f"in_{bucket}").select(*KEY, "loan_account")
     return (loans.join(loan_phone(t), "loan_account")
                  .filter(F.col("phone10").isNotNull())
                  .select(*KEY, "phone10").distinct())

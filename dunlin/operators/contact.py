@@ -15,10 +15,12 @@ from .common import (bucket_phones, calls_in_periods, last_leg, on_periods,
 
 def _eligible_calls(t: Tables, periods: Periods, reference: str, rules: Rules) -> DataFrame:
     """Legs of ``reference`` calls to phones of open loans (the ``disb`` CTE)."""
-    legs = calls_in_periods(t, periods, [reference], date_filter=rules.welcome_date_filter)
     if rules.disbursed_within_period:
         ph = open_loan_phones_between(t, periods)
-        return legs.join(ph, KEY + ["phone10"], "left_semi")
+        legs = calls_in_periods(t, periods, [reference], date_filter=rules.welcome_date_filter, phones=ph)
+        return legs.join(ph, KEY + ["phone10"], "left_semi") if rules.welcome_date_filter else legs
+    rules.require(welcome_date_filter=True)
+    legs = calls_in_periods(t, periods, [reference])
     ph = open_loan_phones(t)
     return (legs.join(ph, "phone10")
                 .filter(F.col("first_disb") <= F.col(PE))
@@ -64,11 +66,11 @@ def welcome_call_detail(t: Tables, periods: Periods, rules: Rules = DEFAULT) ->
     )
 
 
-# Bucket number -> (DPD range, call subcategory, output names).
+# Bucket number -> (call subcategory, output names).
 BUCKETS = {
-    1: ((1, 30), "SOFT", ("bucket1contacted", "bucketcallcontacted", "bucket1contactrate")),
-    2: ((31, 60), None, ("bucket2contacted", "bucket2callcontacted", "bucket2contactrate")),
-    3: ((61, 90), "HARD", ("bucket3contacted", "bucket3callcontacted", "bucket3contactrate")),
+    1: ("SOFT", ("bucket1contacted", "bucketcallcontacted", "bucket1contactrate")),
+    2: (None, ("bucket2contacted", "bucket2callcontacted", "bucket2contactrate")),
+    3: ("HARD", ("bucket3contacted", "bucket3callcontacted", "bucket3contactrate")),
 }
 
 
@@ -77,15 +79,18 @@ def bucket_contact_rate(t: Tables, periods: Periods, bucket: int, rules: Rules =
 
     Phones: customers' earliest active numbers of loans In Arrears with DPD in
     the bucket range on any day of the period.  Calls: 'COLL' (with the
-    bucket's subcategory) in the period to those phones; last leg per call.
+    bucket's subcategory) in the period to those phones; last leg per call
+    (under ``rank_before_bucket`` the last leg of all its legs, if to such a phone).
     ``contacted`` counts distinct *raw* numbers with IS_APC = 1, ``called``
     distinct 10-digit keys (as the reference does)."""
     spark = t.calls.sparkSession
-    (lo, hi), sub, (contacted, called, rate) = BUCKETS[bucket]
-    phones = bucket_phones(t, periods, lo, hi, membership=rules.bucket_membership)
+    sub, (contacted, called, rate) = BUCKETS[bucket]
+    phones = bucket_phones(t, periods, bucket, membership=rules.bucket_membership)
     legs = calls_in_periods(t, periods, ["COLL"], sub)
-    legs = legs.join(phones, KEY + ["phone10"], "left_semi")
-    top = last_leg(legs)
+    if rules.rank_before_bucket:
+        top = last_leg(legs).join(phones, KEY + ["phone10"], "left_semi")
+    else:
+        top = last_leg(legs.join(phones, KEY + ["phone10"], "left_semi"))
     agg = top.groupBy(*KEY).agg(
         F.countDistinct(F.when(F.col("is_apc") == 1, F.col("mobile"))).alias(contacted),
         F.countDistinct("phone10").alias(called),

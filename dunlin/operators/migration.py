@@ -37,7 +37,9 @@ def bucket_normalization(t: Tables, periods: Periods, bucket: int, rules: Rules
     """Share of bucket-``n`` loans (on the start day) whose end-day DPD is no
     worse than their start DPD; a loan missing from the end snapshot counts as
     normalised (DPD 0).  Periods without any bucket loan yield no row (GROUP BY
-    semantics of the reference)."""
+    semantics of the reference).  Rules whose numerator is on phones raise:
+    :func:`dunlin.operators.ptp.normalized_via_ptp` has it."""
+    rules.require(normalized_rule="le_start")
     (lo, hi), (num, den, rate) = NORMALIZATION[bucket]
     j = start_end_dpd(t, periods, lo, hi)
     ok = dpd0("end_dpd") <= dpd0("start_dpd")
@@ -70,9 +72,8 @@ def called_customers_loans(t: Tables, periods: Periods, active_statuses_like=("%
     for pat in active_statuses_like:
         open_cond = open_cond | st.like(pat)
     open_cond = open_cond | F.coalesce(st, F.lit("NA")).like("NA")
-    open_ids = t.loan_master.filter(open_cond).select("loan_account").distinct()
-    loans = (t.loan_master.select("loan_account", "customer_id", "disbursed_at", "flag_disbursement", "loan_type")
-             .join(open_ids, "loan_account", "left_semi"))
+    # the loan master holds one row per loan: a filter, not a semi join with itself
+    loans = t.loan_master.filter(open_cond).select("loan_account", "customer_id", "disbursed_at", "flag_disbursement", "loan_type")
     return (mobi.join(cd, "MOBILENUMBER").join(loans, "customer_id")
                 .select(*KEY, "MOBILENUMBER", "customer_id", "loan_account", "disbursed_at",
                         "flag_disbursement", "loan_type"))
@@ -85,21 +86,24 @@ def bucket_transitions(t: Tables, periods: Periods, bucket: int = 1) -> DataFram
     bucket is ``bucket`` and the end bucket 0 (a missing end counts as 0).
     Rows fan out exactly as the reference's joins do (one per called number
     and customer)."""
-    active = called_customers_loans(t, periods).select(*KEY, "MOBILENUMBER", "customer_id", "loan_account")
+    # called numbers per loan once; a loan belongs to one customer, so they are few
+    active = called_customers_loans(t, periods).groupBy(*KEY, "loan_account").agg(
+        F.collect_set(F.struct("MOBILENUMBER", "customer_id")).alias("numbers"))
     start = (snapshot_in_periods(t, periods, "start")
-             .select(*KEY, "loan_account", F.col("max_dpd").alias("s_dpd")))
+             .select(*KEY, "loan_account", F.col("max_dpd").alias("s_dpd")).distinct())
     end = (snapshot_in_periods(t, periods, "end")
-           .select(*KEY, "loan_account", F.col("max_dpd").alias("e_dpd")))
-    ws = active.join(start, KEY + ["loan_account"]).distinct()
-    we = active.join(end, KEY + ["loan_account"]).distinct()
-    s_num, e_num = legacy_bucket("s_dpd"), legacy_bucket("e_dpd")
-    out = ws.alias("s").join(we.alias("e"), KEY + ["loan_account"], "left").select(
+           .select(*KEY, "loan_account", F.col("max_dpd").alias("e_dpd"), F.lit(True).alias("ended")).distinct())
+    both = active.join(start, KEY + ["loan_account"]).join(end, KEY + ["loan_account"], "left")
+    # each number meets every number of the loan that has an end day: k x k rows only here
+    both = both.withColumn("number", F.explode("numbers")).withColumn(
+        "_times", F.explode(F.sequence(F.lit(1), F.when(F.col("ended"), F.size("numbers")).otherwise(1))))
+    out = both.select(
         F.col(PS).alias("weekstartdate"), F.col(PE).alias("weekenddate"),
-        F.col("s.MOBILENUMBER").alias("MOBILENUMBER"), "loan_account",
+        F.col("number.MOBILENUMBER").alias("MOBILENUMBER"), "loan_account",
         legacy_bucket_label("s_dpd").alias("weekstartbucket"),
-        F.when(F.col("e.customer_id").isNotNull(), legacy_bucket_label("e_dpd")).alias("weekendbucket"),
-        s_num.alias("weekstartnumbucket"),
-        F.when(F.col("e.customer_id").isNotNull(), e_num).alias("weekendnumbucket"),
+        F.when(F.col("ended"), legacy_bucket_label("e_dpd")).alias("weekendbucket"),
+        legacy_bucket("s_dpd").alias("weekstartnumbucket"),
+        F.when(F.col("ended"), legacy_bucket("e_dpd")).alias("weekendnumbucket"),
     )
     return out.withColumn(
         "Normalized",

@@ -6,31 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import dpd0, safe_div
-from ..sources.periods import AS_OF, KEY, Periods
+from ..rules import DEFAULT, Rules
+from ..sources.periods import AS_OF, KEY, PE, Periods
 from ..sources.tables import Tables
-from .common import loan_phone, on_periods, snapshot_in_periods
+from .common import arrears, loan_phone, on_periods, snapshot_in_periods
 
-# Bucket -> (DPD range, "greg" end-DPD cap).
-PTP_BUCKETS = {1: ((1, 30), 30), 2: ((31, 60), 60)}
+# Bucket -> end-DPD cap.
+PTP_BUCKETS = {1: 30, 2: 60}
+FLAGS = ["ptp_received", "Kept_ptp", "Normalized", "Normalizedwithoutptp", "Normalized_cnt",
+         "Normalized_cnt_denominator", "Normalizedwithoutptp_cnt"]
 
 
-def _bucket_rows(t: Tables, periods: Periods, bucket: int) -> DataFrame:
-    """Distinct (period, loan, phone10, start_dpd) of loans In Arrears with DPD
-    in the bucket on some day of the period, first due <= as_of, with the
-    customer's earliest active number."""
-    (lo, hi), _ = PTP_BUCKETS[bucket]
-    snap = (snapshot_in_periods(t, periods, "any")
-            .filter((F.col("loan_status") == "In Arrears") & dpd0("max_dpd").between(lo, hi)
-                    & (F.col("first_due") <= F.col(AS_OF))))
-    rows = snap.select(*KEY, "loan_account", F.col("max_dpd").alias("start_dpd")).distinct()
+def _bucket_loans(t: Tables, periods: Periods, bucket: int, rules: Rules) -> DataFrame:
+    """One row per (period, loan) of the bucket: n snapshot rows, the customer's
+    earliest active number."""
+    rows = arrears(t, periods, rules.bucket_membership).filter(f"in_{bucket}").select(
+        *KEY, "loan_account", F.col(f"n_{bucket}").alias("n"))
     return rows.join(loan_phone(t).select("loan_account", "phone10"), "loan_account")
 
 
-def _end_dpd(t: Tables, periods: Periods) -> DataFrame:
+def _end_dpd(t: Tables, periods: Periods, rules: Rules) -> DataFrame:
     """End-day DPD of loans that have an active contact (``buck1end``)."""
-    end = (snapshot_in_periods(t, periods, "end")
-           .filter(F.col("first_due") <= F.col(AS_OF))
-           .select(*KEY, "loan_account", F.col("max_dpd").alias("end_dpd")))
+    early = rules.end_snapshot_day_before
+    end = (snapshot_in_periods(t, periods, "end", before=int(early))
+           .filter(F.col("first_due") <= F.col(PE if early else AS_OF))
+           .select(*KEY, "loan_account", F.col("max_dpd").alias("end_dpd")).distinct())
     return end.join(loan_phone(t).select("loan_account"), "loan_account")
 
 
@@ -55,74 +55,76 @@ def paid_loans(t: Tables, periods: Periods) -> DataFrame:
             .select(*KEY, "loan_account").distinct())
 
 
-def ptp_flags(t: Tables, periods: Periods, bucket: int) -> DataFrame:
-    return t.shared(("ptp_flags", periods, bucket), lambda: _ptp_flags(t, periods, bucket))
+def ptp_flags(t: Tables, periods: Periods, bucket: int, rules: Rules = DEFAULT) -> DataFrame:
+    """Per bucket loan: its phone, end DPD and the phone-valued flags of :data:`FLAGS`."""
+    f = _flags(t, periods, bucket, rules)
+    return f.select(*KEY, "loan_account", "phone10", "end_dpd", *(F.when(F.col(c), F.col("phone10")).alias(c) for c in FLAGS))
 
 
-def _ptp_flags(t: Tables, periods: Periods, bucket: int) -> DataFrame:
-    """Per bucket row: the phone-valued flags of the reference
-    (``ptp_received``, ``Kept_ptp``, ``Normalized``, ``Normalizedwithoutptp``,
-    ``Normalized_greg``, ``Normalized_greg_denominator``,
-    ``Normalizedwithoutptp_greg``).
+def _flags(t: Tables, periods: Periods, bucket: int, rules: Rules) -> DataFrame:
+    """Per bucket loan: its phone, ``n`` snapshot rows, end DPD and the flags of
+    :data:`FLAGS` as booleans (NULL where ``NOT IN`` is unknown).
 
     ``IN (subquery)`` becomes a left join to distinct keys; ``NOT IN`` keeps
     its null-aware meaning: if the kept-PTP set of the period contains a NULL
     loan, every non-match is NULL rather than true."""
-    (lo, hi), cap = PTP_BUCKETS[bucket]
-    rows = _bucket_rows(t, periods, bucket)
-    end = _end_dpd(t, periods)
-    j = rows.join(end, KEY + ["loan_account"], "left")
+    return t.shared(("ptp_flags", periods, bucket, rules), lambda: _build_flags(t, periods, bucket, rules))
+
+
+def _build_flags(t: Tables, periods: Periods, bucket: int, rules: Rules) -> DataFrame:
+    cap = PTP_BUCKETS[bucket]
+    j = _bucket_loans(t, periods, bucket, rules).join(_end_dpd(t, periods, rules), KEY + ["loan_account"], "left")
     kept = kept_loans(t, periods)
     kept_nonnull = kept.filter(F.col("loan_account").isNotNull()).withColumn("_kept", F.lit(True))
     kept_has_null = (kept.groupBy(*KEY)
                      .agg(F.max(F.col("loan_account").isNull().cast("int")).alias("_kn")))
     rec = received_loans(t).filter(F.col("loan_account").isNotNull()).withColumn("_rec", F.lit(True))
-    paid = paid_loans(t, periods).withColumn("_paid", F.lit(True))
     j = (j.join(kept_nonnull, KEY + ["loan_account"], "left")
           .join(F.broadcast(kept_has_null), KEY, "left")
-          .join(rec, "loan_account", "left")
-          .join(paid, KEY + ["loan_account"], "left"))
+          .join(rec, "loan_account", "left"))
+    if rules.normalized_rule in ("le_cap", "kept"):
+        counts = F.lit(rules.normalized_rule == "le_cap")
+    else:
+        paid = paid_loans(t, periods).withColumn("_paid", F.lit(True))
+        j = j.join(paid, KEY + ["loan_account"], "left")
+        counts = F.coalesce("_paid", F.lit(False))
     is_kept = F.coalesce("_kept", F.lit(False))
     # NOT IN: true if no match and the set has no NULL; NULL if no match and a NULL exists.
     not_kept = F.when(is_kept, F.lit(False)).when(F.coalesce("_kn", F.lit(0)) == 1, F.lit(None)).otherwise(F.lit(True))
-    in_b = dpd0("start_dpd").between(lo, hi)
     e = dpd0("end_dpd")
-    ph = F.col("phone10")
-    return j.select(
-        *KEY, "loan_account", "phone10", "start_dpd", "end_dpd",
-        F.when(F.coalesce("_rec", F.lit(False)), ph).alias("ptp_received"),
-        F.when(is_kept, ph).alias("Kept_ptp"),
-        F.when(in_b & (e == 0) & is_kept, ph).alias("Normalized"),
-        F.when(in_b & (e == 0) & not_kept, ph).alias("Normalizedwithoutptp"),
-        F.when(in_b & (e <= cap) & F.coalesce("_paid", F.lit(False)), ph).alias("Normalized_greg"),
-        F.when(in_b, ph).alias("Normalized_greg_denominator"),
-        F.when(in_b & (e <= cap) & not_kept, ph).alias("Normalizedwithoutptp_greg"),
-    )
-
-
-def normalized_via_ptp(t: Tables, periods: Periods) -> DataFrame:
+    well = e <= (rules.bucket2_normalized_cap if bucket == 2 else 0)
+    values = [F.coalesce("_rec", F.lit(False)), is_kept, well & is_kept, well & not_kept,
+              (e <= cap) & counts, F.lit(True), (e <= cap) & not_kept]
+    return j.select(*KEY, "loan_account", "phone10", "n", "end_dpd", *(v.alias(c) for c, v in zip(FLAGS, values)))
+
+
+def _phones_by_flag(flags: DataFrame, names: list[str]) -> DataFrame:
+    """Distinct phones per period for each flag: flags combine per phone, then
+    add up, so several distinct counts need no expanded rows."""
+    per_phone = flags.filter(F.col("phone10").isNotNull()).groupBy(*KEY, "phone10").agg(*(F.max(c).alias(c) for c in names))
+    return per_phone.groupBy(*KEY).agg(*(F.count(F.when(F.col(c), 1)).alias(c) for c in names))
+
+
+def normalized_via_ptp(t: Tables, periods: Periods, rules: Rules = DEFAULT) -> DataFrame:
     """Distinct-phone counts of every flag, for buckets 1 and 2 (one row per period)."""
     spark = t.calls.sparkSession
-    names = ["ptp_received", "Kept_ptp", "Normalized", "Normalizedwithoutptp", "Normalized_greg",
-             "Normalized_greg_denominator", "Normalizedwithoutptp_greg"]
     out = None
     for b in (1, 2):
-        f = ptp_flags(t, periods, b)
-        agg = f.groupBy(*KEY).agg(*[F.countDistinct(n).alias(f"b{b}_{n.lower()}") for n in names])
+        agg = _phones_by_flag(_flags(t, periods, b, rules), FLAGS)
+        agg = agg.select(*KEY, *(F.col(n).alias(f"b{b}_{n.lower()}") for n in FLAGS))
         out = agg if out is None else out.join(agg, KEY, "full")
     cols = [c for c in out.columns if c not in KEY]
     return on_periods(periods, spark, F.broadcast(out), zero_cols=cols)
 
 
-def ptp_received_kept(t: Tables, periods: Periods) -> DataFrame:
+def ptp_received_kept(t: Tables, periods: Periods, rules: Rules = DEFAULT) -> DataFrame:
     """``ptp_received`` / ``kept_ptp``: distinct bucket-1 phones plus distinct
     bucket-2 phones (a phone in both counts twice), and the kept rate."""
     spark = t.calls.sparkSession
     parts = []
     for b in (1, 2):
-        f = ptp_flags(t, periods, b)
-        parts.append(f.groupBy(*KEY).agg(F.countDistinct("ptp_received").alias(f"r{b}"),
-                                         F.countDistinct("Kept_ptp").alias(f"k{b}")))
+        f = _phones_by_flag(_flags(t, periods, b, rules), ["ptp_received", "Kept_ptp"])
+        parts.append(f.select(*KEY, F.col("ptp_received").alias(f"r{b}"), F.col("Kept_ptp").alias(f"k{b}")))
     agg = parts[0].join(parts[1], KEY, "full")
     out = on_periods(periods, spark, F.broadcast(agg), zero_cols=("r1", "r2", "k1", "k2"))
     return out.select(*KEY, (F.col("r1") + F.col("r2")).alias("ptp_received"),
@@ -141,17 +143,25 @@ def ptp_payments(t: Tables, periods: Periods) -> DataFrame:
     return p.groupBy(*KEY, "loan_account").agg(F.sum(amt).alias("ptpamount"))
 
 
-def ptp_payments_by_bucket(t: Tables, periods: Periods) -> DataFrame:
+def ptp_payments_by_bucket(t: Tables, periods: Periods, rules: Rules = DEFAULT) -> DataFrame:
     """``bucket1ptppmt`` / ``bucket2ptppmt``: over the distinct loans of each
     bucket, the sum of their in-period promise payments (NULL if none).
-    Deduplicated on (period, loan) (deviation D-6)."""
+    Deduplicated on (period, loan) (deviation D-6); under ``promise_amounts``
+    'row' a loan counts once per snapshot row, under 'normalized' also only if it
+    normalised with a kept promise (else 0)."""
     spark = t.calls.sparkSession
     pay = ptp_payments(t, periods)
     parts = []
     for b in (1, 2):
-        loans = ptp_flags(t, periods, b).select(*KEY, "loan_account").distinct()
+        f = _flags(t, periods, b, rules)
+        if rules.promise_amounts == "loan":
+            loans, amount = f.select(*KEY, "loan_account").distinct(), F.col("ptpamount")
+        else:
+            loans, amount = f.select(*KEY, "loan_account", "n", "Normalized", "phone10"), F.col("ptpamount") * F.col("n")
+        if rules.promise_amounts == "normalized":
+            amount = F.when(F.col("Normalized") & F.col("phone10").isNotNull(), amount).otherwise(F.lit(0))
         parts.append(loans.join(pay, KEY + ["loan_account"], "left")
-                     .groupBy(*KEY).agg(F.sum("ptpamount").cast("double").alias(f"bucket{b}ptppmt")))
+                     .groupBy(*KEY).agg(F.sum(amount).cast("double").alias(f"bucket{b}ptppmt")))
     agg = parts[0].join(parts[1], KEY, "full")
     return on_periods(periods, spark, F.broadcast(agg))
 
@@ -164,7 +174,11 @@ def ptp_with_dpd(t: Tables, periods: Periods) -> DataFrame:
     spark = t.calls.sparkSession
     p = (t.ptp.filter(periods.ts_bounds("contact_date") & F.col("due_date").isNotNull())
          .withColumn("day", F.to_date("contact_date")).join(periods.calendar(spark).drop("as_of"), "day"))
-    snap = t.bucket_flow.select(F.col("loan_account").alias("_l"), F.col("bucket_date").alias("_d"),
-                                F.col("max_dpd").alias("dpd"))
-    j = p.join(snap, (p["loan_account"] == snap["_l"]) & (p["day"] == snap["_d"]), "left")
-    return j.select(*KEY, "loan_account", "phone", "contact_date", "due_date", "status", "amount", "dpd")
+    # the contact days lie in the periods, so the snapshot scan is bounded too; a
+    # promise without a loan meets nothing and does not travel to the join
+    snap = t.bucket_flow.filter(periods.date_bounds("bucket_date")).select(
+        F.col("loan_account").alias("_l"), F.col("bucket_date").alias("_d"), F.col("max_dpd").alias("dpd"))
+    known, none = p.filter("loan_account is not null"), p.filter("loan_account is null").withColumn("dpd", F.lit(None).cast("int"))
+    j = known.join(snap, (known["loan_account"] == snap["_l"]) & (known["day"] == snap["_d"]), "left")
+    cols = [*KEY, "loan_account", "phone", "contact_date", "due_date", "status", "amount", "dpd"]
+    return j.select(*cols).unionByName(none.select(*cols))

@@ -67,19 +67,20 @@ def _payment_base(t: Tables, periods: Periods) -> DataFrame:
 
 
 def _recovery(t: Tables, periods: Periods, by_bucket: bool) -> DataFrame:
+    # both sides hold one row per loan of a group, so counts are distinct counts
     ob = overdue_base(t, periods, by_bucket)
     pb = payment_base(t, periods).withColumnRenamed("loan_account", "pay_loan")
     j = ob.join(pb, [ob[k] == pb[k] for k in KEY] + [ob["loan_account"] == pb["pay_loan"]], "left") \
           .drop(*[pb[k] for k in KEY])
     keys = [*KEY, "bucket_date"] + (["bucket"] if by_bucket else [])
     agg = j.groupBy(*keys).agg(
-        F.countDistinct("loan_account").alias("cntloanoverdue"),
+        F.count("loan_account").alias("cntloanoverdue"),
         F.sum("totaloutstandingamount").alias("totaloutstandingamount"),
         F.sum("inArearstotaloutstandingamount").alias("inArearstotaloutstandingamount"),
         F.sum("Normaltotaloutstandingamount").alias("Normaltotaloutstandingamount"),
         F.sum("inArearstoTotal_Overdue_Amount").alias("inArearstoTotal_Overdue_Amount"),
         F.sum("NormalTotal_Overdue_Amount").alias("NormalTotal_Overdue_Amount"),
-        F.countDistinct("pay_loan").alias("cnt_loanpaymentsreceived"),
+        F.count("pay_loan").alias("cnt_loanpaymentsreceived"),
         F.max("noofdayspaymentreceived").alias("noofdayspaymentreceived"),
         F.sum("Normalized_cnt").alias("Normalized_cnt"),
         F.sum("Normalized").alias("Normalized"),

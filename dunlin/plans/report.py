@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import safe_div
 from ..operators import contact, migration, ptp, recovery, staffing
-from ..rules import DEFAULT, Rules
+from ..rules import DEFAULT, PRESETS, Rules
 from ..sources.periods import AS_OF, KEY, Periods
 from ..sources.tables import Tables
 
@@ -81,35 +82,24 @@ def kpi_frames(t: Tables, periods: Periods, rules: Rules = DEFAULT) -> list[Data
         recovery.recovery_wide(t, periods),
         total,
         rb,
-        ptp.ptp_received_kept(t, periods),
-        ptp.ptp_payments_by_bucket(t, periods),
+        ptp.ptp_received_kept(t, periods, rules),
+        ptp.ptp_payments_by_bucket(t, periods, rules),
         staffing.fte(t, periods),
         staffing.total_accounts(t, periods),
         staffing.active_works(t, periods),
     ]
 
 
-_REUSED: list[Tables] = []
-
-
-def release_cached() -> None:
-    """Unpersist the intermediates that reports persisted for reuse."""
-    while _REUSED:
-        _REUSED.pop().release()
-
-
-def kpi_report(t: Tables, periods: Periods, rules: Rules = DEFAULT, reuse: bool = True) -> DataFrame:
+def kpi_report(t: Tables, periods: Periods, rules: Rules = DEFAULT) -> DataFrame:
     """One row per period with every KPI of the latest report version, typed
     (counts BIGINT, rates and amounts DOUBLE, dates DATE).
 
-    ``reuse``: intermediates shared by several KPIs (snapshot slices,
-    loan -> phone map, payment base, PTP flags) are persisted once
-    (MEMORY_AND_DISK) instead of being recomputed per KPI; call
-    :func:`release_cached` after the rows are written."""
+    Old versions have layouts and numerators of their own (:func:`kpi_report_v1`
+    to :func:`kpi_report_v4`, :func:`yearly_direct`); their rules raise here.
+    Several KPIs share intermediates: ``with t.reusing() as shared`` keeps them
+    while the rows are written, and releases them."""
+    rules.require(normalized_rule="le_start", promise_amounts="loan", bucket2_normalized_cap=0, end_snapshot_day_before=False)
     spark = t.calls.sparkSession
-    if reuse and t.memo is None:
-        t = t.reusing()
-        _REUSED.append(t)
     out = periods.frame(spark).drop(AS_OF)
     for f in kpi_frames(t, periods, rules):
         out = out.join(F.broadcast(f), KEY, "left")
@@ -130,31 +120,74 @@ def kpi_report_v5(t: Tables, periods: Periods, rules: Rules = DEFAULT) -> DataFr
     return kpi_report(t, periods, rules).select(*V5_COLUMNS)
 
 
+def _side_by_side(periods: Periods, spark, frames: list[DataFrame]) -> DataFrame:
+    """Frames of at most one row per period next to each other, a row for every period."""
+    out = periods.frame(spark).drop(AS_OF)
+    for f in frames:
+        out = out.join(F.broadcast(f), KEY, "left")
+    return out
+
+
+def _counts(t: Tables, periods: Periods, rules: Rules) -> DataFrame:
+    """What the phone-based versions (v1 to v4, yearly) are made of, one row per period."""
+    return _side_by_side(periods, t.calls.sparkSession, [
+        contact.welcome_call_contact_rate(t, periods, rules),
+        contact.bucket_contact_rate(t, periods, 1, rules),
+        ptp.normalized_via_ptp(t, periods, rules),
+        ptp.ptp_payments_by_bucket(t, periods, rules),
+        staffing.fte(t, periods), staffing.total_accounts(t, periods), staffing.active_works(t, periods),
+    ]).withColumn("kept", F.col("b1_kept_ptp") + F.col("b2_kept_ptp")).withColumn(
+        "received", F.col("b1_ptp_received") + F.col("b2_ptp_received")).withColumn(
+        "money", F.col("bucket1ptppmt") + F.col("bucket2ptppmt"))
+
+
+def kpi_report_v1(t: Tables, periods: Periods, rules: Rules | None = None) -> DataFrame:
+    """The v1 row: two contact rates, phones normalised with and without a kept
+    promise, kept promises, their money and staffing (13 columns)."""
+    c = _counts(t, periods, rules or PRESETS["v1"])
+    return c.select(
+        *KEY, F.col("WelcomeCall_ContactRate").alias("welcomecallcontactrate"), F.col("bucket1contactrate").alias("Bucket1callcontactrate"),
+        F.col("b1_normalized").alias("bucket1normalized"), F.col("b1_normalizedwithoutptp").alias("bucket1normalizedwithoutptp"),
+        F.col("b2_normalized").alias("bucket2normalized"), F.col("b2_normalizedwithoutptp").alias("bucket2normalizedwithoutptp"),
+        F.col("kept").alias("kept_ptp"), F.col("money").alias("totalmoneycollectedptp"), "FTE", "total_accounts", "active_works")
+
+
+def kpi_report_v2(t: Tables, periods: Periods, rules: Rules | None = None) -> DataFrame:
+    """The v2 row: v1's columns and the phones whose end DPD is within the bucket's cap (19 columns)."""
+    c = _counts(t, periods, rules or PRESETS["v2"])
+    return c.select(
+        *KEY, F.col("WelcomeCall_ContactRate").alias("welcomecallcontactrate"), F.col("bucket1contactrate").alias("Bucket1callcontactrate"),
+        F.col("b1_normalized").alias("bucket1normalized"), F.col("b1_normalized_cnt").alias("bucket1normalized_cnt"),
+        F.col("b1_normalized_cnt_denominator").alias("bucket1normalized_denominator"),
+        safe_div("b1_normalized_cnt", "b1_normalized_cnt_denominator").alias("bucket1normalized_cnt_percentage"),
+        F.col("b1_normalizedwithoutptp").alias("bucket1normalizedwithoutptp"), F.col("b2_normalized").alias("bucket2normalized"),
+        F.col("b2_normalized_cnt_denominator").alias("Normalized_cnt_denominator"), F.col("b2_normalized_cnt").alias("bucket2normalized_cnt"),
+        safe_div("b2_normalized_cnt", "b2_normalized_cnt_denominator").alias("bucket2normalized_cnt_percentage"),
+        F.col("b2_normalizedwithoutptp").alias("bucket2normalizedwithoutptp"),
+        F.col("kept").alias("kept_ptp"), F.col("money").alias("totalmoneycollectedptp"), "FTE", "total_accounts", "active_works")
+
+
+def yearly_direct(t: Tables, periods: Periods, rules: Rules | None = None) -> DataFrame:
+    """The yearly report straight from the tables: v2's columns, calls of any day to the
+    period's loans, end snapshot of the day before the period end."""
+    return kpi_report_v2(t, periods, rules or PRESETS["yearly"])
+
+
 def kpi_report_v4(t: Tables, periods: Periods, rules: Rules | None = None) -> DataFrame:
     """The single-pass 17-column v4 report: welcome and bucket-1 contact,
-    bucket 1/2 "greg" normalisation on phones (end DPD within the bucket cap
+    bucket 1/2 normalisation on phones (end DPD within the bucket cap
     and a payment in the period), PTP received/kept/amounts and staffing."""
-    from ..rules import PRESETS
     from .ytd import V4_COLUMNS
-    rules = rules or PRESETS["v4"]
-    spark = t.calls.sparkSession
-    g = ptp.normalized_via_ptp(t, periods).select(
-        *KEY, F.col("b1_normalized_greg").alias("bucket1normalized_greg"),
-        F.col("b1_normalized_greg_denominator").alias("bucket1normalized_denominator"),
-        F.col("b2_normalized_greg_denominator").alias("bucket2normalized_denominator"),
-        F.col("b2_normalized_greg").alias("bucket2normalized_greg"))
-    frames = [
-        contact.welcome_call_contact_rate(t, periods, rules).select(*KEY, "apc_wc_connected", "wccalled"),
-        contact.bucket_contact_rate(t, periods, 1, rules).select(*KEY, "bucket1contacted", "bucketcallcontacted"),
-        g,
-        ptp.ptp_received_kept(t, periods).select(*KEY, "ptp_received", "kept_ptp"),
-        ptp.ptp_payments_by_bucket(t, periods),
-        staffing.fte(t, periods), staffing.total_accounts(t, periods), staffing.active_works(t, periods),
-    ]
-    out = periods.frame(spark).drop(AS_OF)
-    for f in frames:
-        out = out.join(F.broadcast(f), KEY, "left")
-    return out.select(*V4_COLUMNS)
+    c = _counts(t, periods, rules or PRESETS["v4"])
+    return c.withColumns({
+        "bucket1normalized_cnt": F.col("b1_normalized_cnt"), "bucket1normalized_denominator": F.col("b1_normalized_cnt_denominator"),
+        "bucket2normalized_cnt": F.col("b2_normalized_cnt"), "bucket2normalized_denominator": F.col("b2_normalized_cnt_denominator"),
+        "ptp_received": F.col("received"), "kept_ptp": F.col("kept")}).select(*V4_COLUMNS)
+
+
+def kpi_report_v3(t: Tables, periods: Periods, rules: Rules | None = None) -> DataFrame:
+    """The v3 row: v4's columns; the numerators need no payment in the period."""
+    return kpi_report_v4(t, periods, rules or PRESETS["v3"])
 
 
 def kpi_v4_compat(t: Tables, periods: Periods, rules: Rules = DEFAULT) -> DataFrame:

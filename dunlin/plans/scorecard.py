@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,6 +81,23 @@ def feature_pipeline(df: DataFrame, features: list[str], median_cols=(), mean_co
     return Pipeline(stages=stages)
 
 
+def ml_onehot(df: DataFrame, features: list[str]) -> DataFrame:
+    """``get_dummies``: one 0/1 column per value of every string feature (NULL: all zeros), counted
+    as (feature, value, ones) in long form, so a wide vocabulary makes rows and not columns."""
+    cats = _categoricals(df, features)
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in cats)))
+    long = df.select(pairs.alias("p")).select("p.feature", "p.value").filter(F.col("value").isNotNull())
+    return long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("ones"))
+
+
+def ml_impute(df: DataFrame, median_cols=(), mean_cols=()) -> DataFrame:
+    """(column, strategy, value, filled): what stands in for missing values (exact median, mean), and how many."""
+    parts = [(c, "median", F.percentile(c, F.lit(0.5))) for c in median_cols] + [(c, "mean", F.avg(c)) for c in mean_cols]
+    wide = df.agg(*(v.cast("double").alias(f"{c}__v") for c, _, v in parts), *(F.sum(F.col(c).isNull().cast("long")).alias(f"{c}__n") for c, _, _ in parts))
+    stack = ", ".join(f"'{c}', '{s}', `{c}__v`, `{c}__n`" for c, s, _ in parts)
+    return wide.selectExpr(f"stack({len(parts)}, {stack}) AS (column, strategy, value, filled)")
+
+
 def _feature_names(df: DataFrame) -> list[str]:
     meta = df.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
     names = {}
@@ -110,11 +127,18 @@ def ml_select_features(importances: DataFrame) -> DataFrame:
     return importances.join(m, F.col("importance") >= F.col("m")).drop("m")
 
 
+def hash_split(df: DataFrame, share: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(train, test) by a hash of all columns: whatever order or plan produces the rows,
+    a row falls on the same side, and equal rows fall together."""
+    side = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]), F.lit(10_000)) < int(round(share * 10_000))
+    return df.filter(side), df.filter(~side)
+
+
 def ml_classification_report(df: DataFrame, features: list[str], num_trees: int = 100, seed: int = 42,
                              split=(0.7, 0.3), median_cols=(), mean_cols=()) -> DataFrame:
-    """70/30 split, forest fitted on the training part only, per-class
-    precision / recall / F1 / support on the test part."""
-    train, test = df.randomSplit(list(split), seed=seed)
+    """70/30 split by a hash of the row, forest fitted on the training part only,
+    per-class precision / recall / F1 / support on the test part."""
+    train, test = hash_split(df, split[0] / sum(split), seed)
     pipe = feature_pipeline(df, features, median_cols, mean_cols).fit(train)
     rf = RandomForestClassifier(labelCol=TARGET, featuresCol="features", numTrees=num_trees, seed=seed)
     model = rf.fit(pipe.transform(train))
@@ -140,7 +164,3 @@ def ml_importance_hist(importances: DataFrame, bins: int = 10) -> DataFrame:
                                                         F.lit(bins - 1))).cast("int")
     return j.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("importance").alias("min_importance"),
                                          F.max("importance").alias("max_importance")).orderBy("bin")
-
-
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

@@ -41,7 +41,17 @@ def backup(spark, path: str, backup_path: str) -> None:
     spark.read.parquet(path).write.mode("overwrite").parquet(backup_path)
 
 
+def create_table(df: DataFrame, name: str) -> None:
+    """``CREATE TABLE name AS SELECT``: a catalog table; fails if it exists."""
+    df.write.format("parquet").mode("errorifexists").saveAsTable(name)
+
+
+def insert_into(df: DataFrame, name: str) -> None:
+    """``INSERT INTO name SELECT``: columns are matched by name, not by place."""
+    df.select(*df.sparkSession.table(name).columns).write.insertInto(name)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with header (spreadsheet exports are re-aimed to CSV).  The report
-    is one row per period, so a single output file is appropriate."""
-    df.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    """CSV with header (spreadsheet exports are re-aimed to CSV), as many files as
+    the frame has partitions: report rows make one, row-level frames stay distributed."""
+    df.write.mode("overwrite").option("header", "true").csv(path)

@@ -14,6 +14,8 @@ the reference's definition and is kept.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,27 +27,28 @@ from ..sources.tables import Tables
 
 # v5 report column -> v4 / month-end column.
 V4_RENAMES = {
-    "normalized_cnt": "bucket1normalized_greg",
+    "normalized_cnt": "bucket1normalized_cnt",
     "Normalized_denominator": "bucket1normalized_denominator",
     "Normalized_buck2_denominator": "bucket2normalized_denominator",
-    "normalized_buck2_cnt": "bucket2normalized_greg",
+    "normalized_buck2_cnt": "bucket2normalized_cnt",
 }
+# The v4 row, the counts and amounts that roll up, the year-to-date row.
 V4_COLUMNS = ["WkstartDate", "WkendDate", "apc_wc_connected", "wccalled", "bucket1contacted",
-              "bucketcallcontacted", "bucket1normalized_greg", "bucket1normalized_denominator",
-              "bucket2normalized_denominator", "bucket2normalized_greg", "ptp_received", "kept_ptp",
+              "bucketcallcontacted", "bucket1normalized_cnt", "bucket1normalized_denominator",
+              "bucket2normalized_denominator", "bucket2normalized_cnt", "ptp_received", "kept_ptp",
               "bucket1ptppmt", "bucket2ptppmt", "FTE", "total_accounts", "active_works"]
 
 _SUMS = ["apc_wc_connected", "wccalled", "apc_rc_connected", "rccalled", "bucket1contacted",
-         "bucketcallcontacted", "bucket1normalized_greg", "bucket1normalized_denominator",
-         "bucket2normalized_greg", "bucket2normalized_denominator", "kept_ptp", "ptp_received",
+         "bucketcallcontacted", "bucket1normalized_cnt", "bucket1normalized_denominator",
+         "bucket2normalized_cnt", "bucket2normalized_denominator", "kept_ptp", "ptp_received",
          "bucket1ptppmt", "bucket2ptppmt"]
 
 _AMOUNTS = {"bucket1ptppmt", "bucket2ptppmt"}
 
 YTD_COLUMNS = ["StartDate", "EndDate", "apc_wc_connected", "wccalled", "Welcomecallcallrate",
                "apc_rc_connected", "rccalled", "remindercallcontactrate", "bucket1contacted",
-               "bucketcallcontacted", "bucket1callcontactrate", "bucket1normalized_greg",
-               "bucket1normalized_denominator", "bucket1normalized", "bucket2normalized_greg",
+               "bucketcallcontacted", "bucket1callcontactrate", "bucket1normalized_cnt",
+               "bucket1normalized_denominator", "bucket1normalized", "bucket2normalized_cnt",
                "bucket2normalized_denominator", "bucket2normalized", "kept_ptp", "ptp_received",
                "kept_ptp_percentage", "bucket1ptppmt", "bucket2ptppmt", "totalptpmoneycollected",
                "FTE", "Total_Accounts", "active_works", "Account_FTE", "accountsonactiveworksperfte"]
@@ -98,8 +101,8 @@ def ytd_from_monthend(history: DataFrame, newest: DataFrame | None = None,
         pct("apc_wc_connected", "wccalled").alias("Welcomecallcallrate"),
         pct("apc_rc_connected", "rccalled").alias("remindercallcontactrate"),
         pct("bucket1contacted", "bucketcallcontacted").alias("bucket1callcontactrate"),
-        pct("bucket1normalized_greg", "bucket1normalized_denominator").alias("bucket1normalized"),
-        pct("bucket2normalized_greg", "bucket2normalized_denominator").alias("bucket2normalized"),
+        pct("bucket1normalized_cnt", "bucket1normalized_denominator").alias("bucket1normalized"),
+        pct("bucket2normalized_cnt", "bucket2normalized_denominator").alias("bucket2normalized"),
         pct("kept_ptp", "ptp_received").alias("kept_ptp_percentage"),
         (F.col("bucket1ptppmt") + F.col("bucket2ptppmt")).alias("totalptpmoneycollected"),
         safe_div("Total_Accounts", "FTE").alias("Account_FTE"),
@@ -108,57 +111,97 @@ def ytd_from_monthend(history: DataFrame, newest: DataFrame | None = None,
     return out.select(*YTD_COLUMNS)
 
 
+def monthend_table(history: DataFrame, newest: DataFrame | None = None) -> DataFrame:
+    """The pivot with margins: counts and amounts of every period (missing values 0),
+    then the row ``Total``.  Periods come as dd-MM-yyyy text."""
+    rows = history if newest is None else history.unionByName(newest, allowMissingColumns=True)
+    rows = rows.withColumn("StartDate", dd_mm_yyyy("period_start")).withColumn("EndDate", dd_mm_yyyy("period_end"))
+
+    def total(c):
+        v = F.sum(F.col(c).cast("decimal(20,2)")).cast("double") if c in _AMOUNTS else F.sum(c)
+        return F.coalesce(v, F.lit(0)).alias(c)
+    per = rows.groupBy("StartDate", "EndDate").agg(*[total(c) for c in _SUMS])
+    every = rows.agg(*[total(c) for c in _SUMS]).select(F.lit("Total").alias("StartDate"), F.lit("").alias("EndDate"), *_SUMS)
+    return per.unionByName(every)
+
+
+def _bounds(rows: DataFrame):
+    """First start and last end day of the rows: one row to the driver.  ``rows`` should be
+    stored (read back from the KPI table), as they are read twice."""
+    return rows.agg(F.min("WkstartDate").alias("s"), F.max("WkendDate").alias("e"), F.max("WkstartDate").alias("last")).first()
+
+
+def _calls_between(t: Tables, lo, hi) -> DataFrame:
+    cm = campaigns(t, ["REM", "COLL", "WC"])
+    calls = t.calls.filter((F.col("call_at") >= F.lit(f"{lo} 00:00:00").cast("timestamp"))
+                           & (F.col("call_at") < F.lit(f"{hi + _dt.timedelta(days=1)} 00:00:00").cast("timestamp")))
+    return calls.join(cm, F.upper(calls["campaign"]) == cm["campaign_u"]).withColumn("day", F.to_date("call_at"))
+
+
+def _working(t: Tables) -> DataFrame:
+    return t.bucket_flow.filter(dpd0("max_dpd").between(1, 179) & ~F.col("loan_status").isin(list(CLOSED)))
+
+
+def _accounts_before(t: Tables, day) -> DataFrame:
+    lm = t.loan_master.filter((F.col("flag_disbursement") == 1) & ~F.col("loan_paid_status").isin(list(CLOSED)))
+    return lm.filter(F.to_date("disbursed_at") < F.lit(day)).agg(F.countDistinct("loan_account").alias("total_accounts"))
+
+
+def _ratios() -> list:
+    s = F.sum
+    return [F.min("WkstartDate").alias("WkstartDate"), F.max("WkendDate").alias("WkendDate"),
+            safe_div(s("apc_wc_connected"), s("wccalled")).alias("welcomecallcontactrate"),
+            safe_div(s("bucket1contacted"), s("bucketcallcontacted")).alias("Bucket1callcontactrate"),
+            safe_div(s("bucket1normalized_cnt"), s("bucket1normalized_denominator")).alias("bucket1normalized_cnt_percentage"),
+            safe_div(s("bucket2normalized_cnt"), s("bucket2normalized_denominator")).alias("bucket2normalized_cnt_percentage"),
+            (F.sum(F.col("bucket1ptppmt").cast("decimal(20,2)")).cast("double")
+             + F.sum(F.col("bucket2ptppmt").cast("decimal(20,2)")).cast("double")).alias("totalmoneycollectedptp")]
+
+
+_YEARLY_COLUMNS = ["WkstartDate", "WkendDate", "welcomecallcontactrate", "Bucket1callcontactrate",
+                   "bucket1normalized_cnt_percentage", "bucket2normalized_cnt_percentage",
+                   "FTE", "total_accounts", "active_works", "kept_ptp", "totalmoneycollectedptp"]
+
+
+def _one_row(*frames: DataFrame) -> DataFrame:
+    """Single-row aggregates side by side (1 x 1 joins)."""
+    out = frames[0].withColumn("_k", F.lit(1))
+    for f in frames[1:]:
+        out = out.join(f.withColumn("_k", F.lit(1)), "_k")
+    for c in ("FTE", "total_accounts", "active_works"):
+        out = out.withColumn(c, F.col(c).cast("long"))
+    return out.select(*_YEARLY_COLUMNS)
+
+
 def yearly_from_monthly(rows: DataFrame, t: Tables, window=None) -> DataFrame:
-    """Yearly KPIs from monthly v4 rows (``WkstartDate``/``WkendDate`` DATE).
+    """Yearly KPIs from stored monthly v4 rows (``WkstartDate``/``WkendDate`` DATE).
 
     Ratios of sums over the rows (optionally only rows starting within
     ``window=(lo, hi)``); FTE = distinct agents on REM/COLL/WC calls on any
     day covered by a row; total_accounts = distinct open disbursed loans
     disbursed before any row's start; active_works = distinct loans with DPD
-    1-179 on any row's start day.  The covered days are derived from the rows
-    (no driver round trip); their size is checked at run time by AQE."""
-    def total(c):
-        return (F.sum(F.col(c).cast("decimal(20,2)")).cast("double") if c in _AMOUNTS else F.sum(c)).alias(c)
-    yb = rows.groupBy("WkstartDate", "WkendDate").agg(*[total(c) for c in (
-        "apc_wc_connected", "wccalled", "bucket1contacted", "bucketcallcontacted", "bucket1normalized_greg",
-        "bucket1normalized_denominator", "bucket2normalized_greg", "bucket2normalized_denominator",
-        "kept_ptp", "ptp_received", "bucket1ptppmt", "bucket2ptppmt")])
+    1-179 on any row's start day.  The rows' first and last day bound the scans of
+    calls and snapshot as literals; the covered days then refine them."""
+    b = _bounds(rows)
+    lo, hi, last = (b.s, b.e, b.last) if b.s is not None else (_dt.date(1970, 1, 1),) * 3
+    yb = rows.select("WkstartDate", "WkendDate").distinct()
     days = (yb.filter(F.col("WkstartDate") <= F.col("WkendDate"))
-              .select(F.explode(F.sequence("WkstartDate", "WkendDate")).alias("day"))
-              .filter(F.col("day").isNotNull()).distinct())
-    cm = campaigns(t, ["REM", "COLL", "WC"])
-    calls = t.calls.join(cm, F.upper(t.calls["campaign"]) == cm["campaign_u"])
-    fte = (calls.withColumn("day", F.to_date("call_at")).join(days, "day", "left_semi")
-                .agg(F.countDistinct("agent").alias("FTE")))
+              .select(F.explode(F.sequence("WkstartDate", "WkendDate")).alias("day")).distinct())
+    fte = _calls_between(t, lo, hi).join(days, "day", "left_semi").agg(F.countDistinct("agent").alias("FTE"))
     starts = yb.select(F.col("WkstartDate").alias("bucket_date")).distinct()
-    aw = (t.bucket_flow.join(starts, "bucket_date", "left_semi")
-          .filter(dpd0("max_dpd").between(1, 179) & ~F.col("loan_status").isin(list(CLOSED)))
+    aw = (_working(t).filter(F.col("bucket_date").between(F.lit(lo), F.lit(last))).join(starts, "bucket_date", "left_semi")
           .agg(F.countDistinct("loan_account").alias("active_works")))
-    lm = t.loan_master.filter((F.col("flag_disbursement") == 1) & ~F.col("loan_paid_status").isin(list(CLOSED)))
-    first = lm.groupBy("loan_account").agg(F.min(F.to_date("disbursed_at")).alias("d"))
-    max_start = yb.agg(F.max("WkstartDate").alias("ms"))
-    lum = (first.join(max_start, first["d"] < max_start["ms"])
-                .agg(F.count(F.lit(1)).alias("total_accounts")))
-    sel = yb
-    if window is not None:
-        sel = sel.filter(F.col("WkstartDate").between(F.lit(window[0]), F.lit(window[1])))
-    s = lambda c: F.sum(c)
-    main = sel.agg(
-        F.min("WkstartDate").alias("WkstartDate"), F.max("WkendDate").alias("WkendDate"),
-        safe_div(s("apc_wc_connected"), s("wccalled")).alias("welcomecallcontactrate"),
-        safe_div(s("bucket1contacted"), s("bucketcallcontacted")).alias("Bucket1callcontactrate"),
-        safe_div(s("bucket1normalized_greg"), s("bucket1normalized_denominator")).alias("bucket1normalized_greg_percentage"),
-        safe_div(s("bucket2normalized_greg"), s("bucket2normalized_denominator")).alias("bucket2normalized_greg_percentage"),
-        safe_div(s("kept_ptp"), s("ptp_received")).alias("kept_ptp"),
-        (F.sum(F.col("bucket1ptppmt").cast("decimal(20,2)")).cast("double")
-         + F.sum(F.col("bucket2ptppmt").cast("decimal(20,2)")).cast("double")).alias("totalmoneycollectedptp"),
-    )
-    # four single-row aggregates side by side (1 x 1 joins)
-    one = F.lit(1)
-    return (main.withColumn("_k", one)
-            .join(fte.withColumn("_k", one), "_k").join(lum.withColumn("_k", one), "_k")
-            .join(aw.withColumn("_k", one), "_k")
-            .select("WkstartDate", "WkendDate", "welcomecallcontactrate", "Bucket1callcontactrate",
-                    "bucket1normalized_greg_percentage", "bucket2normalized_greg_percentage",
-                    F.col("FTE").cast("long").alias("FTE"), F.col("total_accounts").cast("long").alias("total_accounts"),
-                    F.col("active_works").cast("long").alias("active_works"), "kept_ptp", "totalmoneycollectedptp"))
+    sel = rows if window is None else rows.filter(F.col("WkstartDate").between(F.lit(window[0]), F.lit(window[1])))
+    main = sel.agg(*_ratios(), safe_div(F.sum("kept_ptp"), F.sum("ptp_received")).alias("kept_ptp"))
+    return _one_row(main, fte, _accounts_before(t, last), aw)
+
+
+def yearly_from_monthly_v2(rows: DataFrame, t: Tables) -> DataFrame:
+    """The older roll-up of stored monthly rows: kept promises as a sum; FTE on the days from the
+    first start to the last end, accounts disbursed before the first start, active works of that day."""
+    b = _bounds(rows)
+    lo, hi = (b.s, b.e) if b.s is not None else (_dt.date(1970, 1, 1),) * 2
+    fte = _calls_between(t, lo, hi).agg(F.countDistinct("agent").alias("FTE"))
+    aw = _working(t).filter(F.col("bucket_date") == F.lit(lo)).agg(F.countDistinct("loan_account").alias("active_works"))
+    main = rows.agg(*_ratios(), F.sum("kept_ptp").alias("kept_ptp"))
+    return _one_row(main, fte, _accounts_before(t, lo), aw)

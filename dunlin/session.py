@@ -42,7 +42,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     for k, v in _REQUIRED.items():
         spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if spark.sparkContext.master.startswith("local"):
+        ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -52,23 +53,27 @@ def checkpoint_root(spark: SparkSession) -> str:
     Falls back to the SparkContext's checkpoint dir; raises if neither is set
     (call :func:`ensure_checkpoint_dir` first in tests).
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    root = _named_dir(spark) or spark.sparkContext.getCheckpointDir()
     if not root:
         raise RuntimeError("spark.checkpoint.dir is not set; the cluster must name a shared folder")
     return root.rstrip("/")
 
 
+def _named_dir(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+
+
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Use the session's ``spark.checkpoint.dir``; only when it is unset (tests,
-    local runs) create a fresh scratch folder.  Also registers it with the
-    SparkContext so ``DataFrame.checkpoint()`` writes there."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """Use the session's ``spark.checkpoint.dir``; only when it is unset and the
+    master is local (tests, local runs) create a fresh scratch folder.  On any
+    other master a folder of the driver's disk is not shared, so it raises.
+    Also registers the folder with the SparkContext for ``DataFrame.checkpoint()``."""
+    sc = spark.sparkContext
+    root = _named_dir(spark) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set; the cluster must name a shared folder")
         root = fallback or tempfile.mkdtemp(prefix="dunlin-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return root.rstrip("/")

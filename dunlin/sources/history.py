@@ -11,12 +11,15 @@ from ..functions.keys import parse_dd_mm_yyyy
 # Columns of the month-end history (dates as dd-MM-yyyy text).
 MONTHEND_COLUMNS = [
     "WkstartDate", "WkendDate", "apc_wc_connected", "wccalled", "apc_rc_connected", "rccalled",
-    "bucket1contacted", "bucketcallcontacted", "bucket1normalized_greg", "bucket1normalized_denominator",
-    "bucket2normalized_denominator", "bucket2normalized_greg", "ptp_received", "kept_ptp",
+    "bucket1contacted", "bucketcallcontacted", "bucket1normalized_cnt", "bucket1normalized_denominator",
+    "bucket2normalized_denominator", "bucket2normalized_cnt", "ptp_received", "kept_ptp",
     "bucket1ptppmt", "bucket2ptppmt", "FTE", "total_accounts", "active_works",
 ]
 _DOUBLE = {"bucket1ptppmt", "bucket2ptppmt"}
 
+# The published files' headers of two columns, which have to match.
+PUBLISHED_HEADERS = {"bucket1normalized_greg": "bucket1normalized_cnt", "bucket2normalized_greg": "bucket2normalized_cnt"}
+
 
 def monthend_schema() -> T.StructType:
     return T.StructType([
@@ -41,10 +44,12 @@ def read_monthend_csv(spark: SparkSession, path) -> DataFrame:
 
 
 def _read_one(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("header", "true").csv(path)
+    raw = spark.read.option("header", "true").csv(path).withColumnsRenamed(PUBLISHED_HEADERS)
     cols = [c for c in raw.columns if c in MONTHEND_COLUMNS]
     typed = monthend_schema()
-    out = raw.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in typed.fields if f.name in cols])
+    # a column with gaps was written as 4667.0: text goes through decimal to BIGINT
+    out = raw.select([(F.col(f.name).cast("decimal(38,6)") if isinstance(f.dataType, T.LongType) else F.col(f.name))
+                      .cast(f.dataType).alias(f.name) for f in typed.fields if f.name in cols])
     for f in typed.fields:
         if f.name not in cols:
             out = out.withColumn(f.name, F.lit(None).cast(f.dataType))

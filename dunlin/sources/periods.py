@@ -25,7 +25,6 @@ KEY = [PS, PE]
 # A calendar of up to this many (period, day) rows is broadcast; beyond it the
 # range join falls back to a shuffled equi-join on the day key.
 BROADCAST_CALENDAR_ROWS = 2_000_000
-_FRAMES: dict = {}
 
 
 def _date(x) -> _dt.date:
@@ -78,21 +77,15 @@ class Periods:
     def frame(self, spark: SparkSession) -> DataFrame:
         """N-row period frame (a local relation, broadcast: N is the length of
         a driver-side list)."""
-        key = ("frame", id(spark), self)
-        if key not in _FRAMES:
-            _FRAMES[key] = F.broadcast(spark.sql(self._values_sql()))
-        return _FRAMES[key]
+        return F.broadcast(spark.sql(self._values_sql()))
 
     def calendar(self, spark: SparkSession) -> DataFrame:
         """One row per (period, day in period): turns ``date(x) BETWEEN start AND
         end`` into an equi-join on ``day``.  An inverted period yields no days."""
-        key = ("calendar", id(spark), self)
-        if key not in _FRAMES:
-            cal = spark.sql(
-                f"SELECT {PS}, {PE}, {AS_OF}, explode(sequence({PS}, {PE}, INTERVAL 1 DAY)) AS day "
-                f"FROM ({self._values_sql()}) WHERE {PS} <= {PE}")
-            _FRAMES[key] = F.broadcast(cal) if self.n_days <= BROADCAST_CALENDAR_ROWS else cal
-        return _FRAMES[key]
+        cal = spark.sql(
+            f"SELECT {PS}, {PE}, {AS_OF}, explode(sequence({PS}, {PE}, INTERVAL 1 DAY)) AS day "
+            f"FROM ({self._values_sql()}) WHERE {PS} <= {PE}")
+        return F.broadcast(cal) if self.n_days <= BROADCAST_CALENDAR_ROWS else cal
 
     # ---- pushdown helpers: literal bounds of the whole list --------------
     def ts_bounds(self, col: str):
@@ -132,6 +125,14 @@ def weekly(as_of, week_end: str = "SUN") -> Periods:
     return Periods.of((s, e, a))
 
 
+def current_week(as_of) -> Periods:
+    """Monday of the week of ``as_of`` .. the Sunday that opens the Sunday-based week one
+    week later (``WEEK(MONDAY)`` truncation of today, ``WEEK(SUNDAY)`` truncation of today + 7 days)."""
+    a = _date(as_of)
+    later = a + _dt.timedelta(days=7)
+    return Periods.of((a - _dt.timedelta(days=a.weekday()), later - _dt.timedelta(days=_dow_sun1(later) - 1), a))
+
+
 def month_to_date(as_of) -> Periods:
     """Month start .. last Sunday on or before ``as_of`` (end = as_of + 1 - dow).
     Early in a month the end precedes the start: an empty period, as in the

@@ -7,15 +7,17 @@ from dataclasses import dataclass, field, fields, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schema as S
 
-# Physical layout used when the tables are written: the daily snapshot is
-# partitioned by day (every KPI filters it on one day or a day range, so whole
-# directories are pruned); the event-like tables are sorted by their time
-# column so Parquet row-group min/max statistics skip most of a period scan.
-_PARTITION = {"bucket_flow": "bucket_date"}
-_SORT = {"calls": "call_at", "ptp": "contact_date", "installments": "due_date"}
+# Physical layout used when the tables are written.  The daily snapshot and the
+# event-like tables are partitioned by day (every KPI filters them on days), so
+# whole directories are pruned.  Rows are first dealt by day and a hash bucket of
+# the loan or call: a day has at most _BUCKETS files, however many tasks read the input.
+_DAY = {"bucket_flow": "bucket_date", "calls": "call_at", "ptp": "contact_date", "installments": "due_date"}
+_KEY = {"bucket_flow": "loan_account", "calls": "call_id", "ptp": "loan_account", "installments": "loan_account"}
+_BUCKETS = 8
 
 
 @dataclass(frozen=True)
@@ -30,17 +32,33 @@ class Tables:
     # Opt-in reuse of intermediate results shared by several KPIs (see
     # :meth:`reusing`); not part of the table identity.
     memo: dict | None = field(default=None, compare=False, repr=False)
+    # Whether a table has at most so many rows: one check per table of this value.
+    sizes: dict = field(default_factory=dict, compare=False, repr=False)
 
     def names(self) -> list[str]:
-        return [f.name for f in fields(self) if f.name != "memo"]
+        return [f.name for f in fields(self) if f.name not in ("memo", "sizes")]
 
     def reusing(self) -> "Tables":
         """A copy whose shared intermediates (period slices of the snapshot,
         loan -> phone map, payment bases) are built once and persisted
         (MEMORY_AND_DISK; recomputed from lineage if an executor is lost).
-        Call :meth:`release` when the results have been collected or written."""
+        The caller owns it: ``with t.reusing() as shared: ...`` releases it, or
+        call :meth:`release` when the results have been collected or written."""
         return replace(self, memo={})
 
+    def __enter__(self) -> "Tables":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
+    def at_most(self, name: str, rows: int) -> bool:
+        """True if table ``name`` has at most ``rows`` rows (a LIMIT rows + 1 count, made once)."""
+        key = (name, rows)
+        if key not in self.sizes:
+            self.sizes[key] = getattr(self, name).limit(rows + 1).count() <= rows
+        return self.sizes[key]
+
     def shared(self, key, build):
         if self.memo is None:
             return build()
@@ -55,7 +73,7 @@ class Tables:
             self.memo.clear()
 
     def with_(self, **kw) -> "Tables":
-        return replace(self, **kw)
+        return replace(self, sizes={}, **kw)
 
     @classmethod
     def load(cls, spark: SparkSession, root: str, fmt: str = "parquet") -> "Tables":
@@ -83,15 +101,16 @@ class Tables:
         root = root.rstrip("/")
         for name in self.names():
             df: DataFrame = getattr(self, name)
-            w = df
-            if name in _SORT:
-                w = w.sortWithinPartitions(_SORT[name])
-            writer = w.write.mode("overwrite")
-            if name in _PARTITION:
-                writer = writer.partitionBy(_PARTITION[name])
-            writer.parquet(f"{root}/{name}")
+            if name in _DAY:
+                day = "bucket_date" if name == "bucket_flow" else "day"
+                dated = df.withColumn(day, F.to_date(_DAY[name]))
+                dated = dated.repartition(F.col(day), F.pmod(F.xxhash64(_KEY[name]), F.lit(_BUCKETS)))
+                dated.sortWithinPartitions(day, _DAY[name]).write.mode("overwrite").partitionBy(day).parquet(f"{root}/{name}")
+            else:
+                df.write.mode("overwrite").parquet(f"{root}/{name}")
         spark = self.calls.sparkSession
-        return Tables.load(spark, root)
+        # with the declared schema: an empty table has no file to take it from
+        return Tables(**{n: spark.read.schema(getattr(self, n).schema).parquet(f"{root}/{n}").select(*getattr(self, n).columns) for n in self.names()})
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
