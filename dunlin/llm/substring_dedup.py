@@ -1,9 +1,13 @@
-"""Substring deduplication by line or paragraph hashing.
+"""Substring deduplication by hashing of text units.
 
-A text is cut into units at line ends (or at blank lines).  A unit is normalised
-(A-Z lower-cased, white space runs to one space, trimmed) and hashed to 128 bits.
-Equal digests are grouped over all documents; the occurrence with the smallest
-(rank, position) stays, every other one goes, with its offsets in the original text.
+A text is cut into units: paragraphs, lines, or the sentences of lines.  A unit is
+normalised (A-Z lower-cased, white space runs to one space, trimmed) and hashed to 128
+bits.  Equal digests are grouped over all documents; the occurrence with the smallest
+(rank, place) stays, every other one is repeated.  Repeated units that follow one
+another form a passage; a passage of enough words goes, with its offsets in the original text.
+
+Sentences are the default unit: a repeated passage need not begin or end with a line, and a
+repeated line is a run of repeated sentences.
 """
 
 from __future__ import annotations
@@ -11,75 +15,75 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dunlin.llm.shared import column, stored
 
-UNITS = {"line": r"[^\n]+", "paragraph": r"[^\n]+(?:\n[^\S\n]*[^\s][^\n]*)*"}
-LEAST_WORDS = 5  # shorter units (headings, single words) are never removed
+UNITS = {"sentence": r"[^\n.!?]+[.!?]*", "line": r"[^\n]+", "paragraph": r"[^\n]+(?:\n[^\S\n]*[^\s][^\n]*)*"}
+LEAST_WORDS = 4  # shorter units neither repeat nor interrupt a passage
+LEAST_PASSAGE = 25  # words of a passage that goes
+
 
+def units(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, ord, start, end, n_words, d1, d2) of every unit of ``least_words`` words or more.
 
-def units(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, start, end, d1, d2) of every unit of ``least_words`` words or more; offsets in code points, end exclusive."""
+    ord numbers a document's units; offsets are code points, end exclusive, without the white space around.
+    """
     pattern = UNITS[unit]
+    names = ["doc_id", "ord", "start", "end", "n_words", "d1", "d2"]
 
     def run(batches):
         import xxhash
         find = re.compile(pattern).finditer
         for batch in batches:
-            doc, start, end, d1, d2 = [], [], [], [], []
-            for i, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist()):
+            cols: list[list] = [[] for _ in names]
+            for doc, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist()):
+                ord_ = 0
                 for m in find(text or ""):
-                    words = m.group().encode().lower().split()
-                    if len(words) >= least_words:
-                        h = xxhash.xxh3_128_intdigest(b" ".join(words))
-                        doc.append(i)
-                        start.append(m.start())
-                        end.append(m.end())
-                        d1.append((h >> 64) - (1 << 63))
-                        d2.append((h & ((1 << 64) - 1)) - (1 << 63))
-                if len(doc) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, end, d1, d2)], ["doc_id", "start", "end", "d1", "d2"])
-                    doc, start, end, d1, d2 = [], [], [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, end, d1, d2)], ["doc_id", "start", "end", "d1", "d2"])
-
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, end long, d1 long, d2 long")
-
-
-def repeated(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, start, end, keeper, keeper_start): the occurrences that go, and the one that stays.
-
-    Rank is doc_id, so the earliest document keeps the unit.  First occurrences
-    are found with a minimum that combines before the shuffle; only digests that
-    occur twice or more are joined back, so a unit in a third of all rows costs a
-    row per occurrence and no group is gathered.  Null and empty texts have no units.
-    Of identical rows (same doc_id and text) each loses what an earlier document holds and
-    keeps what is its own.
+                    raw = m.group()
+                    words = raw.encode().lower().split()
+                    if len(words) < least_words:
+                        continue
+                    h = xxhash.xxh3_128_intdigest(b" ".join(words))
+                    start = m.start() + len(raw) - len(raw.lstrip())
+                    row = (doc, ord_, start, start + len(raw.strip()), len(words), (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63))
+                    ord_ += 1
+                    for c, v in zip(cols, row):
+                        c.append(v)
+                if len(cols[0]) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+                    cols = [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
+
+
+def repeated(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS, least_passage: int = LEAST_PASSAGE) -> DataFrame:
+    """(doc_id, start, end, n_units, n_words, keepers) of every passage that goes; keepers are the
+    documents where its units stay.
+
+    Rank is doc_id: the earliest document keeps a unit, and of one document the first
+    place.  First occurrences are minima that combine before the shuffle; only digests
+    that occur twice or more are joined back, so a unit in a third of all rows costs a
+    row per occurrence, and nothing is gathered but a document's own passages.  Null
+    and empty texts have no units, an empty table no passages.  Rows that repeat a
+    doc_id and its text are one document.
     """
     u = stored(units(docs, unit, least_words))
-    first = u.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return u.join(first.select("d1", "d2", "first"), ["d1", "d2"]).where(
-        "doc_id <> first.doc_id or start <> first.start").select(
-        "doc_id", "start", "end", F.col("first.doc_id").alias("keeper"), F.col("first.start").alias("keeper_start"))
-
-
-def removals(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_removed, removed_chars, spans (start:end, comma-joined, by start), keepers."""
-    gone = repeated(docs, unit, least_words).distinct().groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"), F.array_sort(F.collect_set("keeper")).alias("keepers"))
-    ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"))
-    long0 = F.lit(0).cast("long")
-    return ids.join(gone, "doc_id", "left").select(
-        "doc_id", F.coalesce(F.size("s"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.aggregate("s", long0, lambda a, x: a + x["end"] - x["start"]), long0).alias("removed_chars"),
-        F.coalesce(F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["start"], x["end"])), ","), F.lit("")).alias("spans"),
-        F.coalesce("keepers", F.array().cast("array<long>")).alias("keepers"))
-
-
-def cleaned(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with the repeated units cut out of text (line ends stay) and ``removed`` (start, end in the original) added."""
-    gone = repeated(docs, unit, least_words).distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    first = u.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "ord")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = u.join(first.select("d1", "d2", "first"), ["d1", "d2"]).where("doc_id <> first.doc_id or ord <> first.ord")
+    again = again.select("doc_id", "ord", "start", "end", "n_words", F.col("first.doc_id").alias("keeper")).distinct()
+    island = F.col("ord") - F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "start"))
+    runs = again.withColumn("island", island).groupBy("doc_id", "island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("n_words").alias("n_words"),
+        F.array_sort(F.collect_set("keeper")).alias("keepers"))
+    return runs.where(F.col("n_words") >= least_passage).drop("island")
+
+
+def cleaned(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with the repeated passages cut out of text and ``removed`` (start, end in the original) added; null where nothing went."""
+    gone = repeated(docs, **how).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
     acc = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at"))
     text = F.aggregate(
         "removed", acc, lambda a, s: F.struct(F.concat(a["kept"], F.substr("text", (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))).alias("kept"), s["end"].alias("at")),

@@ -1,42 +1,71 @@
+import random
 import re
 
-from dunlin.llm import substring_dedup
+import pytest
+
+from dunlin.llm import substring_dedup as S
 from tests.llm.data import AWKWARD, documents, empty, words
 
-P = words(70, 60)
-TEXTS = AWKWARD | {20: f"{words(71, 8)}\n{P}\n{words(72, 8)}", 21: f"{P.upper()}\n{words(73, 9)}", 22: f"x\n  {P}  \n\n{P}\nshort line", 23: "short line\nshort line",
-                   24: words(71, 8)}
+P = ". ".join(words(70 + k, 12) for k in range(5)) + "."  # 60 words in five sentences
+LINES = "\n".join(words(90 + k, 9) for k in range(6))
+TEXTS = AWKWARD | {
+    20: f"{words(71, 8)}\n{P}\n{words(72, 8)}", 21: f"{P.upper()}\n{words(73, 9)}", 22: f"x\n  {P}  \n\n{P}\nshort line",
+    23: f"own words before it {P} and own words after it", 24: words(71, 8), 25: f"{words(74, 30)}\n{LINES}", 26: f"{LINES}\n{words(75, 30)}",
+    27: f"{words(70, 12)}. {words(76, 12)}.", 28: "short line\nshort line", 29: f"{words(77, 30)}.\n{words(77, 30)}. Ok so. {words(77, 30)}."}
 
 
-def brute(texts):
-    first, out = {}, {}
+def brute(texts, unit="sentence"):
+    first, units = {}, {}
     for i in sorted(texts):
-        out[i] = []
-        for m in re.finditer(r"[^\n]+", texts[i] or ""):
+        units[i] = []
+        for m in re.finditer(S.UNITS[unit], texts[i] or ""):
             w = m[0].encode().lower().split()
-            if len(w) >= substring_dedup.LEAST_WORDS and first.setdefault(b" ".join(w), (i, m.start())) != (i, m.start()):
-                out[i].append((m.start(), m.end()))
+            if len(w) >= S.LEAST_WORDS:
+                key, at = b" ".join(w), (i, len(units[i]))
+                a = m.start() + len(m[0]) - len(m[0].lstrip())
+                units[i].append((a, a + len(m[0].strip()), len(w), first.setdefault(key, at) != at, first[key][0]))
+    out = set()
+    for i, us in units.items():
+        run = []
+        for u in [*us, (0, 0, 0, False, 0)]:
+            if u[3]:
+                run.append(u)
+                continue
+            if sum(r[2] for r in run) >= S.LEAST_PASSAGE:
+                out.add((i, run[0][0], run[-1][1], len(run), sum(r[2] for r in run), tuple(sorted({r[4] for r in run}))))
+            run = []
     return out
 
 
-def test_later_occurrences_go_with_their_offsets(spark):
-    got = {r.doc_id: r for r in substring_dedup.removals(documents(spark, TEXTS)).collect()}
-    want = brute(TEXTS)
-    assert {i: r.spans for i, r in got.items()} == {i: ",".join(f"{a}:{b}" for a, b in v) for i, v in want.items()}
-    assert got[21].n_removed == 1 and got[21].keepers == [20] and got[22].n_removed == 2 and got[24].removed_chars == len(TEXTS[24])
-    assert got[20].n_removed == 0 and got[23].n_removed == 0
+def as_set(df):
+    return {(r.doc_id, r.start, r.end, r.n_units, r.n_words, tuple(r.keepers)) for r in df.collect()}
+
+
+@pytest.mark.parametrize("unit", list(S.UNITS))
+def test_passages_of_every_unit(spark, unit):
+    assert as_set(S.repeated(documents(spark, TEXTS, repeat=(20, 21)), unit)) == brute(TEXTS, unit)
+
+
+def test_planted_passages_are_caught_and_clean_documents_left(spark):
+    got = as_set(S.repeated(documents(spark, TEXTS)))
+    assert {g[0] for g in got} == {21, 22, 23, 26, 29}
+    assert {g[5] for g in got if g[0] in (21, 23)} == {(20,)}
+
+
+def test_random_texts(spark):
+    rnd = random.Random(8)
+    pool = [words(500 + k, rnd.randrange(2, 14)) for k in range(40)]
+    texts = {k: rnd.choice([". ", "\n", "! "]).join(rnd.choice(pool) for _ in range(rnd.randrange(1, 12))) for k in range(60)}
+    assert as_set(S.repeated(documents(spark, texts))) == brute(texts)
 
 
 def test_cleaned_texts(spark):
     docs = documents(spark, TEXTS)
-    out = {r.doc_id: r for r in substring_dedup.cleaned(docs).collect()}
-    assert out[21].text == f"\n{words(73, 9)}" and out[22].text == "x\n\n\n\nshort line" and out[20].text == TEXTS[20] and out[1].text is None
+    out = {r.doc_id: r for r in S.cleaned(docs).collect()}
+    assert out[21].text == f"\n{words(73, 9)}" and out[20].text == TEXTS[20] and out[1].text is None and out[20].removed is None
     assert [(s.start, s.end) for s in out[21].removed] == [(0, len(P))]
+    assert out[26].text == f"\n{words(75, 30)}" and out[24].text == TEXTS[24]
 
 
-def test_paragraphs_repeats_and_empty(spark):
-    two = {1: f"{words(1, 9)}\n{words(2, 9)}\n\n{words(3, 9)}", 2: f"{words(3, 9)}\n\n{words(1, 9)}\n{words(2, 9)}", 3: words(1, 9)}
-    got = {r.doc_id: r.n_removed for r in substring_dedup.removals(documents(spark, two), "paragraph").collect()}
-    assert got == {1: 0, 2: 2, 3: 0}
-    assert substring_dedup.removals(documents(spark, TEXTS, repeat=(20,))).count() == len(TEXTS) + 1
-    assert substring_dedup.removals(empty(spark)).count() == 0
+def test_empty(spark):
+    assert S.repeated(empty(spark)).count() == 0 and S.cleaned(empty(spark)).count() == 0
