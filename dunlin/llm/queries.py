@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dunlin.llm import ann, decontam, html_extract, lm_score, ngram_join, packing, quality, secret_scan, substring_dedup, url_filter
+from dunlin.llm import ann, decontam, html_extract, lm_score, ngram_join, oracle, packing, quality, secret_scan, substring_dedup, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from dunlin.llm.shared import column, stored
 
 UNITS = {"sentence": r"[^\n.!?]+[.!?]*", "line": r"[^\n]+", "paragraph": r"[^\n]+(?:\n[^\S\n]*[^\s][^\n]*)*"}
+WHITE = " \t\n\r\v\f"
 LEAST_WORDS = 4  # shorter units neither repeat nor interrupt a passage
 LEAST_PASSAGE = 25  # words of a passage that goes
 
@@ -46,8 +47,8 @@ def units(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORD
                     if len(words) < least_words:
                         continue
                     h = xxhash.xxh3_128_intdigest(b" ".join(words))
-                    start = m.start() + len(raw) - len(raw.lstrip())
-                    row = (doc, ord_, start, start + len(raw.strip()), len(words), (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63))
+                    start = m.start() + len(raw) - len(raw.lstrip(WHITE))
+                    row = (doc, ord_, start, m.start() + len(raw.rstrip(WHITE)), len(words), (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63))
                     ord_ += 1
                     for c, v in zip(cols, row):
                         c.append(v)
@@ -60,8 +61,8 @@ def units(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORD
 
 
 def repeated(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS, least_passage: int = LEAST_PASSAGE) -> DataFrame:
-    """(doc_id, start, end, n_units, n_words, keepers) of every passage that goes; keepers are the
-    documents where its units stay.
+    """(doc_id, start, end, n_units, n_words, keeper, n_keepers) of every passage that goes; keepers
+    are the documents where its units stay, keeper the first of them.
 
     Rank is doc_id: the earliest document keeps a unit, and of one document the first
     place.  First occurrences are minima that combine before the shuffle; only digests
@@ -77,7 +78,7 @@ def repeated(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_W
     island = F.col("ord") - F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "start"))
     runs = again.withColumn("island", island).groupBy("doc_id", "island").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("n_words").alias("n_words"),
-        F.array_sort(F.collect_set("keeper")).alias("keepers"))
+        F.min("keeper").alias("keeper"), F.countDistinct("keeper").alias("n_keepers"))
     return runs.where(F.col("n_words") >= least_passage).drop("island")
 
 
