@@ -54,7 +54,7 @@ def registered_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ptp_received_kept": _q(ptp.ptp_received_kept, MAIN),
         "ptp_received_kept_weeks": _q(ptp.ptp_received_kept, WEEKS),
         "ptp_payments_by_bucket": _q(ptp.ptp_payments_by_bucket, MAIN),
-        "normalized_via_ptp": _q(ptp.normalized_via_ptp, MAIN),
+        "normalized_via_ptp": _q(lambda t, p: ptp.normalized_via_ptp(t, p), MAIN),
         "fte": _q(staffing.fte, MAIN),
         "total_accounts": _q(staffing.total_accounts, MAIN),
         "total_accounts_weeks": _q(staffing.total_accounts, WEEKS),

@@ -44,7 +44,7 @@ def campaigns(t: Tables, references, subcategory: str | None = None) -> DataFram
         cm = cm.filter(F.col("subcategory") == subcategory)
     # no DISTINCT: like the reference's LEFT JOIN, a duplicated campaign row
     # duplicates legs, which no distinct count or top-1 result can see
-    cm = cm.select(F.upper("campaign").alias("campaign_u"), "reference")
+    cm = cm.select(F.upper("campaign").alias("campaign_u"), "reference", "subcategory")
     return bounded_broadcast(t, "campaign_master", cm)
 
 
@@ -77,17 +77,17 @@ def calls_in_periods(t: Tables, periods: Periods, references, subcategory=None,
         *KEY, AS_OF, "call_id", "call_at", "mobile",
         phone10("mobile").alias("phone10"),
         flag("is_apc").alias("apc"), flag("is_rpc").alias("rpc"), flag("is_ptp").alias("ptp"),
-        "is_apc", "agent", "reference",
+        "is_apc", "agent", "reference", "subcategory",
     )
 
 
-def last_leg(legs: DataFrame) -> DataFrame:
-    """Top-1 leg per (period, call): latest ``call_at``; ties prefer APC, RPC,
+def last_leg(legs: DataFrame, *by: str) -> DataFrame:
+    """Top-1 leg per (period, call, ``by``): latest ``call_at``; ties prefer APC, RPC,
     PTP = 0, then the smaller phone key (our deterministic tiebreak).
 
     ``row_number() = 1`` is planned with a partial WindowGroupLimit before the
     shuffle, so each mapper forwards at most one row per call."""
-    w = Window.partitionBy(*KEY, "call_id").orderBy(
+    w = Window.partitionBy(*KEY, *by, "call_id").orderBy(
         F.col("call_at").desc(), "apc", "rpc", "ptp", "phone10", "mobile")
     return legs.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 

@@ -9,7 +9,7 @@ from ..functions.keys import safe_div
 from ..rules import DEFAULT, Rules
 from ..sources.periods import KEY, PE, Periods
 from ..sources.tables import Tables
-from .common import (bucket_phones, calls_in_periods, last_leg, on_periods,
+from .common import (arrears, bucket_phones, calls_in_periods, last_leg, loan_phone, on_periods,
                      open_loan_phones, open_loan_phones_between)
 
 
@@ -97,3 +97,35 @@ def bucket_contact_rate(t: Tables, periods: Periods, bucket: int, rules: Rules =
     )
     out = on_periods(periods, spark, agg, zero_cols=(contacted, called))
     return out.withColumn(rate, safe_div(contacted, called))
+
+
+# What a leg counts for -> output names of reached, called, rate.
+RATES = {
+    "wc": ("apc_wc_connected", "wccalled", "WelcomeCall_ContactRate"),
+    "rem": ("apc_rc_connected", "rccalled", "remindercallcontactrate"),
+    **{f"b{n}": names for n, (_, names) in BUCKETS.items()},
+}
+
+
+def contact_rates(t: Tables, periods: Periods) -> DataFrame:
+    """All five contact rates (latest rules), one row per period, from one scan of the calls.
+
+    A leg carries the KPIs that its campaign and phone count for; it is ranked once per
+    (KPI, call).  Phones bring their first open disbursement and their buckets along."""
+    spark = t.calls.sparkSession
+    flags = arrears(t, periods).join(loan_phone(t), "loan_account").filter(F.col("phone10").isNotNull())
+    flags = flags.groupBy(*KEY, "phone10").agg(*(F.max(f"in_{b}").alias(f"in_{b}") for b in BUCKETS))
+    legs = calls_in_periods(t, periods, ["WC", "REM", "COLL"]).join(open_loan_phones(t), "phone10", "left").join(flags, KEY + ["phone10"], "left")
+    is_open, coll = F.col("first_disb") <= F.col(PE), F.col("reference") == "COLL"
+    counts = {"wc": (F.col("reference") == "WC") & is_open, "rem": (F.col("reference") == "REM") & is_open}
+    for b, (sub, _) in BUCKETS.items():
+        counts[f"b{b}"] = coll & F.col(f"in_{b}") & (F.lit(True) if sub is None else F.col("subcategory") == sub)
+    legs = legs.withColumn("kpi", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in counts.items())))))
+    top = last_leg(legs, "kpi")
+    reached = F.when(F.col("kpi").isin("wc", "rem"), F.when(F.col("apc") == 1, F.col("phone10"))).otherwise(
+        F.when(F.col("is_apc") == 1, F.col("mobile")))
+    per_kpi = top.groupBy(*KEY, "kpi").agg(F.countDistinct(reached).alias("reached"), F.countDistinct("phone10").alias("called"))
+    agg = per_kpi.groupBy(*KEY).agg(*(F.max(F.when(F.col("kpi") == k, F.col(src))).alias(name)
+                                      for k, names in RATES.items() for src, name in zip(("reached", "called"), names)))
+    out = on_periods(periods, spark, agg, zero_cols=[n for names in RATES.values() for n in names[:2]])
+    return out.withColumns({rate: safe_div(a, b) for a, b, rate in RATES.values()})

@@ -50,6 +50,21 @@ def bucket_normalization(t: Tables, periods: Periods, bucket: int, rules: Rules
     return agg.withColumn(rate, safe_div(num, den))
 
 
+def bucket_normalizations(t: Tables, periods: Periods) -> DataFrame:
+    """The three buckets of :func:`bucket_normalization` side by side, from one start and one end slice;
+    NULL where a period has no loan of the bucket."""
+    j = start_end_dpd(t, periods, 1, 90)
+    start, ok = dpd0("start_dpd"), dpd0("end_dpd") <= dpd0("start_dpd")
+    flags = {}
+    for b, ((lo, hi), (num, den, _)) in NORMALIZATION.items():
+        flags |= {num: start.between(lo, hi) & ok, den: start.between(lo, hi)}
+    per_loan = j.filter(F.col("loan_account").isNotNull()).groupBy(*KEY, "loan_account").agg(*(F.max(f).alias(c) for c, f in flags.items()))
+    agg = per_loan.groupBy(*KEY).agg(*(F.count(F.when(F.col(c), 1)).alias(c) for c in flags))
+    for _, (num, den, rate) in NORMALIZATION.values():
+        agg = agg.withColumn(num, F.when(F.col(den) > 0, F.col(num))).withColumn(den, F.when(F.col(den) > 0, F.col(den))).withColumn(rate, safe_div(num, den))
+    return agg
+
+
 def called_customers_loans(t: Tables, periods: Periods, active_statuses_like=("%Nor%", "%In%")) -> DataFrame:
     """Open loans of customers called in the period (``activeloans``).
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import dpd0, safe_div
-from ..rules import DEFAULT, Rules
+from ..rules import DEFAULT, PRESETS, Rules
 from ..sources.periods import AS_OF, KEY, PE, Periods
 from ..sources.tables import Tables
 from .common import arrears, loan_phone, on_periods, snapshot_in_periods
@@ -17,12 +17,12 @@ FLAGS = ["ptp_received", "Kept_ptp", "Normalized", "Normalizedwithoutptp", "Norm
          "Normalized_cnt_denominator", "Normalizedwithoutptp_cnt"]
 
 
-def _bucket_loans(t: Tables, periods: Periods, bucket: int, rules: Rules) -> DataFrame:
-    """One row per (period, loan) of the bucket: n snapshot rows, the customer's
-    earliest active number."""
-    rows = arrears(t, periods, rules.bucket_membership).filter(f"in_{bucket}").select(
-        *KEY, "loan_account", F.col(f"n_{bucket}").alias("n"))
-    return rows.join(loan_phone(t).select("loan_account", "phone10"), "loan_account")
+def _bucket_loans(t: Tables, periods: Periods, rules: Rules) -> DataFrame:
+    """One row per (period, bucket, loan): n snapshot rows, the customer's earliest active number."""
+    in_buckets = F.array_compact(F.array(*(F.when(F.col(f"in_{b}"), F.struct(F.lit(b).alias("b"), F.col(f"n_{b}").alias("n"))) for b in PTP_BUCKETS)))
+    rows = arrears(t, periods, rules.bucket_membership).select(*KEY, "loan_account", F.explode(in_buckets).alias("x"))
+    return rows.select(*KEY, "loan_account", F.col("x.b").alias("bucket"), F.col("x.n").alias("n")).join(
+        loan_phone(t).select("loan_account", "phone10"), "loan_account")
 
 
 def _end_dpd(t: Tables, periods: Periods, rules: Rules) -> DataFrame:
@@ -57,23 +57,22 @@ def paid_loans(t: Tables, periods: Periods) -> DataFrame:
 
 def ptp_flags(t: Tables, periods: Periods, bucket: int, rules: Rules = DEFAULT) -> DataFrame:
     """Per bucket loan: its phone, end DPD and the phone-valued flags of :data:`FLAGS`."""
-    f = _flags(t, periods, bucket, rules)
+    f = _flags(t, periods, rules).filter(F.col("bucket") == bucket)
     return f.select(*KEY, "loan_account", "phone10", "end_dpd", *(F.when(F.col(c), F.col("phone10")).alias(c) for c in FLAGS))
 
 
-def _flags(t: Tables, periods: Periods, bucket: int, rules: Rules) -> DataFrame:
-    """Per bucket loan: its phone, ``n`` snapshot rows, end DPD and the flags of
-    :data:`FLAGS` as booleans (NULL where ``NOT IN`` is unknown).
+def _flags(t: Tables, periods: Periods, rules: Rules) -> DataFrame:
+    """Per bucket loan of both buckets: its phone, ``n`` snapshot rows, end DPD and the flags
+    of :data:`FLAGS` as booleans (NULL where ``NOT IN`` is unknown).
 
     ``IN (subquery)`` becomes a left join to distinct keys; ``NOT IN`` keeps
     its null-aware meaning: if the kept-PTP set of the period contains a NULL
     loan, every non-match is NULL rather than true."""
-    return t.shared(("ptp_flags", periods, bucket, rules), lambda: _build_flags(t, periods, bucket, rules))
+    return t.shared(("ptp_flags", periods, rules), lambda: _build_flags(t, periods, rules))
 
 
-def _build_flags(t: Tables, periods: Periods, bucket: int, rules: Rules) -> DataFrame:
-    cap = PTP_BUCKETS[bucket]
-    j = _bucket_loans(t, periods, bucket, rules).join(_end_dpd(t, periods, rules), KEY + ["loan_account"], "left")
+def _build_flags(t: Tables, periods: Periods, rules: Rules) -> DataFrame:
+    j = _bucket_loans(t, periods, rules).join(_end_dpd(t, periods, rules), KEY + ["loan_account"], "left")
     kept = kept_loans(t, periods)
     kept_nonnull = kept.filter(F.col("loan_account").isNotNull()).withColumn("_kept", F.lit(True))
     kept_has_null = (kept.groupBy(*KEY)
@@ -82,7 +81,7 @@ def _build_flags(t: Tables, periods: Periods, bucket: int, rules: Rules) -> Data
     j = (j.join(kept_nonnull, KEY + ["loan_account"], "left")
           .join(F.broadcast(kept_has_null), KEY, "left")
           .join(rec, "loan_account", "left"))
-    if rules.normalized_rule in ("le_cap", "kept"):
+    if rules.normalized_rule in ("le_cap", "kept", "le_start"):
         counts = F.lit(rules.normalized_rule == "le_cap")
     else:
         paid = paid_loans(t, periods).withColumn("_paid", F.lit(True))
@@ -92,44 +91,37 @@ def _build_flags(t: Tables, periods: Periods, bucket: int, rules: Rules) -> Data
     # NOT IN: true if no match and the set has no NULL; NULL if no match and a NULL exists.
     not_kept = F.when(is_kept, F.lit(False)).when(F.coalesce("_kn", F.lit(0)) == 1, F.lit(None)).otherwise(F.lit(True))
     e = dpd0("end_dpd")
-    well = e <= (rules.bucket2_normalized_cap if bucket == 2 else 0)
+    cap = F.when(F.col("bucket") == 1, F.lit(PTP_BUCKETS[1])).otherwise(F.lit(PTP_BUCKETS[2]))
+    well = e <= F.when(F.col("bucket") == 2, F.lit(rules.bucket2_normalized_cap)).otherwise(F.lit(0))
     values = [F.coalesce("_rec", F.lit(False)), is_kept, well & is_kept, well & not_kept,
               (e <= cap) & counts, F.lit(True), (e <= cap) & not_kept]
-    return j.select(*KEY, "loan_account", "phone10", "n", "end_dpd", *(v.alias(c) for c, v in zip(FLAGS, values)))
+    return j.select(*KEY, "bucket", "loan_account", "phone10", "n", "end_dpd", *(v.alias(c) for c, v in zip(FLAGS, values)))
 
 
 def _phones_by_flag(flags: DataFrame, names: list[str]) -> DataFrame:
-    """Distinct phones per period for each flag: flags combine per phone, then
-    add up, so several distinct counts need no expanded rows."""
-    per_phone = flags.filter(F.col("phone10").isNotNull()).groupBy(*KEY, "phone10").agg(*(F.max(c).alias(c) for c in names))
-    return per_phone.groupBy(*KEY).agg(*(F.count(F.when(F.col(c), 1)).alias(c) for c in names))
-
-
-def normalized_via_ptp(t: Tables, periods: Periods, rules: Rules = DEFAULT) -> DataFrame:
-    """Distinct-phone counts of every flag, for buckets 1 and 2 (one row per period)."""
-    spark = t.calls.sparkSession
-    out = None
-    for b in (1, 2):
-        agg = _phones_by_flag(_flags(t, periods, b, rules), FLAGS)
-        agg = agg.select(*KEY, *(F.col(n).alias(f"b{b}_{n.lower()}") for n in FLAGS))
-        out = agg if out is None else out.join(agg, KEY, "full")
+    """Distinct phones per period, bucket and flag (``b{bucket}_{flag}``): flags combine per
+    phone, then add up, so several distinct counts need no expanded rows."""
+    per_phone = flags.filter(F.col("phone10").isNotNull()).groupBy(*KEY, "bucket", "phone10").agg(*(F.max(c).alias(c) for c in names))
+    return per_phone.groupBy(*KEY).agg(*(F.count(F.when((F.col("bucket") == b) & F.col(c), 1)).alias(f"b{b}_{c.lower()}")
+                                         for b in PTP_BUCKETS for c in names))
+
+
+def normalized_via_ptp(t: Tables, periods: Periods, rules: Rules = PRESETS["v4"]) -> DataFrame:
+    """Distinct-phone counts of every flag, for buckets 1 and 2 (one row per period).
+    The numerator on phones is that of v1 to v4 and yearly; the rule of v5 is on loans and raises."""
+    rules.require(normalized_rule=("le_cap", "le_cap_paid", "kept"))
+    out = _phones_by_flag(_flags(t, periods, rules), FLAGS)
     cols = [c for c in out.columns if c not in KEY]
-    return on_periods(periods, spark, F.broadcast(out), zero_cols=cols)
+    return on_periods(periods, t.calls.sparkSession, F.broadcast(out), zero_cols=cols)
 
 
 def ptp_received_kept(t: Tables, periods: Periods, rules: Rules = DEFAULT) -> DataFrame:
     """``ptp_received`` / ``kept_ptp``: distinct bucket-1 phones plus distinct
     bucket-2 phones (a phone in both counts twice), and the kept rate."""
-    spark = t.calls.sparkSession
-    parts = []
-    for b in (1, 2):
-        f = _phones_by_flag(_flags(t, periods, b, rules), ["ptp_received", "Kept_ptp"])
-        parts.append(f.select(*KEY, F.col("ptp_received").alias(f"r{b}"), F.col("Kept_ptp").alias(f"k{b}")))
-    agg = parts[0].join(parts[1], KEY, "full")
-    out = on_periods(periods, spark, F.broadcast(agg), zero_cols=("r1", "r2", "k1", "k2"))
-    return out.select(*KEY, (F.col("r1") + F.col("r2")).alias("ptp_received"),
-                      (F.col("k1") + F.col("k2")).alias("kept_ptp"),
-                      safe_div(F.col("k1") + F.col("k2"), F.col("r1") + F.col("r2")).alias("kept_ptp_rate"))
+    agg = _phones_by_flag(_flags(t, periods, rules), ["ptp_received", "Kept_ptp"])
+    out = on_periods(periods, t.calls.sparkSession, F.broadcast(agg), zero_cols=[c for c in agg.columns if c not in KEY])
+    received, kept = F.col("b1_ptp_received") + F.col("b2_ptp_received"), F.col("b1_kept_ptp") + F.col("b2_kept_ptp")
+    return out.select(*KEY, received.alias("ptp_received"), kept.alias("kept_ptp"), safe_div(kept, received).alias("kept_ptp_rate"))
 
 
 def ptp_payments(t: Tables, periods: Periods) -> DataFrame:
@@ -149,21 +141,17 @@ def ptp_payments_by_bucket(t: Tables, periods: Periods, rules: Rules = DEFAULT)
     Deduplicated on (period, loan) (deviation D-6); under ``promise_amounts``
     'row' a loan counts once per snapshot row, under 'normalized' also only if it
     normalised with a kept promise (else 0)."""
-    spark = t.calls.sparkSession
     pay = ptp_payments(t, periods)
-    parts = []
-    for b in (1, 2):
-        f = _flags(t, periods, b, rules)
-        if rules.promise_amounts == "loan":
-            loans, amount = f.select(*KEY, "loan_account").distinct(), F.col("ptpamount")
-        else:
-            loans, amount = f.select(*KEY, "loan_account", "n", "Normalized", "phone10"), F.col("ptpamount") * F.col("n")
-        if rules.promise_amounts == "normalized":
-            amount = F.when(F.col("Normalized") & F.col("phone10").isNotNull(), amount).otherwise(F.lit(0))
-        parts.append(loans.join(pay, KEY + ["loan_account"], "left")
-                     .groupBy(*KEY).agg(F.sum(amount).cast("double").alias(f"bucket{b}ptppmt")))
-    agg = parts[0].join(parts[1], KEY, "full")
-    return on_periods(periods, spark, F.broadcast(agg))
+    f = _flags(t, periods, rules)
+    if rules.promise_amounts == "loan":
+        loans, amount = f.select(*KEY, "bucket", "loan_account").distinct(), F.col("ptpamount")
+    else:
+        loans, amount = f.select(*KEY, "bucket", "loan_account", "n", "Normalized", "phone10"), F.col("ptpamount") * F.col("n")
+    if rules.promise_amounts == "normalized":
+        amount = F.when(F.col("Normalized") & F.col("phone10").isNotNull(), amount).otherwise(F.lit(0))
+    agg = loans.join(pay, KEY + ["loan_account"], "left").groupBy(*KEY).agg(
+        *(F.sum(F.when(F.col("bucket") == b, amount)).cast("double").alias(f"bucket{b}ptppmt") for b in PTP_BUCKETS))
+    return on_periods(periods, t.calls.sparkSession, F.broadcast(agg))
 
 
 def ptp_with_dpd(t: Tables, periods: Periods) -> DataFrame:

@@ -88,6 +88,10 @@ def _recovery(t: Tables, periods: Periods, by_bucket: bool) -> DataFrame:
         F.sum("paymentreceivedbutstilldelinquent").alias("paymentreceivedbutstilldelinquent"),
         F.sum("payment").alias("payment"),
     )
+    return agg
+
+
+def _measures(agg: DataFrame) -> DataFrame:
     for c in _AMOUNT_COLS:
         agg = agg.withColumn(c, F.col(c).cast("double"))
     pfo = F.col("Normalized") + F.col("paymentreceivedbutstilldelinquent")
@@ -99,12 +103,12 @@ def _recovery(t: Tables, periods: Periods, by_bucket: bool) -> DataFrame:
 
 def recovery_by_bucket(t: Tables, periods: Periods) -> DataFrame:
     """One row per (period, DPD bucket 0-8) present on the start day."""
-    return _recovery(t, periods, True)
+    return _measures(_recovery(t, periods, True))
 
 
 def recovery_total(t: Tables, periods: Periods) -> DataFrame:
     """Same measures without the bucket dimension (one row per period)."""
-    return _recovery(t, periods, False).drop("paymentreceived")
+    return _measures(_recovery(t, periods, False)).drop("paymentreceived")
 
 
 def recovery_wide(t: Tables, periods: Periods, buckets=range(1, 9)) -> DataFrame:
@@ -119,3 +123,21 @@ def recovery_wide(t: Tables, periods: Periods, buckets=range(1, 9)) -> DataFrame
                          ("recoveryrate", f"Bucket{n}_recoveryrate")):
             cols.append(F.max(F.when(F.col("bucket") == n, F.col(src))).alias(dst))
     return rb.groupBy(*KEY).agg(*cols)
+
+
+def recovery_report(t: Tables, periods: Periods, buckets=range(1, 9)) -> DataFrame:
+    """:func:`recovery_wide` and the three totals of the report in one pass: a loan has one
+    bucket on the start day, so the total is the sum over buckets (in exact decimals)."""
+    by = _recovery(t, periods, True)
+    cols = ["inArearstoTotal_Overdue_Amount", "Normalized", "paymentreceivedbutstilldelinquent"]
+    out = by.groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in cols),
+                               *(F.max(F.when(F.col("bucket") == n, F.col(c))).alias(f"_{n}_{c}") for n in buckets for c in cols))
+
+    def rates(prefix, source):
+        due, norm, still = (F.col(f"{source}{c}").cast("double") for c in cols)
+        return {f"{prefix}inArearstoTotal_Overdue_Amount": due, f"{prefix}paymentsfromoverdue": norm + still,
+                f"{prefix}recoveryrate": safe_div(norm + still, due)}
+    values = rates("", "")
+    for n in buckets:
+        values |= rates(f"Bucket{n}_", f"_{n}_")
+    return out.select(*KEY, *(v.alias(c) for c, v in values.items()))

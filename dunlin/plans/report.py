@@ -65,22 +65,19 @@ V5_COLUMNS = [
 
 
 def kpi_frames(t: Tables, periods: Periods, rules: Rules = DEFAULT) -> list[DataFrame]:
-    total = recovery.recovery_total(t, periods).select(
-        *KEY, "inArearstoTotal_Overdue_Amount", "paymentsfromoverdue", "recoveryrate")
+    """The report's frames, each KPI family in one pass over its tables."""
+    if (rules.disbursed_within_period, rules.welcome_date_filter, rules.rank_before_bucket, rules.bucket_membership) == (False, True, False, "any"):
+        contacts = [contact.contact_rates(t, periods)]
+    else:
+        contacts = [contact.welcome_call_contact_rate(t, periods, rules), contact.reminder_call_contact_rate(t, periods, rules),
+                    *(contact.bucket_contact_rate(t, periods, b, rules) for b in (1, 2, 3))]
     rb = migration.rollback(t, periods).select(
         *KEY, "wentdelinquent", "rollbacked", "defaulteddelinquentamount", "rollbacked_amount",
         "rollback_rate", "rollback_rate_v")
     return [
-        contact.welcome_call_contact_rate(t, periods, rules),
-        contact.reminder_call_contact_rate(t, periods, rules),
-        contact.bucket_contact_rate(t, periods, 1, rules),
-        migration.bucket_normalization(t, periods, 1, rules),
-        contact.bucket_contact_rate(t, periods, 2, rules),
-        migration.bucket_normalization(t, periods, 2, rules),
-        contact.bucket_contact_rate(t, periods, 3, rules),
-        migration.bucket_normalization(t, periods, 3, rules),
-        recovery.recovery_wide(t, periods),
-        total,
+        *contacts,
+        migration.bucket_normalizations(t, periods),
+        recovery.recovery_report(t, periods),
         rb,
         ptp.ptp_received_kept(t, periods, rules),
         ptp.ptp_payments_by_bucket(t, periods, rules),
