@@ -1,7 +1,6 @@
 """Schemas of the seven input tables and of the report rows.
 
-Names are ours (snake_case); the reference's column names are in the README
-mapping table.  Amounts are DECIMAL(18,2); they are summed as decimals and only
+Names are ours (snake_case); the mapping of the original column names is in FIXTURES.md.  Amounts are DECIMAL(18,2); they are summed as decimals and only
 emitted as DOUBLE.
 """
 

@@ -208,3 +208,38 @@ def test_scorecard_properties(spark):
     assert [r.feature for r in kept] == ["a"]
     hist = scorecard.ml_importance_hist(spark.createDataFrame([("a", 0.7), ("b", 0.3), ("c", 0.0)], "feature string, importance double"), 7).collect()
     assert sum(r.n for r in hist) == 3
+
+
+def test_bins_of_null_and_negative_dpd(spark):
+    from dunlin.functions.keys import dpd_bucket, legacy_bucket, legacy_bucket_label
+    df = spark.createDataFrame([(None,), (-5,), (0,), (1,), (90,), (91,), (400,)], "max_dpd int")
+    got = [tuple(r) for r in df.select(dpd_bucket("max_dpd"), legacy_bucket("max_dpd"), legacy_bucket_label("max_dpd")).collect()]
+    assert [g[0] for g in got] == [0, 0, 0, 1, 3, 4, 8]
+    assert got[0][1] == 0 and got[1][1:] == (90, "Over 90 DPD") and got[3][1] == 1
+
+
+def test_fused_report_equals_its_parts(spark):
+    t = tables(spark, calls=[call("C1", TS(2024, 1, 9, 9), "630000000001", "CLICK"), call("C1", TS(2024, 1, 9, 10), "630000000002", "CLICK", apc=0),
+                             call("C2", TS(2024, 1, 10), "630000000003", "CLICK"), call("C3", TS(2024, 1, 10), "630000000001", "SIGNUP"),
+                             call("C4", TS(2024, 1, 11), None, "VIEW"), call("C5", TS(2024, 1, 11), "630000000003", "VIEW"),
+                             call("C6", TS(2024, 1, 12), "630000000003", "ERROR")])
+    two = Periods.of(("2024-01-01", "2024-01-07"), ("2024-01-08", "2024-01-14"))
+    whole = {r.WkstartDate: r.asDict() for r in report.kpi_report(t, two).collect()}
+    parts = [C.welcome_call_contact_rate(t, two), C.reminder_call_contact_rate(t, two), *(C.bucket_contact_rate(t, two, b) for b in (1, 2, 3)),
+             *(M.bucket_normalization(t, two, b) for b in (1, 2, 3)), R.recovery_wide(t, two), R.recovery_total(t, two).select("WkstartDate", "recoveryrate", "paymentsfromoverdue")]
+    seen = 0
+    for p in parts:
+        for r in p.collect():
+            for k, v in r.asDict().items():
+                if k in whole[r.WkstartDate]:
+                    assert whole[r.WkstartDate][k] == v, k
+                    seen += 1
+    assert seen > 60
+
+
+def test_report_scans_the_calls_twice_at_most(spark, scratch):
+    t = tables(spark).materialize(scratch)
+    plan = report.kpi_report(t, WEEK)._jdf.queryExecution().optimizedPlan().toString()
+    # contact rates and agents; every family reads its slices once
+    assert plan.count("is_rpc#") >= 1 and sum("Relation" in x and "call_id" in x for x in plan.splitlines()) <= 2
+    assert sum("Relation" in x and "max_dpd" in x for x in plan.splitlines()) <= 9
