@@ -217,8 +217,11 @@ def traverse(a_sets, a_size, b_sets, b_size, percent: int):
             i, j = i[j < len(tb[lb][0])], j[j < len(tb[lb][0])]
 
 
-def _region_edges(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) component labels that a link joins. members: region, comp, cid, n, toks."""
+def _region_edges(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) component labels that a link joins. members: region, comp, cid, n; sets: cid, toks.
+
+    Tokens join only the rows of node pairs that have to be traversed.
+    """
     by_comp = members.groupBy("region", "comp").agg(F.count("*").alias("c"))
     main = by_comp.groupBy("region").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("size"), F.count("*").alias("comps"))
     main = main.where("comps > 1 and size > 2").select("region", "size", F.col("m.c").alias("main_size"), F.col("m.comp").alias("main"))
@@ -227,7 +230,7 @@ def _region_edges(members: DataFrame, percent: int) -> DataFrame:
     of = F.when(rest, F.col("size") - F.col("main_size")).otherwise(F.col("main_size"))
     node = F.when(F.col("size") <= NODE, F.lit(0)).otherwise(
         F.pmod(F.xxhash64("cid"), F.ceil(of / NODE)) * 2 + rest.cast("long") + 1)
-    m = stored(m.select("region", "comp", "cid", "n", "toks", node.alias("node")))
+    m = stored(m.select("region", "comp", "cid", "n", node.alias("node")))
     nodes = m.groupBy("region", "node").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     left, right = (nodes.select("region", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "lo", "hi", "c0", "c1"))) for s in "ab")
     pairs = left.join(right, "region").where(
@@ -261,7 +264,8 @@ def _region_edges(members: DataFrame, percent: int) -> DataFrame:
                 up[top(comp[x])] = top(comp[y])
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return sides.join(m, ["region", "node"]).groupBy("region", "a_node", "b_node").applyInArrow(run, "a long, b long")
+    rows = stored(sides.join(m, ["region", "node"]).drop("node"))
+    return rows.join(sets, "cid").groupBy("region", "a_node", "b_node").applyInArrow(run, "a long, b long")
 
 
 def class_components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
@@ -272,14 +276,16 @@ def class_components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFram
     blocks = front.groupBy("tok").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("cid")).alias("sig"),
                                       F.max(F.struct("weight", "cid")).alias("top")).where("c > 1")
     blocks = blocks.groupBy("c", "sig", F.col("top.cid").alias("center")).agg(F.min("tok").alias("tok"))
-    near = stored(front.join(blocks.select("tok", "center"), "tok").where("cid <> center").select("cid", "center").distinct(), f"{folder}/near")
+    near = stored(front.select("cid", "tok").join(blocks.select("tok", "center"), "tok").where("cid <> center").select("cid", "center").distinct(), f"{folder}/near")
     a, b = (s.select(F.col("cid").alias(c), F.col("n").alias(f"{x}_n"), F.col("toks").alias(f"{x}_toks")) for x, c in (("a", "cid"), ("b", "center")))
-    stars = stored(near.join(a, "cid").join(b, "center").where(_linked(percent)).select("cid", "center"), f"{folder}/stars")
+    sizes = s.select(F.col("cid").alias("center"), F.col("n").alias("c_n"))
+    fits = near.join(sizes, "center").join(s.select("cid", "n"), "cid").where(f"100 * least(n, c_n) >= {percent} * greatest(n, c_n)").select("cid", "center")
+    stars = stored(fits.join(a, "cid").join(b, "center").where(_linked(percent)).select("cid", "center"), f"{folder}/stars")
     comps, regions = components(stars, "cid", "center"), components(near, "cid", "center")
-    members = s.join(regions.select(F.col("node").alias("cid"), F.col("label").alias("region")), "cid").join(
+    members = s.select("cid", "n").join(regions.select(F.col("node").alias("cid"), F.col("label").alias("region")), "cid").join(
         comps.select(F.col("node").alias("cid"), F.col("label").alias("comp")), "cid", "left").select(
-        "region", F.coalesce("comp", "cid").alias("comp"), "cid", "n", "toks")
-    more = stored(_region_edges(members, percent), f"{folder}/more")
+        "region", F.coalesce("comp", "cid").alias("comp"), "cid", "n")
+    more = stored(_region_edges(members, s.select("cid", "toks"), percent), f"{folder}/more")
     if not more.limit(1).count():
         return comps
     return components(stars.unionByName(more.select(F.col("a").alias("cid"), F.col("b").alias("center"))), "cid", "center")
