@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dunlin.llm.shared import shared_dir, stored
+
 # fixed values of the contract: verdict, rule (host and path prefix)
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DEPTH = 4  # levels of the tree; what lies deeper is one wildcard
@@ -62,9 +64,11 @@ def templates(shapes: DataFrame, bad_share: float) -> DataFrame:
     Level by level: a branch keeps its segment only if it holds LEAST_LABELLED labelled
     pages and its bad share differs from its siblings' by Z standard errors; all others become ``*``.
     """
+    folder = shared_dir(shapes.sparkSession)
     t = shapes.withColumn("template", F.lit(""))
     for level in range(DEPTH + 1):
-        t = t.withColumn("seg", F.get("shape", F.lit(level)))
+        # a level reads the last one several times: written, so plans do not multiply
+        t = stored(t, f"{folder}/{level}").withColumn("seg", F.get("shape", F.lit(level)))
         own = t.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("m").alias("m"), F.sum("b").alias("b"))
         every = own.groupBy("host", "template").agg(F.sum("m").alias("all_m"), F.sum("b").alias("all_b"), F.count("*").alias("kinds"))
         j = own.join(every, ["host", "template"])
@@ -76,6 +80,7 @@ def templates(shapes: DataFrame, bad_share: float) -> DataFrame:
         kept = j.select("host", "template", "seg", F.when((F.col("kinds") == 1) | apart, F.col("seg")).otherwise(F.lit("*")).alias("to"))
         t = t.join(kept, ["host", "template", "seg"], "left").withColumn(
             "template", F.when(F.col("to").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "to"))).drop("seg", "to")
+    t = stored(t, f"{folder}/{DEPTH + 1}")
     total = t.groupBy("host", "template").agg(F.sum("m").alias("tm"), F.sum("b").alias("tb"))
     return t.join(total, ["host", "template"]).withColumn(
         "purity", (F.col("tb") + F.lit(WEIGHT * bad_share)) / (F.col("tm") + F.lit(WEIGHT))).drop("tm", "tb")
