@@ -31,37 +31,39 @@ from dunlin.llm.components import components
 from dunlin.llm.shared import column, shared_dir, slices, stored, text_buffer
 from dunlin.llm.words import Hasher, U, mix, shingles, space_words
 
+GROUP_BYTES = 1 << 23  # text whose tokens a task holds at once
 NODE = 128  # members of a tree node that are shipped together
 LEAF = 4  # sets below a leaf of a tree in a task, and children of an inner node
 BITS = 2048  # bits of a signature
 
 
 def _sets(batches, k: int):
-    """Per slice of each batch: (row numbers offset, sizes, class ids, row of each token, tokens)."""
+    """Per group of slices (about 8 MB of text) of each batch: batch, first row, rows, sizes,
+    class ids, row of each token (from the group's first), tokens."""
     hasher = Hasher(space_words())
     for batch in batches:
         data, offs = text_buffer(column(batch, "text"))
-        parts = []
-        for a, b in slices(offs):
-            h, rows, _, _ = hasher.words(data[offs[a]: offs[b]], offs[a: b + 1] - offs[a])
-            r, tok = shingles(h, rows, b - a, k)
-            n = np.bincount(r, minlength=b - a)
-            acc = np.concatenate([np.zeros(1, U), np.cumsum(mix(tok.astype(U) + U(1)), dtype=U)])
-            cut = np.concatenate([[0], np.cumsum(n)])
-            cid = mix(acc[cut[1:]] - acc[cut[:-1]] + n.astype(U)).view(np.int64)
-            parts.append((a, n, cid, r, tok))
-        yield batch, parts
+        for first, stop in slices(offs, GROUP_BYTES, 1 << 30):
+            parts = []
+            for a, b in slices(offs[first: stop + 1] - offs[first]):
+                a, b = a + first, b + first
+                h, rows, _, _ = hasher.words(data[offs[a]: offs[b]], offs[a: b + 1] - offs[a])
+                r, tok = shingles(h, rows, b - a, k)
+                n = np.bincount(r, minlength=b - a)
+                acc = np.concatenate([np.zeros(1, U), np.cumsum(mix(tok.astype(U) + U(1)), dtype=U)])
+                cut = np.concatenate([[0], np.cumsum(n)])
+                cid = mix(acc[cut[1:]] - acc[cut[:-1]] + n.astype(U)).view(np.int64)
+                parts.append((n, cid, r + a - first, tok))
+            yield (batch, first, stop - first, *(np.concatenate([p[i] for p in parts]) for i in range(4)))
 
 
 def document_sets(docs: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, cid) of every row; cid is the class of equal sets, null for an empty set."""
 
     def run(batches):
-        for batch, parts in _sets(batches, k):
-            n = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])
-            cid = np.concatenate([p[2] for p in parts] or [np.zeros(0, np.int64)])
+        for batch, first, rows, n, cid, _, _ in _sets(batches, k):
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cid, pa.int64(), mask=n == 0)],
+                [column(batch, "doc_id").cast(pa.int64()).slice(first, rows), pa.array(n, pa.int64()), pa.array(cid, pa.int64(), mask=n == 0)],
                 ["doc_id", "n_shingles", "cid"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cid long")
@@ -72,13 +74,9 @@ def shared_tokens(docs: DataFrame, k: int = 5) -> DataFrame:
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def pack(batches):
-        for _, parts in _sets(batches, k):
-            cid = np.concatenate([p[2] for p in parts] or [np.zeros(0, np.int64)])
-            n = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])
+        for _, _, _, n, cid, row, tok in _sets(batches, k):
             first = np.zeros(len(cid), bool)
             first[np.unique(cid, return_index=True)[1]] = True
-            row = np.concatenate([p[3] + p[0] for p in parts] or [np.zeros(0, np.int64)])
-            tok = np.concatenate([p[4] for p in parts] or [np.zeros(0, np.int64)])
             row, tok = row[first[row]], tok[first[row]]
             part = tok % n_parts
             order = np.argsort(part.astype(np.uint16 if n_parts < 65536 else np.int64), kind="stable")
