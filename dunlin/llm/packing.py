@@ -290,7 +290,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers=TIERS, group: i
         for batch in batches:
             doc = column(batch, "doc_id").to_pylist()
             data, offs = text_buffer(column(batch, "text"))
-            for a, b in slices(offs, 1 << 24, 1 << 30):
+            for a, b in slices(offs, 1 << 23, 1 << 30):
                 for d, ids in zip(doc[a:b], encoder.encode(data[offs[a]: offs[b]], offs[a: b + 1] - offs[a])):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     ids_of[row_no] = (d, ids)
