@@ -7,8 +7,8 @@ word, which stay a distributed table.  The end token is a class of its own.
 
 Baum-Welch: every task runs scaled forward and backward recursions over its texts
 and emits expected counts by class; they are summed across partitions, and the
-driver turns the sums (CLASSES x STATES numbers) into the next model.  First rounds
-run over a fixed fraction of the texts, the last ones over all training texts.
+driver turns the sums (CLASSES x STATES numbers) into the next model.  Every round
+runs over all training texts, until the log likelihood hardly changes.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from dunlin.llm.words import Hasher, U, counts_of, mix, space_words
 
 STATES = 4
 CLASSES = 1 << 14
-WARM_PARTS, WARM_ROUNDS, FULL_ROUNDS = 16, 8, 2
+MOST_ROUNDS, LEAST_GAIN = 5, 1e-3  # Baum-Welch rounds, and the relative gain in log likelihood below which they end
 KNOWN_WORDS = 1 << 17  # counts sent to the tasks; all other words are joined
 BLOCK = 64  # tokens of a transfer matrix
 END = -1  # the end token in the table of word counts
@@ -220,14 +220,17 @@ def expected_counts(texts: DataFrame, model: Model, classes: int):
 
 
 def train(texts: DataFrame, class_counts: np.ndarray, states: int = STATES) -> Model:
-    """Warm rounds over one of WARM_PARTS parts of the texts (by a hash of the text), then full rounds."""
+    """Baum-Welch rounds over all training texts: MOST_ROUNDS, or fewer if the log likelihood gains less than LEAST_GAIN of itself."""
     classes = len(class_counts) - 1
-    model = Model.start(class_counts, states)
-    warm = stored(texts.select("text").where(F.pmod(F.xxhash64("text"), F.lit(WARM_PARTS)) == 0))
-    for k in range(WARM_ROUNDS + FULL_ROUNDS):
-        gamma, xi, pi, _ = expected_counts(warm if k < WARM_ROUNDS else texts, model, classes)
-        if pi.sum() > 0:
-            model = Model.of_counts(class_counts, gamma, xi, pi)
+    model, last = Model.start(class_counts, states), None
+    for _ in range(MOST_ROUNDS):
+        gamma, xi, pi, ll = expected_counts(texts, model, classes)
+        if pi.sum() == 0:
+            break
+        model = Model.of_counts(class_counts, gamma, xi, pi)
+        if last is not None and ll - last < LEAST_GAIN * abs(last):
+            break
+        last = ll
     return model
 
 

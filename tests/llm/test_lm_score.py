@@ -88,3 +88,19 @@ def test_hash_is_the_words_alone():
     one = h.words(np.frombuffer(b"ab cd ab", np.uint8), np.array([0, 8]))[0]
     two = h.words(np.frombuffer(b"xAB", np.uint8), np.array([0, 1, 3]))[0]
     assert one[0] == one[2] == two[1] != one[1]
+
+
+def test_every_round_reads_all_training_texts(spark, monkeypatch):
+    texts = {k: words(k, 40, 50) for k in range(40)}
+    read, gains, of = [], [], L.expected_counts
+
+    def spied(texts, model, classes):
+        out = of(texts, model, classes)
+        read.append(texts.count())
+        gains.append(out[3])
+        return out
+
+    monkeypatch.setattr(L, "expected_counts", spied)
+    assert L.score(documents(spark, texts), classes=16).count() == len(texts)
+    assert set(read) == {sum(zlib.crc32(str(i).encode()) % 10 > 0 for i in texts)}
+    assert 2 <= len(read) <= L.MOST_ROUNDS and gains == sorted(gains)
