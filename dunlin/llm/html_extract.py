@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from dunlin.llm.shared import column
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|noscript|template|textarea|select|button|iframe|svg|canvas|object)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|noscript|textarea|iframe)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<![^>]*>|<\?[^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+DROPPED = frozenset("button canvas object select svg template".split())  # their text goes
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}}
 NO_P = BLOCK_TAGS - {"p", "li", "td", "th", "tr", "dt", "dd", "html", "body", "head"}  # a tag that ends an open paragraph
@@ -37,45 +38,63 @@ ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*("[
 TAG_WEIGHT = {"nav": -8.0, "footer": -8.0, "aside": -8.0, "header": -8.0, "form": -8.0, "menu": -8.0, "dialog": -8.0, "fieldset": -6.0,
               "article": 5.0, "main": 3.0}
 BAD_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|cookies?|consent|notices?|alert|popup|modal|"
+    r"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?<!without[_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|cookies?|consent|notices?|alert|popup|modal|"
     r"newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|comments?|replies|reply|disqus|respond|discussion|widget|toolbar|pagination|pager|"
     r"search|tags|legal|copyright|complementary|contentinfo|navigation|dialog)(?=$|[\s_-])", re.I)
-BAD_CLASS = -9.0
+BAD_CLASS, HIDDEN = -9.0, -9.0
+BAD_OUTSIDE = -3.0  # what class words of the containers around an article or main lend to what is in it, at worst
 # learned: words in a block, share of them inside links, sentence ends
 BUCKETS = ("w0", "w1", "w2", "w3", "l0", "l1", "l2", "s0", "s1")
 NEAR, SAME, CONTAINER = 0.3, 0.9, 0.6  # smoothness capacities: any neighbours, same container, container node
 RUN = 2.0  # learned log odds stay within this
+# log odds where no page has examples of both kinds
+PRIOR = {"w0": -1.5, "w1": -0.5, "w2": 1.0, "w3": 2.0, "l0": 0.5, "l1": -1.0, "l2": -2.0, "s0": -0.7, "s1": 1.0}
 
 
 class Block:
-    __slots__ = ("parts", "linked", "path", "weight")
+    __slots__ = ("parts", "linked", "path", "weight", "held")
 
     def __init__(self, path: tuple, weight: float):
         self.parts, self.linked, self.path, self.weight = [], 0, path, weight
+        self.held: list[tuple[int, bool, tuple]] = []  # parts that go if a DROPPED element around them has its end tag
 
 
-def _weight(tag: str, attrs: str) -> float:
-    w = TAG_WEIGHT.get(tag, 0.0)
+def _weight(tag: str, attrs: str) -> tuple[float, float]:
+    """Weight of a container, and the part of it that comes from class words."""
+    w, words = TAG_WEIGHT.get(tag, 0.0), 0.0
     if attrs and tag not in ("html", "body"):
         for name, value in ATTRIBUTE.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id", "role") and BAD_WORD.search(value):
-                w = min(w, 0.0) + BAD_CLASS
+                w, words = min(w, 0.0) + BAD_CLASS, words + BAD_CLASS
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                w = min(w, 0.0) + BAD_CLASS
-    return w
+                w = min(w, 0.0) + HIDDEN
+    return w, words
+
+
+def _held_weight(stack: list[tuple[str, int, float, float]]) -> float:
+    """Weight of all open containers; class words outside an article or main count BAD_OUTSIDE at worst."""
+    inside = next((k for k, x in enumerate(stack) if x[0] in ("article", "main")), 0)
+    outside = sum(x[3] for x in stack[:inside])
+    return sum(x[2] for x in stack) - outside + max(outside, BAD_OUTSIDE)
 
 
 def blocks(page: str) -> list[tuple[str, float, tuple, float]]:
-    """(text, share of it in links, container path, container weight) of every block with text, in page order."""
+    """(text, share of it in links, container path, container weight) of every block with text, in page order.
+
+    Text of DROPPED elements goes.  One without its end tag takes what comes before the next block tag.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, int, float]] = []  # open elements: tag, number, weight of all of them
+    stack: list[tuple[str, int, float, float]] = []  # open elements: tag, number, weight, part of it from class words
+    dropping: dict[int, bool] = {}  # open DROPPED elements: whether no block tag has come since
+    ended: set[int] = set()  # DROPPED elements that had their end tag
     links, number, now = 0, 0, None
 
     def close(k: int):
         nonlocal links
-        for tag, _, _ in stack[k:]:
+        for tag, n, *_ in stack[k:]:
             links -= tag == "a"
+            dropping.pop(n, None)
         del stack[k:]
 
     for m in TOKEN.finditer(page):
@@ -83,9 +102,13 @@ def blocks(page: str) -> list[tuple[str, float, tuple, float]]:
         if tag is None:
             if m["raw"] is not None or m[0][:2] in ("<!", "<?"):
                 continue
+            if dropping and any(dropping.values()):
+                continue
             if now is None:
-                now = Block(tuple(n for t, n, _ in stack if t in BLOCK_TAGS), sum(w for _, _, w in stack))
+                now = Block(tuple(n for t, n, *_ in stack if t in BLOCK_TAGS), _held_weight(stack))
                 out.append(now)
+            if dropping:
+                now.held.append((len(now.parts), links > 0, tuple(dropping)))
             now.parts.append(m[0])
             if links:
                 now.linked += len(m[0])
@@ -97,21 +120,31 @@ def blocks(page: str) -> list[tuple[str, float, tuple, float]]:
             continue
         if tag in BLOCK_TAGS:
             now = None
+            if dropping:
+                dropping = dict.fromkeys(dropping, False)
         if m["end"]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             # inline ends do not close blocks around them
-            if k is not None and (tag in BLOCK_TAGS or not any(t in BLOCK_TAGS for t, _, _ in stack[k:])):
+            if k is not None and (tag in BLOCK_TAGS or tag in DROPPED or not any(x[0] in BLOCK_TAGS for x in stack[k:])):
+                if tag in DROPPED:
+                    ended.add(stack[k][1])
                 close(k)
             continue
         shut = CLOSES.get(tag) or ({"p"} if tag in NO_P else ())
-        while shut and (k := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK_TAGS), None)) is not None and stack[k][0] in shut:
+        while shut and (k := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK_TAGS or stack[k][0] in DROPPED), None)) is not None and stack[k][0] in shut:
             close(k)
         if tag not in VOID_TAGS and not m["attrs"].endswith("/"):
             number += 1
-            stack.append((tag, number, _weight(tag, m["attrs"])))
+            stack.append((tag, number, *_weight(tag, m["attrs"])))
             links += tag == "a"
+            if tag in DROPPED:
+                dropping[number] = True
     done = []
     for b in out:
+        for k, linked, around in b.held:
+            if not ended.isdisjoint(around):
+                b.linked -= len(b.parts[k]) * linked
+                b.parts[k] = ""
         raw = "".join(b.parts)
         text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
         if text:
@@ -224,7 +257,7 @@ def learn(pages: DataFrame) -> dict[str, float]:
     n = {(r.k, r.y): r.n for r in rows}
     total = [sum(v for (k, y), v in n.items() if y == c and k[0] == "w") for c in (0, 1)]
     if not min(total):
-        return {}
+        return PRIOR
     import math
     odds = {k: math.log((n.get((k, 1), 0) + 1) / (total[1] + 3)) - math.log((n.get((k, 0), 0) + 1) / (total[0] + 3)) for k in BUCKETS}
     return {k: max(-RUN, min(RUN, v)) for k, v in odds.items()}

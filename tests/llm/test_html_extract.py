@@ -64,3 +64,28 @@ def test_minimum_cut_is_minimal():
         best = min(cost([*bits, True, False]) for bits in itertools.product([True, False], repeat=n))
         side = H._max_flow(n + 2, edges, n, n + 1)
         assert abs(cost(side) - best) < 1e-9
+
+
+LEARNED = {"w0": -2.0, "w3": 1.0, "l2": -2.0, "s1": 0.5}
+
+
+@pytest.mark.parametrize("extra", ["<svg class=i />", "<svg-icon></svg-icon>", "<button-group></button-group>", "<button>Open it", "<div><button>Open</div>", "<p>See <select><option>One</p>",
+                                   "<template><p>Hidden line, with a few words. Yes.</p></template>", "<button><div>Click. Me now.</div></button>", "<p><object><p>Old. Browser text here.</p></object></p>"])
+def test_dropped_elements_take_their_own_text_alone(extra):
+    html, text = page(5, extra)
+    want = text % ("See\n" if "See" in extra else "")
+    assert H.text_of(html, LEARNED) == want
+    assert H.text_of(html.replace(extra, "").replace("<article>", f"{extra}<article>"), LEARNED).endswith(text % "")
+
+
+def test_class_words_around_an_article_do_not_drop_it():
+    html, text = page(6, "<div class='comments'><p>I liked this a lot. Thanks for it, really.</p></div>")
+    for around in ("<div class='site has-sidebar'>", "<div class='layout sidebar'>"):
+        assert H.text_of(html.replace("<article>", f"{around}<article>").replace("</article>", "</article></div>"), LEARNED) == text % ""
+    assert H.text_of(html.replace("<article>", "<article hidden>"), LEARNED) == ""
+
+
+def test_prior_odds_without_examples(spark):
+    rows = [(1, "u", f"<div><a href=/>Home</a></div><p>{SENTENCES[0]} {SENTENCES[1]}</p><div><a href=/y>About us</a></div>")]
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
+    assert got.text == f"{SENTENCES[0]} {SENTENCES[1]}"
