@@ -30,8 +30,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every found secret is replaced by a mark; n_chars counts the new text."""
-    return secret_scan.redact(docs, secret_scan.scan(docs))
+    """Every found secret is replaced by a mark, a private key with its body; n_chars counts the new text."""
+    return secret_scan.redact(docs, secret_scan.scan(docs, rules=secret_scan.WHOLE_RULES))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,11 @@ RULES: dict[str, tuple[int, str, int, int]] = {
     "pem": (1, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 1),
     "bearer": (1, r"(?ai:bearer)\x20+[A-Za-z0-9+/_.=-]+", 0, 27),
 }
+# for redaction: a private key goes up to its END line, or over the base64 lines after its BEGIN line
+PEM_HEAD = r"-----BEGIN ([A-Z ]{0,20}PRIVATE KEY)-----"
+PEM_GAP, PEM_END = r"(?:\s|\\[nr])+", r"(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{4}|[A-Za-z0-9+/]{3}=|[A-Za-z0-9+/]{2}==)"
+WHOLE_RULES = RULES | {"pem": (
+    2, rf"{PEM_HEAD}(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1-----|(?:{PEM_GAP}(?:(?:Proc-Type|DEK-Info):[^\n]*|[A-Za-z0-9+/]{{16,}}={{0,2}}))*(?:[\r\n]+{PEM_END}(?=\s*(?:\Z|[\r\n])))?)", 0, 1)}
 BASE_KINDS = ("assign", "access", "hex")
 SPAN = "array<struct<start:long,end:long>>"
 

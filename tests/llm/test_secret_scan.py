@@ -58,3 +58,12 @@ def test_redaction(spark):
 
 def test_empty(spark):
     assert secret_scan.digests(secret_scan.scan(empty(spark))).count() == 0
+
+
+def test_redaction_takes_the_body_of_a_private_key(spark):
+    body = "\n".join("MIIEvQ" + "aB3+/9xZ" * 7 for _ in range(5))
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    docs = documents(spark, {1: f"see {head}\n{body}\nQUJD\n{end} and more", 2: f"see {head}\n{body}\nQUI=\nClean words follow here.",
+                             3: f"a {head}\\n{body.replace(chr(10), chr(92) + 'n')}\\n{end}", 4: f"{head} is a header line"})
+    out = {r.doc_id: r.text for r in secret_scan.redact(docs, secret_scan.scan(docs, rules=secret_scan.WHOLE_RULES)).collect()}
+    assert out == {1: "see [SECRET] and more", 2: "see [SECRET]\nClean words follow here.", 3: "a [SECRET]", 4: "[SECRET] is a header line"}
