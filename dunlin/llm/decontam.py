@@ -10,12 +10,14 @@ the stated query set and goes to the tasks in blocks of bounded size.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunlin.llm.shared import column, slices, stored, text_buffer
+from dunlin.llm.shared import column, row_key, slices, stored, text_buffer, without
 from dunlin.llm.words import Hasher, U, alnum_words, counts_of
 
 WINDOW = 10
@@ -177,8 +179,7 @@ def _scan_block(docs: DataFrame, items: list, window: int, by: str) -> DataFrame
                     [by, "n_words", "n_hit", "items", "spans", "row_key", "hits"])
 
     kind = dict(docs.dtypes)[by]
-    key = F.concat_ws(":", F.xxhash64(by, "text"), F.xxhash64(F.lit(1), by, "text"))
-    return docs.select(by, "text", key.alias("row_key")).mapInArrow(
+    return docs.select(by, "text", row_key(by).alias("row_key")).mapInArrow(
         run, f"{by} {kind}, n_words long, n_hit long, items array<string>, spans array<struct<item_id:string,item_word:long,word:long,n_words:long>>, row_key string, hits array<long>")
 
 
@@ -191,9 +192,6 @@ def flagged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the documents (doc_id) whose text has a hit word; columns as they were.
-
-    Rows without a doc_id stay.
-    """
-    bad = scan(docs, benchmark, window).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose text has a hit word; columns as they were."""
+    hit = [_scan_block(docs, items, window, "doc_id").where("n_hit > 0").select(F.col("row_key").alias("__row")) for _, items in _blocks(benchmark)]
+    return without(docs, reduce(DataFrame.unionByName, hit))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dunlin.llm.components import components
-from dunlin.llm.shared import column, shared_dir, slices, stored, text_buffer
+from dunlin.llm.shared import column, row_key, shared_dir, slices, stored, text_buffer, without
 from dunlin.llm.words import Hasher, U, mix, shingles, space_words
 
 GROUP_BYTES = 1 << 23  # text whose tokens a task holds at once
@@ -57,16 +57,17 @@ def _sets(batches, k: int):
             yield (batch, first, stop - first, *(np.concatenate([p[i] for p in parts]) for i in range(4)))
 
 
-def document_sets(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, cid) of every row; cid is the class of equal sets, null for an empty set."""
+def document_sets(docs: DataFrame, k: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, cid) of every row, and its string columns ``carry``; cid is the class of equal sets, null for an empty set."""
 
     def run(batches):
         for batch, first, rows, n, cid, _, _ in _sets(batches, k):
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id").cast(pa.int64()).slice(first, rows), pa.array(n, pa.int64()), pa.array(cid, pa.int64(), mask=n == 0)],
-                ["doc_id", "n_shingles", "cid"])
+                [column(batch, "doc_id").cast(pa.int64()).slice(first, rows), pa.array(n, pa.int64()), pa.array(cid, pa.int64(), mask=n == 0),
+                 *(column(batch, c).slice(first, rows) for c in carry)],
+                ["doc_id", "n_shingles", "cid", *carry])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cid long")
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, "doc_id long, n_shingles long, cid long" + "".join(f", {c} string" for c in carry))
 
 
 def shared_tokens(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -297,22 +298,31 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     empty or without words have no shingles and link with nothing.  Rows that
     repeat come out as often as they came in.  An empty table gives no rows.
     """
-    sets = stored(document_sets(docs, k))
+    return _labelled(docs, percent, k).select("doc_id", "n_shingles", "component_id")
+
+
+def _labelled(docs: DataFrame, percent: int, k: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`near_duplicates` with the component's label (null for a row without shingles) and the string columns ``carry``."""
+    sets = stored(document_sets(docs, k, carry))
     comps = class_components(docs, percent, k)
     classes = sets.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first"))
     classes = classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = classes.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = stored(classes.join(least, "label").select("cid", "component_id"))
-    full = sets.where("cid is not null").join(classes, "cid").select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(sets.where("cid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    classes = stored(classes.join(least, "label").select("cid", "component_id", "label"))
+    full = sets.where("cid is not null").join(classes, "cid").select("doc_id", "n_shingles", "component_id", "label", *carry)
+    return full.unionByName(sets.where("cid is null").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label"), *carry))
 
 
 def deduplicated(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest doc_id.
 
-    Rows without words are in no group and stay, as do rows without a doc_id; of
-    rows that repeat a doc_id and fall into one group all with the smallest doc_id stay.
+    Rows without words are in no group and stay.  A row without a doc_id goes if its group has
+    one with a doc_id; of a group without any doc_id the text with the least hash stays.  Of
+    rows that repeat a doc_id (or have none) and their text, all stay or none.
     """
-    found = near_duplicates(docs, percent, k)
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = _labelled(docs.withColumn("__row", row_key()), percent, k, ("__row",))
+    nameless = found.where("component_id is null and label is not null").select("label", "__row").distinct()
+    least = nameless.groupBy("label").agg(F.min("__row").alias("__least"))
+    gone = found.where("component_id < doc_id or doc_id is null and component_id is not null").select("__row")
+    return without(docs, gone.unionByName(nameless.join(least, "label").where("__row <> __least").select("__row")))

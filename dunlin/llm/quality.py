@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunlin.llm.shared import column, shared_dir, slices, stored, text_buffer
+from dunlin.llm.shared import column, row_key, shared_dir, slices, stored, text_buffer, without
 from dunlin.llm.words import Hasher, counts_of, shingles, space_words
 
 FEATURES = ("words", "word_length", "upper", "digits", "marks", "shouts", "bars", "stops", "lines", "beyond_ascii",
@@ -55,8 +55,8 @@ def vectors(hasher: Hasher, data: np.ndarray, offs: np.ndarray, a: int, b: int)
         share(np.bincount(capital, minlength=b - a), n)], 1)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, f) of every row."""
+def features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, f) of every row, and its string columns ``carry``."""
 
     def run(batches):
         hasher = Hasher(space_words())
@@ -66,9 +66,9 @@ def features(docs: DataFrame) -> DataFrame:
             for a, b in slices(offs):
                 v = vectors(hasher, data, offs, a, b)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), flat], ["doc_id", "f"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), flat, *(column(batch, c).slice(a, b - a) for c in carry)], ["doc_id", "f", *carry])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, f array<double>")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", *carry).mapInArrow(run, "doc_id long, f array<double>" + "".join(f", {c} string" for c in carry))
 
 
 def moments(labelled: DataFrame, d: int) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -134,8 +134,8 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(odds, -LIMIT, LIMIT)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of ``docs``.
+def classify(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of ``docs``, and its string columns ``carry``.
 
     Labels of rows whose crc32(doc_id) mod ``folds`` is 0 are never read; null
     labels and labels other than 0 and 1 are skipped, and labels that repeat count each.
@@ -145,7 +145,7 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, threshold:
     spark = docs.sparkSession
     d = len(FEATURES)
     crc = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
-    f = stored(features(docs), shared_dir(spark)).withColumn("held_out", F.coalesce(crc == 0, F.lit(False)))
+    f = stored(features(docs, carry), shared_dir(spark)).withColumn("held_out", F.coalesce(crc == 0, F.lit(False)))
     y = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(crc != 0)
     model = Discriminant(moments(f.join(y, "doc_id"), d), d)
 
@@ -153,13 +153,12 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, threshold:
         for batch in batches:
             v = column(batch, "f").flatten().to_numpy().reshape(-1, d)
             s = model.scores(v)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
-                                             ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), *(column(batch, c) for c in carry)],
+                                             ["doc_id", "held_out", "score", "predicted", *carry])
 
-    return f.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return f.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int" + "".join(f", {c} string" for c in carry))
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents (doc_id) that the classifier rejects; rows without a doc_id stay."""
-    bad = classify(docs, labels).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows that the classifier rejects."""
+    return without(docs, classify(docs.withColumn("__row", row_key()), labels, carry=("__row",)).where("predicted = 0"))

@@ -82,7 +82,7 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan(docs: DataFrame, ledger: str | None = None, rules: dict | None = None) -> DataFrame:
-    """(doc_id, kinds): one row per row of ``docs``; kinds maps a kind to its spans, kinds without findings left out.
+    """(doc_id, blob, kinds): one row per row of ``docs``; kinds maps a kind to its spans, kinds without findings left out.
 
     ``ledger`` is a Parquet folder that all executors share; it is created at the
     first run and appended to.  None is a ledger of this run alone.  A null text is
@@ -108,7 +108,7 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: dict | None = None)
     current = F.array(*(F.concat_ws(":", F.lit(k), F.lit(r[0])) for k, r in rules.items()))
     findings = read_ledger(spark, ledger).where((F.size("spans") > 0) & F.array_contains(current, F.concat_ws(":", "kind", "version")))
     findings = findings.dropDuplicates(["blob", "kind"]).groupBy("blob").agg(F.map_from_entries(F.collect_list(F.struct("kind", "spans"))).alias("kinds"))
-    return paths.join(findings, "blob", "left").select("doc_id", F.coalesce("kinds", F.create_map().cast(f"map<string,{SPAN}>")).alias("kinds"))
+    return paths.join(findings, "blob", "left").select("doc_id", "blob", F.coalesce("kinds", F.create_map().cast(f"map<string,{SPAN}>")).alias("kinds"))
 
 
 def _listed(kinds) -> F.Column:
@@ -129,19 +129,20 @@ def digests(found: DataFrame, rules: dict | None = None) -> DataFrame:
 def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span replaced by ``mark`` (overlapping spans once) and n_chars counted anew.
 
-    Rows without findings stay as they were.  Only documents with findings are
-    joined; a doc_id that repeats gets the union of its rows' findings.
+    Rows without findings stay as they were.  Only findings are joined, by doc_id (also
+    null) and blob, so each text gets its own.
     """
     names = docs.columns
-    flat = found.where(F.size("kinds") > 0).select("doc_id", F.explode(F.flatten(F.map_values("kinds"))).alias("s"))
-    spans = flat.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end")))).alias("__spans"))
+    flat = found.where(F.size("kinds") > 0).select(F.col("doc_id").alias("__doc"), F.col("blob").alias("__blob"), F.explode(F.flatten(F.map_values("kinds"))).alias("s"))
+    spans = flat.groupBy("__doc", "__blob").agg(F.array_sort(F.collect_set(F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end")))).alias("__spans"))
     cut = F.aggregate(
         "__spans", F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.struct(
             F.when(s["start"] >= acc["at"], F.concat(acc["kept"], F.substr("text", (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)))
             .otherwise(acc["kept"]).alias("kept"), F.greatest(acc["at"], s["end"]).alias("at")),
         lambda acc: F.concat(acc["kept"], F.substr("text", (acc["at"] + 1).cast("int"))))
-    joined = docs.join(spans, "doc_id", "left")
+    blob = F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256))
+    joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(spans["__doc"]) & (blob == spans["__blob"]), "left")
     text = F.when(F.col("__spans").isNotNull() & F.col("text").isNotNull(), cut).otherwise(F.col("text"))
     out = joined.withColumn("__new", text)
     cols = ["__new as text" if c == "text" else "case when __spans is null then n_chars else length(__new) end as n_chars" if c == "n_chars" else f"`{c}`" for c in names]

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+def row_key(by: str = "doc_id"):
+    """Key of a row's id and text, so that what was decided for a row reaches this row alone, also without an id."""
+    return F.concat_ws(":", F.xxhash64(by, "text"), F.xxhash64(F.lit(1), by, "text"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose :func:`row_key` is in ``gone`` (__row)."""
+    return docs.withColumn("__row", row_key()).join(gone.select("__row").distinct(), "__row", "left_anti").select(*docs.columns)
+
+
 def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: cuts its
     lineage, and later stages survive the loss of any executor."""

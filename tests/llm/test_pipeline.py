@@ -2,11 +2,13 @@ import re
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from dunlin.llm import quality
+from dunlin.llm import decontam, ngram_join, quality
 from dunlin.llm.secret_scan import RULES
+from tests.llm.data import words
 from tests.llm.test_decontam import brute as leaks
 from tests.llm.test_ngram_join import brute as groups
 
@@ -48,3 +50,23 @@ def test_all_but_the_last_stage_keep_the_columns(spark):
         out = stage(spark, docs, SF)
         assert out.dtypes == docs.dtypes and out.count() == 0
     assert np.array(corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()).size == 0
+
+
+def test_decisions_hold_for_their_row(spark):
+    schema = "doc_id long, text string"
+    a, b, c = words(1, 60), words(2, 60), words(3, 60)
+    df = spark.createDataFrame([(1, a), (None, a), (2, a), (2, b), (None, c), (None, c + " more"), (None, "")], schema)
+    left = [(r.doc_id, r.text) for r in ngram_join.deduplicated(df).collect()]
+    assert (1, a) in left and (2, b) in left and (None, "") in left and len(left) == 4
+    assert sum(t in (c, c + " more") for _, t in left) == 1
+    items = spark.createDataFrame([("i", a)], "item_id string, text string")
+    left = [(r.doc_id, r.text) for r in decontam.clean(df, items).collect()]
+    assert a not in [t for _, t in left] and (2, b) in left and len(left) == 4
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    good = {r.doc_id for r in quality.classify(docs, labels).collect() if r.predicted == 1}
+    rejected = {t for i, t in texts.items() if i not in good}
+    both = docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    left = quality.kept(both, labels).select("doc_id", "text").collect()
+    assert rejected and not rejected & {r.text for r in left} and {r.doc_id for r in left} == good | {None}

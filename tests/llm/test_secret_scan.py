@@ -67,3 +67,10 @@ def test_redaction_takes_the_body_of_a_private_key(spark):
                              3: f"a {head}\\n{body.replace(chr(10), chr(92) + 'n')}\\n{end}", 4: f"{head} is a header line"})
     out = {r.doc_id: r.text for r in secret_scan.redact(docs, secret_scan.scan(docs, rules=secret_scan.WHOLE_RULES)).collect()}
     assert out == {1: "see [SECRET] and more", 2: "see [SECRET]\nClean words follow here.", 3: "a [SECRET]", 4: "[SECRET] is a header line"}
+
+
+def test_redaction_by_row(spark):
+    df = spark.createDataFrame([(None, f"x {HEX}", 9), (None, "clean words alone, thirty of them or so", 9), (5, HEX, 9), (5, "clean words alone, thirty of them or so", 9)],
+                               "doc_id long, text string, n_chars int")
+    out = [(r.doc_id, r.text) for r in secret_scan.redact(df, secret_scan.scan(df)).collect()]
+    assert sorted(out, key=str) == sorted([(None, "x [SECRET]"), (None, df.collect()[1].text), (5, "[SECRET]"), (5, df.collect()[1].text)], key=str)
