@@ -19,7 +19,7 @@ from dunlin.llm.shared import shared_dir, stored
 
 # fixed values of the contract: verdict, rule (host and path prefix)
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-DEPTH = 4  # levels of the tree; what lies deeper is one wildcard
+DEPTH = 4  # segments of a shortened shape; the tree has as many levels as the longest shape
 LEAST_LABELLED = 8  # a branch with fewer labelled pages merges with its siblings
 Z = 1.96  # difference of two shares, in standard errors, from which siblings stay apart
 WEIGHT = 4.0  # pseudo-counts at the overall bad share
@@ -44,8 +44,8 @@ def ruled(rules, what: str):
     return out
 
 
-def shape(path):
-    """Path segments with variable ones generalised; at most DEPTH, the rest as ``**``."""
+def shape(path, depth: int | None = DEPTH):
+    """Path segments with variable ones generalised; at most ``depth``, the rest as ``**`` (None: all)."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
 
     def general(s):
@@ -55,7 +55,7 @@ def shape(path):
         return F.concat(kind, ending)
 
     g = F.transform(segments, general)
-    return F.when(F.size(g) > DEPTH, F.concat(F.slice(g, 1, DEPTH), F.array(F.lit("**")))).otherwise(g)
+    return g if depth is None else F.when(F.size(g) > depth, F.concat(F.slice(g, 1, depth), F.array(F.lit("**")))).otherwise(g)
 
 
 def templates(shapes: DataFrame, bad_share: float) -> DataFrame:
@@ -65,8 +65,9 @@ def templates(shapes: DataFrame, bad_share: float) -> DataFrame:
     pages and its bad share differs from its siblings' by Z standard errors; all others become ``*``.
     """
     folder = shared_dir(shapes.sparkSession)
-    t = shapes.withColumn("template", F.lit(""))
-    for level in range(DEPTH + 1):
+    t = stored(shapes.withColumn("template", F.lit("")), f"{folder}/shapes")
+    levels = t.agg(F.max(F.size("shape"))).first()[0] or 0
+    for level in range(levels):
         # a level reads the last one several times: written, so plans do not multiply
         t = stored(t, f"{folder}/{level}").withColumn("seg", F.get("shape", F.lit(level)))
         own = t.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("m").alias("m"), F.sum("b").alias("b"))
@@ -80,7 +81,7 @@ def templates(shapes: DataFrame, bad_share: float) -> DataFrame:
         kept = j.select("host", "template", "seg", F.when((F.col("kinds") == 1) | apart, F.col("seg")).otherwise(F.lit("*")).alias("to"))
         t = t.join(kept, ["host", "template", "seg"], "left").withColumn(
             "template", F.when(F.col("to").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "to"))).drop("seg", "to")
-    t = stored(t, f"{folder}/{DEPTH + 1}")
+    t = stored(t, f"{folder}/{levels}")
     total = t.groupBy("host", "template").agg(F.sum("m").alias("tm"), F.sum("b").alias("tb"))
     return t.join(total, ["host", "template"]).withColumn(
         "purity", (F.col("tb") + F.lit(WEIGHT * bad_share)) / (F.col("tm") + F.lit(WEIGHT))).drop("tm", "tb")
@@ -94,7 +95,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, reject: float = REJE
     judged by that host's template like any other.  Without labels nothing is rejected.
     """
     host, path = parts(F.col("url"))
-    p = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("shape", shape(F.col("path")))
+    p = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("shape", shape(F.col("path"), None))
     y = labels.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     # only labelled pages meet the labels in a join; counts combine before the shuffle
     marks = p.select("page_id", "host", "shape").join(y, "page_id").groupBy("host", "shape").agg(F.count("*").alias("m"), F.sum("bad").alias("b"))

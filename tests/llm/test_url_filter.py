@@ -68,3 +68,10 @@ def test_shapes(spark):
 def test_labels_of_pages(spark):
     y = spark.createDataFrame([(1, 0, 0), (2, 1, 1), (3, 1, 0), (4, None, None), (5, None, 1)], "doc_id long, quality int, toxic int")
     assert {r.page_id: r.bad for r in U.page_labels(y).collect()} == {1: True, 2: True, 3: False, 5: True}
+
+
+def test_sections_below_the_fourth_segment_stay_apart(spark):
+    urls = {k: f"http://deep.net/en/site/blog/posts/all/{('casino', 'news')[k % 2]}/{k}" for k in range(80)}
+    labels = spark.createDataFrame([(k, k % 2 == 0) for k in range(0, 60)], "page_id long, bad boolean")
+    got = {r.page_id: (r.verdict, r.template) for r in U.judge(pages(spark, urls), labels).collect()}
+    assert got == {k: (("block", "allow")[k % 2], f"/en/site/blog/posts/all/{('casino', 'news')[k % 2]}/{{n}}") for k in urls}
