@@ -97,5 +97,68 @@ SELECT doc_id, CAST(min(a) AS BIGINT) AS "start", CAST(max(e) AS BIGINT) AS "end
 FROM g GROUP BY doc_id, island HAVING sum(n) >= {substring_dedup.LEAST_PASSAGE}"""
 
 
+def content_sort() -> str:
+    return r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256
+FROM d"""
+
+
+def resampling() -> str:
+    """CRC-32 is linear: a feature's is the exclusive or of what each byte adds at its distance from the end, and of a start value for the length."""
+    B, crc_bit = 10000, "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"""WITH RECURSIVE bits AS (
+  SELECT CAST(i AS BIGINT) AS b, 0 AS k, CAST(i AS BIGINT) AS c FROM generate_series(0, 255) AS t(i)
+  UNION ALL SELECT b, k + 1, {crc_bit} FROM bits WHERE k < 8),
+tab AS (SELECT b, c FROM bits WHERE k = 8),
+words AS (SELECT 0 AS side, row_number() OVER () AS r, regexp_extract_all({LOWERED}, '{PLAIN}') AS w FROM documents
+  UNION ALL SELECT 1, -row_number() OVER (), regexp_extract_all({LOWERED}, '{PLAIN}') FROM benchmark),
+f AS (SELECT side, r, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words),
+ff AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM f)),
+depth AS (SELECT max(len(x)) // 2 AS n FROM ff),
+shift AS (
+  SELECT 0 AS d, b, c FROM tab UNION ALL
+  SELECT 0, -1, xor(tab.c, 4294967295 >> 8) FROM tab WHERE tab.b = 255
+  UNION ALL SELECT d + 1, shift.b, xor(tab.c, shift.c >> 8) FROM shift JOIN tab ON tab.b = shift.c & 255 WHERE d + 1 < (SELECT n FROM depth)),
+byte AS (SELECT f, len(x) // 2 - 1 - i AS d, CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT) AS b FROM ff, unnest(generate_series(0, len(x) // 2 - 1)) AS t(i)
+  UNION ALL SELECT f, len(x) // 2 - 1, -1 FROM ff),
+crc AS (SELECT f, xor(bit_xor(c), 4294967295) % {B} AS bucket FROM byte JOIN shift USING (d, b) GROUP BY f),
+n AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM f JOIN crc USING (f) GROUP BY bucket),
+every AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM n),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(s_all + {B} AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(t_all + {B} AS DOUBLE)))) AS BIGINT) AS g FROM n, every),
+weight AS (SELECT r, count(*) AS n, CAST(sum(g) AS BIGINT) AS g FROM f JOIN crc USING (f) JOIN gain USING (bucket) WHERE side = 0 GROUP BY r),
+ids AS (SELECT doc_id, row_number() OVER () AS r, len(regexp_extract_all({LOWERED}, '{PLAIN}')) AS n_words FROM documents),
+d AS (SELECT doc_id, r, n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features,
+  CAST(coalesce((g - ((g % n) + n) % n) // n, 0) AS BIGINT) AS weight,
+  CAST('0x' || sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), ''))[:8] AS BIGINT) AS h FROM ids LEFT JOIN weight USING (r)),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST(h AS DOUBLE) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM d),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, weight, n_features) AS k, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= 25 * n // 100 THEN k END AS rank FROM scored LEFT JOIN ranked USING (r)"""
+
+
+def centroids() -> str:
+    """Every round as a step of its own: distances of all vectors to all centroids, then floors of the means."""
+    near = """SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT r, c, CAST(list_sum(list_transform(range(1, 65), lambda i: (x[i] - m[i]) * (x[i] - m[i]))) AS BIGINT) AS d FROM v, {at}) GROUP BY r"""
+    steps = []
+    for k in range(10):
+        steps.append(f"""a{k} AS MATERIALIZED ({near.format(at=f"m{k}")}),
+s{k} AS (SELECT c, i, CAST(sum(y) AS HUGEINT) AS s, count(*) AS n FROM (
+  SELECT c, unnest(x) AS y, unnest(range(1, 65)) AS i FROM v JOIN a{k} USING (r)) GROUP BY c, i),
+m{k + 1} AS MATERIALIZED (SELECT c, coalesce(f.m, m{k}.m) AS m FROM m{k} LEFT JOIN (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM s{k} GROUP BY c) AS f USING (c))""")
+    return f"""WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x AS m FROM (
+  SELECT x, sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM v ORDER BY h, x LIMIT 8)),
+{", ".join(steps)},
+a AS MATERIALIZED ({near.format(at="m10")})
+SELECT vec_id, CAST(c AS INTEGER) AS "cluster", d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a JOIN v USING (r) JOIN m10 USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": ngram_join(), "op6_secret_scan": secrets(), "op7_substring_dedup": substrings(), "op8_decontamination": decontamination()}
+    return {"op1_ngram_jaccard_join": ngram_join(), "op6_secret_scan": secrets(), "op7_substring_dedup": substrings(), "op8_decontamination": decontamination(),
+            "op11_content_sort": content_sort(), "op12_importance_resampling": resampling(), "op13_centroids": centroids()}

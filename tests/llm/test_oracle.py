@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("key", sorted(Q.oracle_sql()))
 def test_matches_oracle(spark, key):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = Q.queries()[key](spark, SF)
     res = con.execute(Q.oracle_sql()[key])
@@ -21,4 +21,4 @@ def test_matches_oracle(spark, key):
 
 
 def test_queries_have_their_names():
-    assert [int(k[2:].split("_")[0]) for k in Q.queries()] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in Q.queries()] == list(range(1, 14))
