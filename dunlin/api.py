@@ -11,10 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .operators import checks, contact, migration, ptp, recovery, staffing
+from .operators import checks, common, contact, migration, ptp, recovery, staffing
 from .functions.keys import dpd_bucket, dpd_bucket_label, legacy_bucket, legacy_bucket_label, phone10
-from .plans import report, scorecard, sinks, trends, ytd
+from .plans import declared, distinct_sets, published, report, scorecard, sinks, trends, ytd
+from .sources import history, period_rules, stored
 from .sources.derived import from_testdata
 from .sources.tables import scratch_path
 from .sources.periods import Periods
@@ -23,6 +25,7 @@ MAIN = Periods.of(("2024-01-08", "2024-01-14"))
 WEEKS = Periods.of(("2024-01-01", "2024-01-07"), ("2024-01-08", "2024-01-14"),
                    ("2024-01-15", "2024-01-21"), ("2024-01-22", "2024-01-28"))
 MONTH = Periods.of(("2024-01-01", "2024-01-28"))
+MONTHS = Periods.of(("2023-12-18", "2023-12-24"), ("2023-12-25", "2023-12-31"), ("2024-01-01", "2024-01-07"), ("2024-01-22", "2024-01-28"))
 YEAR = Periods.of(("2024-01-01", "2024-01-31"))  # the year to date: the snapshot ends on 2024-01-31
 
 def _q(fn, periods):
@@ -71,6 +74,21 @@ def registered_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kpi_report_v3": _q(report.kpi_report_v3, WEEKS),
         "yearly_direct": _q(report.yearly_direct, YEAR),
         "kpi_v4_compat": _q(report.kpi_v4_compat, MAIN),
+        "monthend_csv_rows": _q(lambda t, p: _monthend_files(t, p)[0], WEEKS),
+        "monthend_csv_rejects": _q(lambda t, p: _monthend_files(t, p)[1].select("line", "reason"), WEEKS),
+        "kpi_generations": _q(_generations, WEEKS),
+        "kpi_generation_difference": _q(_generation_difference, WEEKS),
+        "kpi_column_use": _q(lambda t, p: declared.column_use(_generations(t, p)), WEEKS),
+        "kpi_published": _q(_published, WEEKS),
+        "kpi_restored": _q(lambda t, p: _published(t, p, restore=True), WEEKS),
+        "monthend_margins": _q(lambda t, p: ytd.margins_by_month(ytd.monthend_rows(_stored(report.kpi_report(t, p)))), MONTHS),
+        "period_rules": lambda spark, sf_dir: period_rules.period_relation(from_testdata(spark, sf_dir).calls, "call_at"),
+        "fte_self_dated": _fte_self_dated,
+        "staffing_from_sets_weeks": _q(lambda t, p: distinct_sets.staffing_counts(_sets(t, p), p), WEEKS),
+        "yearly_from_sets": _q(lambda t, p: distinct_sets.yearly_from_sets(ytd.v4_compat(_stored(report.kpi_report(t, p))), _sets(t, p)), WEEKS),
+        "bucket_normalization_1_stored": _stored_loans(lambda t: migration.bucket_normalization(t, MAIN, 1), "bucket_flow"),
+        "recovery_wide_stored": _stored_loans(lambda t: recovery.recovery_wide(t, MAIN), "bucket_flow", "installments"),
+        "bucket_transitions_stored": _stored_loans(lambda t: migration.bucket_transitions(t, MAIN, 1), "bucket_flow"),
         "bucket_transitions": _q(lambda t, p: migration.bucket_transitions(t, p, 1), MAIN),
         "bucket_transitions_2": _q(lambda t, p: migration.bucket_transitions(t, p, 2), MAIN),
         "bucket_transitions_multi": _q(lambda t, p: migration.bucket_transitions(t, p, 1), WEEKS),
@@ -129,11 +147,92 @@ def _ytd_weeks(t, p):
     return ytd.ytd_from_monthend(hist, new)
 
 
+def _monthend_files(t, p):
+    """The report's month-end rows written as CSV files of the three layouts, some lines of them broken, in one scan."""
+    spark = t.calls.sparkSession
+    rows = ytd.monthend_rows(_stored(report.kpi_report(t, p)))
+    cols = history.MONTHEND_COLUMNS
+    short = [c for c in cols if c not in ("apc_rc_connected", "rccalled")]
+    root = scratch_path(spark, "csv")
+    line = lambda names, *first: F.concat_ws(",", *first, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names))
+    layouts = [(",".join(cols), line(cols)), ("," + ",".join(cols), line(cols, F.lit("0"))), ("," + ",".join(short), line(short, F.lit("0")))]
+    for k, (header, text) in enumerate(layouts):
+        starts = [s for s, _, _ in p.spans][k::3]
+        lines = rows.filter(F.col("period_start").isin(starts)).select(F.col("period_start").alias("o"), text.alias("value"))
+        broken = lines.select("o", F.concat("value", F.lit(",1")).alias("value")) if k < 2 else lines.select("o", F.regexp_replace("value", r",[^,]*$", ",x").alias("value"))
+        head = spark.range(1).select(F.lit(None).cast("date").alias("o"), F.lit(header).alias("value"))
+        head.unionByName(lines).unionByName(broken).coalesce(1).sortWithinPartitions(F.asc_nulls_first("o")).select("value").write.text(f"{root}/{k}")
+    return history.scan_monthend_csv(spark, f"{root}/*")
+
+
+def _older_and_newer(t, p):
+    """Rows of the first two periods in the v4 layout, of the others in the newest."""
+    cut = p.spans[2][0]
+    return (report.kpi_report_v4(t, p).filter(F.col("WkstartDate") < F.lit(cut)), report.kpi_report(t, p).filter(F.col("WkstartDate") >= F.lit(cut)))
+
+
+def _generations(t, p):
+    """v4 rows, then rows of the newest version, appended to one declared table and read back."""
+    old, new = _older_and_newer(t, p)
+    spark = t.calls.sparkSession
+    table = declared.DeclaredTable.create(spark, scratch_path(spark, "declared"), old.schema)
+    table.append(old)
+    table.append(new, evolve=True)
+    return table.read()
+
+
+def _generation_difference(t, p):
+    """What the newest version's rows have more and less than a stored v4 table's."""
+    old, new = _older_and_newer(t, p)
+    spark = t.calls.sparkSession
+    table = declared.DeclaredTable.create(spark, scratch_path(spark, "declared"), old.schema)
+    return table.difference(new)
+
+
+def _published(t, p, restore: bool = False):
+    """The report's rows published in two steps that share a period, with an attempt between them that the audit
+    refuses; ``restore`` goes back to the first step."""
+    spark = t.calls.sparkSession
+    rows = _stored(report.kpi_report(t, p))
+    table = published.PublishedTable(spark, scratch_path(spark, "published"), rows.schema, ["WkstartDate", "WkendDate"])
+    third = p.spans[2][0]
+    first = table.replace(rows.filter(F.col("WkstartDate") <= F.lit(third)))
+    try:
+        table.replace(rows.filter(F.col("WkstartDate") >= F.lit(third)).unionByName(rows.limit(1)).unionByName(rows.limit(1)))
+        raise AssertionError("two rows of a period were published")
+    except published.AuditFailed:
+        pass
+    table.replace(rows.filter(F.col("WkstartDate") >= F.lit(third)))
+    if restore:
+        table.restore(first)
+    return table.read()
+
+
+def _fte_self_dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agents in every rule's period of every day on which there were calls."""
+    t = from_testdata(spark, sf_dir)
+    cm = common.campaigns(t, ["REM", "COLL", "WC"])
+    legs = t.calls.join(cm, F.upper(t.calls["campaign"]) == cm["campaign_u"]).select(F.to_date("call_at").alias("day"), "agent")
+    return period_rules.distinct_in_periods(legs, "day", "agent", period_rules.period_relation(t.calls, "call_at"), "FTE")
+
+
+def _sets(t, p):
+    return distinct_sets.build(t, p, scratch_path(t.calls.sparkSession, "sets"))
+
+
+def _stored_loans(fn, *names):
+    """A query over the loan-keyed tables it needs, stored in buckets by loan first."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = scratch_path(spark, "loans")
+        t = stored.write_buckets(from_testdata(spark, sf_dir), root, root.rsplit("/", 1)[1].replace("-", "_"), names=names)
+        return fn(t)
+    return run
+
+
 def _dpd_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DPD bin primitives (9-way label/number, legacy label/number) and the
     phone key, counted over the whole snapshot."""
     t = from_testdata(spark, sf_dir)
-    from pyspark.sql import functions as F
     b = t.bucket_flow
     return (b.groupBy(dpd_bucket_label("max_dpd").alias("bucketbin"), dpd_bucket("max_dpd").alias("bucket"),
                       legacy_bucket_label("max_dpd").alias("legacybucket"), legacy_bucket("max_dpd").alias("numbucket"))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import flag, phone10
 from ..sources.periods import AS_OF, KEY, PE, PS, Periods
 from ..sources.tables import Tables
+from .skew import split_join
 
 DIM_BROADCAST_ROWS = 100_000
 
@@ -60,12 +61,10 @@ def calls_in_periods(t: Tables, periods: Periods, references, subcategory=None,
     """
     spark = t.calls.sparkSession
     cm = campaigns(t, references, subcategory)
-    c = t.calls
+    c = t.during("calls", "call_at", periods) if date_filter else t.calls
     legs = c.join(cm, F.upper(c["campaign"]) == cm["campaign_u"], "inner")
     if date_filter:
-        legs = (legs.filter(periods.ts_bounds("call_at"))
-                    .withColumn("day", F.to_date("call_at"))
-                    .join(periods.calendar(spark), "day"))
+        legs = legs.withColumn("day", F.to_date("call_at")).join(periods.calendar(spark), "day")
     else:
         # Legacy rule: the call date is not filtered.  A leg joins the periods
         # of its phone only, so it does not fan out to every period.
@@ -114,6 +113,31 @@ def open_loan_phones_between(t: Tables, periods: Periods, statuses=("Settled", "
     return pd_.join(periods.calendar(spark), "day").select(*KEY, "phone10").distinct()
 
 
+def phone_join(t: Tables, many: DataFrame, few: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join on phone numbers, of which one may stand on a large share of ``many``: adaptive skew joins
+    split it, or :func:`dunlin.operators.skew.split_join` where ``t`` says so."""
+    on = [on] if isinstance(on, str) else list(on)
+    return split_join(many, few, on, how) if t.split_hot else many.join(few, on, how)
+
+
+def scalar_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], value: str, name: str, what: str) -> DataFrame:
+    """``rows`` with ``name`` = the ``value`` of the one row of ``lookup`` that matches on ``on``; null where none does.
+
+    A scalar subquery: a row that matches more than one row of ``lookup`` (equal or not) is an error when it is computed.  The
+    count comes from the aggregation by the keys of the join, so the join shuffles nothing that
+    it would not have shuffled.  Rows with a null key match nothing and do not travel."""
+    known = F.lit(True)
+    for c in on:
+        known = known & F.col(c).isNotNull()
+    one = lookup.filter(known).groupBy(*on).agg(F.max(value).alias("_value"), F.count(F.lit(1)).alias("_matches"))
+    kind = lookup.schema[value].dataType
+    many = F.raise_error(F.concat(F.lit(f"more than one {what} for "), F.to_json(F.struct(*on))))
+    found = rows.filter(known).join(one, on, "left")
+    found = found.withColumn(name, F.when(F.col("_matches") > 1, many.cast(kind)).otherwise(F.col("_value"))).drop("_value", "_matches")
+    none = rows.filter(~known).withColumn(name, F.lit(None).cast(kind))
+    return found.select(*none.columns).unionByName(none)
+
+
 def active_contact(t: Tables) -> DataFrame:
     """Earliest active number per customer (``ROW_NUMBER() OVER (PARTITION BY
     customer_id ORDER BY change_date) = 1`` with ``ACTIVE = 'Y'``), as a
@@ -150,6 +174,16 @@ def snapshot_in_periods(t: Tables, periods: Periods, day: str = "any", before: i
               .join(fr, F.date_add(bf["bucket_date"], before if day == "end" else 0) == fr[col]))
 
 
+def first_and_last_days(t: Tables, periods: Periods) -> DataFrame:
+    """Snapshot rows of each period's first and last day, in one scan; ``first`` tells which (a period
+    of one day has its rows twice).  Rows without a loan are left out."""
+    ends = F.array(F.struct(F.col(PS).alias("day"), F.lit(True).alias("first")), F.struct(F.col(PE).alias("day"), F.lit(False).alias("first")))
+    frame = periods.frame(t.calls.sparkSession).select(*KEY, F.explode(ends).alias("x")).select(*KEY, "x.*")
+    days = sorted({d for s, e, _ in periods.spans for d in (s, e)})
+    rows = t.bucket_flow.filter(F.col("bucket_date").isin(days) & F.col("loan_account").isNotNull())
+    return rows.join(F.broadcast(frame), rows["bucket_date"] == frame["day"]).drop("day")  # two rows for each period
+
+
 # Bucket -> DPD range.
 BUCKET_RANGES = {1: (1, 30), 2: (31, 60), 3: (61, 90)}
 

@@ -10,7 +10,7 @@ from ..rules import DEFAULT, Rules
 from ..sources.periods import KEY, PE, Periods
 from ..sources.tables import Tables
 from .common import (arrears, bucket_phones, calls_in_periods, last_leg, loan_phone, on_periods,
-                     open_loan_phones, open_loan_phones_between)
+                     open_loan_phones, open_loan_phones_between, phone_join)
 
 
 def _eligible_calls(t: Tables, periods: Periods, reference: str, rules: Rules) -> DataFrame:
@@ -18,11 +18,11 @@ def _eligible_calls(t: Tables, periods: Periods, reference: str, rules: Rules) -
     if rules.disbursed_within_period:
         ph = open_loan_phones_between(t, periods)
         legs = calls_in_periods(t, periods, [reference], date_filter=rules.welcome_date_filter, phones=ph)
-        return legs.join(ph, KEY + ["phone10"], "left_semi") if rules.welcome_date_filter else legs
+        return phone_join(t, legs, ph, KEY + ["phone10"], "left_semi") if rules.welcome_date_filter else legs
     rules.require(welcome_date_filter=True)
     legs = calls_in_periods(t, periods, [reference])
     ph = open_loan_phones(t)
-    return (legs.join(ph, "phone10")
+    return (phone_join(t, legs, ph, "phone10")
                 .filter(F.col("first_disb") <= F.col(PE))
                 .drop("first_disb"))
 
@@ -88,9 +88,9 @@ def bucket_contact_rate(t: Tables, periods: Periods, bucket: int, rules: Rules =
     phones = bucket_phones(t, periods, bucket, membership=rules.bucket_membership)
     legs = calls_in_periods(t, periods, ["COLL"], sub)
     if rules.rank_before_bucket:
-        top = last_leg(legs).join(phones, KEY + ["phone10"], "left_semi")
+        top = phone_join(t, last_leg(legs), phones, KEY + ["phone10"], "left_semi")
     else:
-        top = last_leg(legs.join(phones, KEY + ["phone10"], "left_semi"))
+        top = last_leg(phone_join(t, legs, phones, KEY + ["phone10"], "left_semi"))
     agg = top.groupBy(*KEY).agg(
         F.countDistinct(F.when(F.col("is_apc") == 1, F.col("mobile"))).alias(contacted),
         F.countDistinct("phone10").alias(called),
@@ -115,7 +115,8 @@ def contact_rates(t: Tables, periods: Periods) -> DataFrame:
     spark = t.calls.sparkSession
     flags = arrears(t, periods).join(loan_phone(t), "loan_account").filter(F.col("phone10").isNotNull())
     flags = flags.groupBy(*KEY, "phone10").agg(*(F.max(f"in_{b}").alias(f"in_{b}") for b in BUCKETS))
-    legs = calls_in_periods(t, periods, ["WC", "REM", "COLL"]).join(open_loan_phones(t), "phone10", "left").join(flags, KEY + ["phone10"], "left")
+    legs = phone_join(t, calls_in_periods(t, periods, ["WC", "REM", "COLL"]), open_loan_phones(t), "phone10", "left")
+    legs = phone_join(t, legs, flags, KEY + ["phone10"], "left")
     is_open, coll = F.col("first_disb") <= F.col(PE), F.col("reference") == "COLL"
     counts = {"wc": (F.col("reference") == "WC") & is_open, "rem": (F.col("reference") == "REM") & is_open}
     for b, (sub, _) in BUCKETS.items():

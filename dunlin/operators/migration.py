@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import dpd0, legacy_bucket, legacy_bucket_label, safe_div
 from ..rules import DEFAULT, Rules
-from ..sources.periods import AS_OF, KEY, PE, PS, Periods
+from ..sources.periods import KEY, PE, PS, Periods
 from ..sources.tables import Tables
-from .common import active_contact, snapshot_in_periods
+from .common import first_and_last_days, phone_join
 
 # Bucket -> (DPD range, output names of numerator, denominator, rate).
 NORMALIZATION = {
@@ -19,18 +19,33 @@ NORMALIZATION = {
 }
 
 
-def start_end_dpd(t: Tables, periods: Periods, lo: int, hi: int) -> DataFrame:
-    """Loans with DPD in [lo, hi] on the period's start day, with their start
-    DPD and end-day DPD (NULL when the loan has no end-day snapshot).
+def _start_and_end(t: Tables, periods: Periods, buckets) -> DataFrame:
+    """Per (period, loan): ``s_b``, the start-day DPD within each bucket's range, and ``e``, the end-day DPD
+    (NULL without an end-day row); loans of none of the buckets drop out.
 
-    The start/end rows are joined on (period, loan): a co-partitioned shuffle
-    join on the loan key; both sides are single-day slices of the snapshot."""
-    start = (snapshot_in_periods(t, periods, "start")
-             .filter(dpd0("max_dpd").between(lo, hi))
-             .select(*KEY, "loan_account", F.col("max_dpd").alias("start_dpd")))
-    end = (snapshot_in_periods(t, periods, "end")
-           .select(*KEY, "loan_account", F.col("max_dpd").alias("end_dpd")))
-    return start.join(end, KEY + ["loan_account"], "left")
+    The two days are one scan and one aggregation by loan, combined before the shuffle; on a snapshot stored by
+    loan nothing is shuffled.  Of several rows of a day the largest start and the smallest end
+    decide, as a loan counts if any pair of its rows does."""
+    d, first = dpd0("max_dpd"), F.col("first")
+    ranges = {b: NORMALIZATION[b][0] for b in buckets}
+    wanted = d.between(min(lo for lo, _ in ranges.values()), max(hi for _, hi in ranges.values()))
+    per = first_and_last_days(t, periods).filter(~first | wanted).groupBy(*KEY, "loan_account").agg(
+        *(F.max(F.when(first & d.between(lo, hi), d)).alias(f"s_{b}") for b, (lo, hi) in ranges.items()), F.min(F.when(~first, d)).alias("e"))
+    return per.filter(F.coalesce(*(F.col(f"s_{b}") for b in ranges)).isNotNull())
+
+
+def bucket_normalizations(t: Tables, periods: Periods, buckets=(1, 2, 3)) -> DataFrame:
+    """The buckets of :func:`bucket_normalization` side by side; NULL where a period has no loan of a bucket.
+    Periods without a loan of any of them have no row."""
+    per = _start_and_end(t, periods, buckets)
+    counts, rates = [], {}
+    for b in buckets:
+        num, den, rate = NORMALIZATION[b][1]
+        s = F.col(f"s_{b}")
+        n = F.count(s)
+        counts += [F.when(n > 0, F.count(F.when(F.coalesce("e", F.lit(0)) <= s, 1))).alias(num), F.when(n > 0, n).alias(den)]
+        rates[rate] = safe_div(num, den)
+    return per.groupBy(*KEY).agg(*counts).withColumns(rates).select(*KEY, *(c for b in buckets for c in NORMALIZATION[b][1]))
 
 
 def bucket_normalization(t: Tables, periods: Periods, bucket: int, rules: Rules = DEFAULT) -> DataFrame:
@@ -40,29 +55,7 @@ def bucket_normalization(t: Tables, periods: Periods, bucket: int, rules: Rules
     semantics of the reference).  Rules whose numerator is on phones raise:
     :func:`dunlin.operators.ptp.normalized_via_ptp` has it."""
     rules.require(normalized_rule="le_start")
-    (lo, hi), (num, den, rate) = NORMALIZATION[bucket]
-    j = start_end_dpd(t, periods, lo, hi)
-    ok = dpd0("end_dpd") <= dpd0("start_dpd")
-    agg = j.groupBy(*KEY).agg(
-        F.countDistinct(F.when(ok, F.col("loan_account"))).alias(num),
-        F.countDistinct("loan_account").alias(den),
-    )
-    return agg.withColumn(rate, safe_div(num, den))
-
-
-def bucket_normalizations(t: Tables, periods: Periods) -> DataFrame:
-    """The three buckets of :func:`bucket_normalization` side by side, from one start and one end slice;
-    NULL where a period has no loan of the bucket."""
-    j = start_end_dpd(t, periods, 1, 90)
-    start, ok = dpd0("start_dpd"), dpd0("end_dpd") <= dpd0("start_dpd")
-    flags = {}
-    for b, ((lo, hi), (num, den, _)) in NORMALIZATION.items():
-        flags |= {num: start.between(lo, hi) & ok, den: start.between(lo, hi)}
-    per_loan = j.filter(F.col("loan_account").isNotNull()).groupBy(*KEY, "loan_account").agg(*(F.max(f).alias(c) for c, f in flags.items()))
-    agg = per_loan.groupBy(*KEY).agg(*(F.count(F.when(F.col(c), 1)).alias(c) for c in flags))
-    for _, (num, den, rate) in NORMALIZATION.values():
-        agg = agg.withColumn(num, F.when(F.col(den) > 0, F.col(num))).withColumn(den, F.when(F.col(den) > 0, F.col(den))).withColumn(rate, safe_div(num, den))
-    return agg
+    return bucket_normalizations(t, periods, (bucket,))
 
 
 def called_customers_loans(t: Tables, periods: Periods, active_statuses_like=("%Nor%", "%In%")) -> DataFrame:
@@ -75,7 +68,7 @@ def called_customers_loans(t: Tables, periods: Periods, active_statuses_like=("%
     customer_id, loan_account, disbursed_at, flag_disbursement, loan_type."""
     spark = t.calls.sparkSession
     cal = periods.calendar(spark)
-    mobi = (t.calls.filter(periods.ts_bounds("call_at"))
+    mobi = (t.during("calls", "call_at", periods)
             .withColumn("day", F.to_date("call_at")).join(cal, "day")
             .select(*KEY, F.right(F.col("mobile").cast("string"), F.lit(10)).alias("MOBILENUMBER"))
             .distinct())
@@ -89,7 +82,7 @@ def called_customers_loans(t: Tables, periods: Periods, active_statuses_like=("%
     open_cond = open_cond | F.coalesce(st, F.lit("NA")).like("NA")
     # the loan master holds one row per loan: a filter, not a semi join with itself
     loans = t.loan_master.filter(open_cond).select("loan_account", "customer_id", "disbursed_at", "flag_disbursement", "loan_type")
-    return (mobi.join(cd, "MOBILENUMBER").join(loans, "customer_id")
+    return (phone_join(t, cd, mobi, "MOBILENUMBER").join(loans, "customer_id")
                 .select(*KEY, "MOBILENUMBER", "customer_id", "loan_account", "disbursed_at",
                         "flag_disbursement", "loan_type"))
 
@@ -101,14 +94,18 @@ def bucket_transitions(t: Tables, periods: Periods, bucket: int = 1) -> DataFram
     bucket is ``bucket`` and the end bucket 0 (a missing end counts as 0).
     Rows fan out exactly as the reference's joins do (one per called number
     and customer)."""
-    # called numbers per loan once; a loan belongs to one customer, so they are few
-    active = called_customers_loans(t, periods).groupBy(*KEY, "loan_account").agg(
-        F.collect_set(F.struct("MOBILENUMBER", "customer_id")).alias("numbers"))
-    start = (snapshot_in_periods(t, periods, "start")
-             .select(*KEY, "loan_account", F.col("max_dpd").alias("s_dpd")).distinct())
-    end = (snapshot_in_periods(t, periods, "end")
-           .select(*KEY, "loan_account", F.col("max_dpd").alias("e_dpd"), F.lit(True).alias("ended")).distinct())
-    both = active.join(start, KEY + ["loan_account"]).join(end, KEY + ["loan_account"], "left")
+    # called numbers per loan once, of all periods; a loan belongs to one customer, so they are few.  The
+    # snapshot's two days meet by loan before, so on tables stored by loan only the called loans move.
+    active = t.by_loan(None, called_customers_loans(t, periods)).groupBy("loan_account").agg(
+        F.collect_set(F.struct(*KEY, "MOBILENUMBER", "customer_id")).alias("numbers"))
+    first, dpd = F.col("first"), F.struct(F.col("max_dpd").alias("dpd"))
+    days = t.by_loan("bucket_flow", first_and_last_days(t, periods).select(*KEY, "loan_account", "max_dpd", "first"))
+    days = days.groupBy(*KEY, "loan_account").agg(F.collect_set(F.when(first, dpd)).alias("s"), F.collect_set(F.when(~first, dpd)).alias("e"))
+    days = days.select(*KEY, "loan_account", F.explode("s").alias("s"), F.size("e").alias("n_e"), F.col("e").alias("ends"))
+    days = days.select(*KEY, "loan_account", F.col("s.dpd").alias("s_dpd"), (F.col("n_e") > 0).alias("ended"), F.explode_outer("ends").alias("e"))
+    both = days.withColumn("e_dpd", F.col("e.dpd")).join(active, "loan_account")
+    of_period = F.filter("numbers", lambda x: (x[PS] == F.col(PS)) & (x[PE] == F.col(PE)))
+    both = both.withColumn("numbers", of_period).filter(F.size("numbers") > 0)
     # each number meets every number of the loan that has an end day: k x k rows only here
     both = both.withColumn("number", F.explode("numbers")).withColumn(
         "_times", F.explode(F.sequence(F.lit(1), F.when(F.col("ended"), F.size("numbers")).otherwise(1))))
@@ -132,7 +129,7 @@ def rollback(t: Tables, periods: Periods) -> DataFrame:
     not any more), their amounts and the two rates.  One row per period that
     has instalments due."""
     spark = t.calls.sparkSession
-    base = (t.installments.filter(periods.date_bounds("due_date"))
+    base = (t.during("installments", "due_date", periods)
             .join(periods.calendar(spark).withColumnRenamed("day", "due_date"), "due_date"))
     d = dpd0("dpd")
     delq = F.col("is_delinq") == 1

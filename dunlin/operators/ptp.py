@@ -9,7 +9,7 @@ from ..functions.keys import dpd0, safe_div
 from ..rules import DEFAULT, PRESETS, Rules
 from ..sources.periods import AS_OF, KEY, PE, Periods
 from ..sources.tables import Tables
-from .common import arrears, loan_phone, on_periods, snapshot_in_periods
+from .common import arrears, loan_phone, on_periods, scalar_lookup, snapshot_in_periods
 
 # Bucket -> end-DPD cap.
 PTP_BUCKETS = {1: 30, 2: 60}
@@ -38,7 +38,7 @@ def kept_loans(t: Tables, periods: Periods) -> DataFrame:
     """(period, loan) with a kept promise (status 1) contacted in the period.
     May contain a NULL loan (that matters for NOT IN)."""
     spark = t.calls.sparkSession
-    return (t.ptp.filter(periods.ts_bounds("contact_date") & (F.coalesce("status", F.lit(0)) == 1))
+    return (t.during("ptp", "contact_date", periods).filter(F.coalesce("status", F.lit(0)) == 1)
             .withColumn("day", F.to_date("contact_date")).join(periods.calendar(spark), "day")
             .select(*KEY, "loan_account").distinct())
 
@@ -50,7 +50,7 @@ def received_loans(t: Tables) -> DataFrame:
 
 def paid_loans(t: Tables, periods: Periods) -> DataFrame:
     spark = t.calls.sparkSession
-    return (t.installments.filter(periods.date_bounds("last_payment_date"))
+    return (t.during("installments", "last_payment_date", periods)
             .join(periods.calendar(spark).withColumnRenamed("day", "last_payment_date"), "last_payment_date")
             .select(*KEY, "loan_account").distinct())
 
@@ -129,7 +129,7 @@ def ptp_payments(t: Tables, periods: Periods) -> DataFrame:
     period.  Pre-aggregated by (period, loan), then left-joined: the
     correlated scalar SUM of the reference, decorrelated."""
     spark = t.calls.sparkSession
-    p = (t.ptp.filter(periods.ts_bounds("contact_date"))
+    p = (t.during("ptp", "contact_date", periods)
          .withColumn("day", F.to_date("contact_date")).join(periods.calendar(spark), "day"))
     amt = F.when(F.coalesce("status", F.lit(0)) > 0, F.col("amount")).otherwise(F.lit(0))
     return p.groupBy(*KEY, "loan_account").agg(F.sum(amt).alias("ptpamount"))
@@ -157,16 +157,12 @@ def ptp_payments_by_bucket(t: Tables, periods: Periods, rules: Rules = DEFAULT)
 def ptp_with_dpd(t: Tables, periods: Periods) -> DataFrame:
     """Promises contacted in the period that have a due date, each with the
     loan's DPD on the contact day (NULL if no snapshot that day).  The
-    reference's correlated scalar lookup becomes a left join on (loan, day);
-    the snapshot holds one row per (loan, day), so no row is multiplied."""
+    reference's correlated scalar lookup becomes a left join on (loan, day) that fails, as the
+    scalar subquery does, where the snapshot holds two rows of a promise's loan and day."""
     spark = t.calls.sparkSession
-    p = (t.ptp.filter(periods.ts_bounds("contact_date") & F.col("due_date").isNotNull())
+    p = (t.during("ptp", "contact_date", periods).filter(F.col("due_date").isNotNull())
          .withColumn("day", F.to_date("contact_date")).join(periods.calendar(spark).drop("as_of"), "day"))
-    # the contact days lie in the periods, so the snapshot scan is bounded too; a
-    # promise without a loan meets nothing and does not travel to the join
-    snap = t.bucket_flow.filter(periods.date_bounds("bucket_date")).select(
-        F.col("loan_account").alias("_l"), F.col("bucket_date").alias("_d"), F.col("max_dpd").alias("dpd"))
-    known, none = p.filter("loan_account is not null"), p.filter("loan_account is null").withColumn("dpd", F.lit(None).cast("int"))
-    j = known.join(snap, (known["loan_account"] == snap["_l"]) & (known["day"] == snap["_d"]), "left")
-    cols = [*KEY, "loan_account", "phone", "contact_date", "due_date", "status", "amount", "dpd"]
-    return j.select(*cols).unionByName(none.select(*cols))
+    # the contact days lie in the periods, so the snapshot scan is bounded too
+    snap = t.bucket_flow.filter(periods.date_bounds("bucket_date")).select("loan_account", F.col("bucket_date").alias("day"), "max_dpd")
+    out = scalar_lookup(p, snap, ["loan_account", "day"], "max_dpd", "dpd", "snapshot row")
+    return out.select(*KEY, "loan_account", "phone", "contact_date", "due_date", "status", "amount", "dpd")

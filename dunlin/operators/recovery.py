@@ -20,7 +20,9 @@ def overdue_base(t: Tables, periods: Periods, by_bucket: bool = True) -> DataFra
     Arrears, outstanding > 0; outstanding and overdue split by status."""
     snap = (snapshot_in_periods(t, periods, "start")
             .filter(F.col("loan_status").isin("Normal", "In Arrears")
-                    & F.col("outstanding").isNotNull() & (F.col("outstanding") > 0)))
+                    & F.col("outstanding").isNotNull() & (F.col("outstanding") > 0))
+            .select(*KEY, "bucket_date", "loan_account", "max_dpd", "loan_status", "outstanding", "overdue"))
+    snap = t.by_loan("bucket_flow", snap)
     keys = [*KEY, "bucket_date", "loan_account"]
     if by_bucket:
         snap = snap.withColumn("bucket", dpd_bucket("max_dpd")).withColumn("bucketbin", dpd_bucket_label("max_dpd"))
@@ -47,10 +49,10 @@ def _payment_base(t: Tables, periods: Periods) -> DataFrame:
     delinquent) and still delinquent.  The ``_cnt`` columns count
     (loan, payment date, flags) groups, as the reference does."""
     spark = t.calls.sparkSession
-    pay = (t.installments
-           .filter(periods.date_bounds("last_payment_date")
-                   & (F.col("is_delinq") == 1) & (F.coalesce("paid", F.lit(0)) > 0))
-           .join(periods.calendar(spark).withColumnRenamed("day", "last_payment_date"), "last_payment_date"))
+    pay = (t.during("installments", "last_payment_date", periods)
+           .filter((F.col("is_delinq") == 1) & (F.coalesce("paid", F.lit(0)) > 0))
+           .select("loan_account", "last_payment_date", "is_delinq", "is_cur_delinq", "paid"))
+    pay = t.by_loan("installments", pay).join(periods.calendar(spark).withColumnRenamed("day", "last_payment_date"), "last_payment_date")
     grp = pay.groupBy(*KEY, "loan_account", "last_payment_date", "is_delinq", "is_cur_delinq").agg(
         F.sum("paid").alias("payment"))
     norm = (F.col("is_delinq") == 1) & (F.col("is_cur_delinq") == 0)
@@ -67,11 +69,16 @@ def _payment_base(t: Tables, periods: Periods) -> DataFrame:
 
 
 def _recovery(t: Tables, periods: Periods, by_bucket: bool) -> DataFrame:
-    # both sides hold one row per loan of a group, so counts are distinct counts
+    # Both sides hold one row per loan of a group, so counts are distinct counts.  They are dealt by loan, and
+    # a loan's payments of all periods are one row, so they meet by loan where they are.
     ob = overdue_base(t, periods, by_bucket)
-    pb = payment_base(t, periods).withColumnRenamed("loan_account", "pay_loan")
-    j = ob.join(pb, [ob[k] == pb[k] for k in KEY] + [ob["loan_account"] == pb["pay_loan"]], "left") \
-          .drop(*[pb[k] for k in KEY])
+    pb = payment_base(t, periods)
+    measures = [c for c in pb.columns if c not in (*KEY, "loan_account")]
+    pb = pb.groupBy("loan_account").agg(F.collect_list(F.struct(*KEY, *measures)).alias("_paid"))
+    j = ob.join(pb, "loan_account", "left")
+    own = F.get(F.filter("_paid", lambda x: (x[KEY[0]] == F.col(KEY[0])) & (x[KEY[1]] == F.col(KEY[1]))), 0)
+    j = j.withColumn("_own", own).select(*ob.columns, F.when(F.col("_own").isNotNull(), F.col("loan_account")).alias("pay_loan"),
+                                         *(F.col("_own")[c].alias(c) for c in measures))
     keys = [*KEY, "bucket_date"] + (["bucket"] if by_bucket else [])
     agg = j.groupBy(*keys).agg(
         F.count("loan_account").alias("cntloanoverdue"),

@@ -23,6 +23,7 @@ from ..functions.keys import dd_mm_yyyy, dpd0, safe_div
 from ..operators.common import campaigns
 from ..operators.staffing import CLOSED
 from ..sources.history import MONTHEND_COLUMNS
+from ..sources.periods import Periods
 from ..sources.tables import Tables
 
 # v5 report column -> v4 / month-end column.
@@ -115,14 +116,33 @@ def monthend_table(history: DataFrame, newest: DataFrame | None = None) -> DataF
     """The pivot with margins: counts and amounts of every period (missing values 0),
     then the row ``Total``.  Periods come as dd-MM-yyyy text."""
     rows = history if newest is None else history.unionByName(newest, allowMissingColumns=True)
-    rows = rows.withColumn("StartDate", dd_mm_yyyy("period_start")).withColumn("EndDate", dd_mm_yyyy("period_end"))
+    sets = _with_margins(rows, {"StartDate": dd_mm_yyyy("period_start"), "EndDate": dd_mm_yyyy("period_end")}, [2, 0])
+    total = F.col("_left_out") > 0
+    return sets.select(F.when(total, "Total").otherwise(F.col("StartDate")).alias("StartDate"),
+                       F.when(total, "").otherwise(F.col("EndDate")).alias("EndDate"), *_SUMS)
 
+
+def margins_by_month(history: DataFrame, newest: DataFrame | None = None) -> DataFrame:
+    """The pivot by year and month of the periods' starts, with a margin for each year and one for
+    everything: ``year`` and ``month`` are text, ``Total`` where they are summed over; n_periods counts the rows."""
+    rows = history if newest is None else history.unionByName(newest, allowMissingColumns=True)
+    sets = _with_margins(rows, {"year": F.year("period_start").cast("string"), "month": F.month("period_start").cast("string")}, [2, 1, 0])
+    # bit k of grouping_id is set where the k-th column from the right is summed over
+    label = lambda c, bit: F.when(F.col("_left_out").bitwiseAND(bit) > 0, "Total").otherwise(F.col(c)).alias(c)
+    return sets.select(label("year", 2), label("month", 1), "n_periods", *_SUMS)
+
+
+def _with_margins(rows: DataFrame, by: dict, levels: list[int]) -> DataFrame:
+    """Sums of :data:`_SUMS` (missing values 0) over the first ``n`` columns of ``by`` for each n of ``levels``, in one
+    aggregation over grouping sets; ``_left_out`` is the grouping_id.  No rows, no margins."""
     def total(c):
+        # amounts are summed as exact cents so the total does not depend on row order
         v = F.sum(F.col(c).cast("decimal(20,2)")).cast("double") if c in _AMOUNTS else F.sum(c)
         return F.coalesce(v, F.lit(0)).alias(c)
-    per = rows.groupBy("StartDate", "EndDate").agg(*[total(c) for c in _SUMS])
-    every = rows.agg(*[total(c) for c in _SUMS]).select(F.lit("Total").alias("StartDate"), F.lit("").alias("EndDate"), *_SUMS)
-    return per.unionByName(every)
+    rows = rows.select(*(v.alias(c) for c, v in by.items()), *_SUMS)
+    cols = [F.col(c) for c in by]
+    return rows.groupingSets([cols[:n] for n in levels], *cols).agg(
+        F.grouping_id().alias("_left_out"), F.count(F.lit(1)).alias("n_periods"), *[total(c) for c in _SUMS])
 
 
 def _bounds(rows: DataFrame):
@@ -133,8 +153,7 @@ def _bounds(rows: DataFrame):
 
 def _calls_between(t: Tables, lo, hi) -> DataFrame:
     cm = campaigns(t, ["REM", "COLL", "WC"])
-    calls = t.calls.filter((F.col("call_at") >= F.lit(f"{lo} 00:00:00").cast("timestamp"))
-                           & (F.col("call_at") < F.lit(f"{hi + _dt.timedelta(days=1)} 00:00:00").cast("timestamp")))
+    calls = t.during("calls", "call_at", Periods.of((lo, hi)))
     return calls.join(cm, F.upper(calls["campaign"]) == cm["campaign_u"]).withColumn("day", F.to_date("call_at"))
 
 

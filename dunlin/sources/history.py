@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keys import parse_dd_mm_yyyy
-
 # Columns of the month-end history (dates as dd-MM-yyyy text).
 MONTHEND_COLUMNS = [
     "WkstartDate", "WkendDate", "apc_wc_connected", "wccalled", "apc_rc_connected", "rccalled",
@@ -28,34 +26,47 @@ def monthend_schema() -> T.StructType:
         for c in MONTHEND_COLUMNS])
 
 
-def read_monthend_csv(spark: SparkSession, path) -> DataFrame:
-    """Read month-end history CSV file(s) in any of the three published
-    layouts: 19 columns; 20 with an unnamed leading index; 18 with the index
-    and no reminder-call columns.  Each file is read with its own header (one
-    reader over mixed layouts would apply the first header to all) and the
-    files are combined by name.  Missing columns become NULL; dates stay text
-    (``dd-MM-yyyy``) as in the files, plus parsed ``period_start/period_end``."""
-    paths = [path] if isinstance(path, str) else list(path)
-    out = None
-    for p in paths:
-        one = _read_one(spark, p)
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return out
+# a comma outside quotes
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
 
+def scan_monthend_csv(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of month-end history CSV files in any of the three published layouts: 19 columns; 20 with an
+    unnamed leading index; 18 with the index and no reminder-call columns.
 
-def _read_one(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("header", "true").csv(path).withColumnsRenamed(PUBLISHED_HEADERS)
-    cols = [c for c in raw.columns if c in MONTHEND_COLUMNS]
-    typed = monthend_schema()
+    One scan of all files as lines, however many they are.  A line that names the period columns is
+    its file's header; headers, a line per file, are joined to the lines of their file, which decides each
+    file's layout on its own.  Missing columns become NULL; dates stay text (``dd-MM-yyyy``), plus
+    parsed ``period_start/period_end``.  A line is rejected, and kept aside with its file
+    and reason, if its number of fields is not the header's, a number or a date does not parse, or its file has no header.
+    Blank lines are skipped.  A quoted field may hold commas, but no line break."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "[\\r\ufeff]", "").alias("line"))
+    lines = lines.filter(F.trim("line") != "").withColumn("fields", F.transform(F.split("line", _COMMA), lambda x: F.trim(F.regexp_replace(F.trim(x), '^"|"$', ""))))
+    is_header = F.array_contains("fields", "WkstartDate") & F.array_contains("fields", "WkendDate")
+    old, new = (F.array(*(F.lit(x) for x in side)) for side in zip(*PUBLISHED_HEADERS.items()))
+    ours = lambda x: F.coalesce(F.get(new, F.array_position(old, x).cast("int") - 1), x)
+    headers = lines.filter(is_header).groupBy("file").agg(F.first("fields").alias("header"))
+    headers = headers.select("file", F.transform("header", ours).alias("header"))
+    data = lines.filter(~is_header).join(headers, "file", "left")
+    named = F.when(F.size("fields") == F.size("header"), F.col("fields"))
+    value = {c: F.nullif(F.get(named, (F.array_position("header", c) - 1).cast("int")), F.lit("")) for c in MONTHEND_COLUMNS}
     # a column with gaps was written as 4667.0: text goes through decimal to BIGINT
-    out = raw.select([(F.col(f.name).cast("decimal(38,6)") if isinstance(f.dataType, T.LongType) else F.col(f.name))
-                      .cast(f.dataType).alias(f.name) for f in typed.fields if f.name in cols])
-    for f in typed.fields:
-        if f.name not in cols:
-            out = out.withColumn(f.name, F.lit(None).cast(f.dataType))
-    return (out.select(*MONTHEND_COLUMNS)
-               .withColumn("period_start", parse_dd_mm_yyyy("WkstartDate"))
-               .withColumn("period_end", parse_dd_mm_yyyy("WkendDate")))
+    typed = {f.name: value[f.name] if isinstance(f.dataType, T.StringType)
+             else value[f.name].try_cast("double") if f.name in _DOUBLE else value[f.name].try_cast("decimal(38,6)").cast(f.dataType) for f in monthend_schema().fields}
+    dates = {"period_start": F.to_date(F.try_to_timestamp(value["WkstartDate"], F.lit("dd-MM-yyyy"))),
+             "period_end": F.to_date(F.try_to_timestamp(value["WkendDate"], F.lit("dd-MM-yyyy")))}
+    unread = [F.when(value[c].isNotNull() & typed[c].isNull(), F.lit(c)) for c in MONTHEND_COLUMNS]
+    unread += [F.when(d.isNull(), F.lit(c)) for c, d in dates.items()]
+    reason = (F.when(F.col("header").isNull(), "no header")
+              .when(named.isNull(), F.concat(F.lit("fields: "), F.size("fields"), F.lit(" of "), F.size("header")))
+              .otherwise(F.nullif(F.concat_ws(", ", F.array_compact(F.array(*unread))), F.lit(""))))
+    parsed = data.select("file", "line", reason.alias("reason"), *(v.alias(c) for c, v in (typed | dates).items()))
+    return (parsed.filter("reason is null").select(*MONTHEND_COLUMNS, *dates), parsed.filter("reason is not null").select("file", "line", "reason"))
+
+
+def read_monthend_csv(spark: SparkSession, path) -> DataFrame:
+    """The good rows of :func:`scan_monthend_csv`; ``path`` is a file, a folder, a pattern or a list of them."""
+    return scan_monthend_csv(spark, path if isinstance(path, str) else list(path))[0]
 
 
 def read_kpi_history(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -97,8 +97,10 @@ class Periods:
         hi = F.lit(f"{self.hi + _dt.timedelta(days=1)} 00:00:00").cast("timestamp")
         return (F.col(col) >= lo) & (F.col(col) < hi)
 
-    def date_bounds(self, col: str):
-        return F.col(col).between(F.lit(self.lo), F.lit(self.hi))
+    def date_bounds(self, col: str, slack: int = 0):
+        """``col`` within [lo, hi], or ``slack`` days around it."""
+        more = _dt.timedelta(days=slack)
+        return F.col(col).between(F.lit(self.lo - more), F.lit(self.hi + more))
 
 
 # ---- self-dating sources --------------------------------

@@ -8,16 +8,11 @@ from dataclasses import dataclass, field, fields, replace
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 
-# Physical layout used when the tables are written.  The daily snapshot and the
-# event-like tables are partitioned by day (every KPI filters them on days), so
-# whole directories are pruned.  Rows are first dealt by day and a hash bucket of
-# the loan or call: a day has at most _BUCKETS files, however many tasks read the input.
-_DAY = {"bucket_flow": "bucket_date", "calls": "call_at", "ptp": "contact_date", "installments": "due_date"}
-_KEY = {"bucket_flow": "loan_account", "calls": "call_id", "ptp": "loan_account", "installments": "loan_account"}
-_BUCKETS = 8
+_NOT_TABLES = ("memo", "sizes", "by_day", "loan_buckets", "split_hot")
 
 
 @dataclass(frozen=True)
@@ -34,9 +29,31 @@ class Tables:
     memo: dict | None = field(default=None, compare=False, repr=False)
     # Whether a table has at most so many rows: one check per table of this value.
     sizes: dict = field(default_factory=dict, compare=False, repr=False)
+    # Stored copies partitioned by the day of a column: (table, column) -> frame with the column ``day``.
+    by_day: dict = field(default_factory=dict, compare=False, repr=False)
+    # Tables that are stored in buckets by loan, and the number of buckets (see :func:`dunlin.sources.stored.write_buckets`).
+    loan_buckets: dict = field(default_factory=dict, compare=False)
+    # Whether joins on phone numbers cut hot numbers into pieces themselves (see :meth:`splitting`).
+    split_hot: bool = field(default=False, compare=False)
 
     def names(self) -> list[str]:
-        return [f.name for f in fields(self) if f.name not in ("memo", "sizes")]
+        return [f.name for f in fields(self) if f.name not in _NOT_TABLES]
+
+    def during(self, name: str, column: str, periods) -> DataFrame:
+        """Rows of table ``name`` whose date or timestamp ``column`` lies between the first and
+        the last day of ``periods``.
+
+        Where a copy partitioned by that column's day is stored, the range is also put on its
+        partition column, so other days are not opened.  A timestamp's day was taken in the
+        writer's time zone: one day more on either side is opened, and the range on the timestamp
+        itself decides."""
+        plain = getattr(self, name)
+        stamp = isinstance(plain.schema[column].dataType, T.TimestampType)
+        rows = periods.ts_bounds(column) if stamp else periods.date_bounds(column)
+        stored = self.by_day.get((name, column))
+        if stored is None:
+            return plain.filter(rows)
+        return stored.filter(periods.date_bounds("day", slack=int(stamp)) & rows).drop("day")
 
     def reusing(self) -> "Tables":
         """A copy whose shared intermediates (period slices of the snapshot,
@@ -46,6 +63,20 @@ class Tables:
         call :meth:`release` when the results have been collected or written."""
         return replace(self, memo={})
 
+    def splitting(self) -> "Tables":
+        """A copy whose joins on phone numbers cut hot numbers into pieces (:mod:`dunlin.operators.skew`), for
+        sessions without adaptive skew joins.  It costs one more count of the rows by number."""
+        return replace(self, split_hot=True)
+
+    def by_loan(self, name: str | None, rows: DataFrame) -> DataFrame:
+        """``rows`` of table ``name`` (None: of several), dealt by loan once: aggregations and joins by loan (and
+        more) that follow stay in place.  Rows of a table stored by loan are dealt already; others go to the
+        same number of partitions, so they meet stored ones where those are."""
+        if name in self.loan_buckets:
+            return rows
+        n = next(iter(self.loan_buckets.values()), None)
+        return rows.repartition(n, "loan_account") if n else rows.repartition("loan_account")
+
     def __enter__(self) -> "Tables":
         return self
 
@@ -73,7 +104,7 @@ class Tables:
             self.memo.clear()
 
     def with_(self, **kw) -> "Tables":
-        return replace(self, sizes={}, **kw)
+        return replace(self, sizes={}, by_day={k: v for k, v in self.by_day.items() if k[0] not in kw}, loan_buckets={k: n for k, n in self.loan_buckets.items() if k not in kw}, **kw)
 
     @classmethod
     def load(cls, spark: SparkSession, root: str, fmt: str = "parquet") -> "Tables":
@@ -94,23 +125,9 @@ class Tables:
         return cls(**{k: spark.table(v) for k, v in names.items()})
 
     def materialize(self, root: str) -> "Tables":
-        """Write every table to ``{root}/{name}`` (Parquet) and return tables that
-        read from there: cuts the derivation lineage and gives the planner real
-        file statistics.  ``root`` must be a shared folder on a cluster (e.g.
-        under ``spark.checkpoint.dir``)."""
-        root = root.rstrip("/")
-        for name in self.names():
-            df: DataFrame = getattr(self, name)
-            if name in _DAY:
-                day = "bucket_date" if name == "bucket_flow" else "day"
-                dated = df.withColumn(day, F.to_date(_DAY[name]))
-                dated = dated.repartition(F.col(day), F.pmod(F.xxhash64(_KEY[name]), F.lit(_BUCKETS)))
-                dated.sortWithinPartitions(day, _DAY[name]).write.mode("overwrite").partitionBy(day).parquet(f"{root}/{name}")
-            else:
-                df.write.mode("overwrite").parquet(f"{root}/{name}")
-        spark = self.calls.sparkSession
-        # with the declared schema: an empty table has no file to take it from
-        return Tables(**{n: spark.read.schema(getattr(self, n).schema).parquet(f"{root}/{n}").select(*getattr(self, n).columns) for n in self.names()})
+        """The tables written below ``root`` by day (:func:`dunlin.sources.stored.write_days`) and read back."""
+        from .stored import write_days
+        return write_days(self, root)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -174,8 +174,7 @@ def shared_loan_phones() -> str:
 
 
 def loans_called_on_several_numbers(periods) -> str:
-    return O.full(O._active_loans_ctes(periods),
-                  "SELECT WkstartDate, WkendDate, loan_account, count(loan_account) n FROM activeloans GROUP BY 1, 2, 3 HAVING count(loan_account) > 1")
+    return O.full(O._called(periods), "SELECT s WkstartDate, e WkendDate, loan_account, count(*) n FROM called GROUP BY 1, 2, 3 HAVING count(*) > 1")
 
 
 def largest_overdue(periods) -> str:
