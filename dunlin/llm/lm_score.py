@@ -8,7 +8,8 @@ word, which stay a distributed table.  The end token is a class of its own.
 Baum-Welch: every task runs scaled forward and backward recursions over its texts
 and emits expected counts by class; they are summed across partitions, and the
 driver turns the sums (CLASSES x STATES numbers) into the next model.  Every round
-runs over all training texts, until the log likelihood hardly changes.
+runs over all training texts, until the log likelihood hardly changes.  Texts are hashed
+to class numbers once, into the shared folder, in the order in which the rounds read them.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from pyspark.sql import functions as F
 from dunlin.llm.shared import column, shared_dir, slices, stored, text_buffer
 from dunlin.llm.words import Hasher, U, counts_of, mix, space_words
 
-STATES = 4
-CLASSES = 1 << 14
-MOST_ROUNDS, LEAST_GAIN = 5, 1e-3  # Baum-Welch rounds, and the relative gain in log likelihood below which they end
+STATES = 8
+CLASSES = 1 << 14  # at most 65,535, as they are stored in two bytes
+MOST_ROUNDS, LEAST_GAIN = 8, 1e-3  # Baum-Welch rounds, and the relative gain in log likelihood below which they end
 KNOWN_WORDS = 1 << 17  # counts sent to the tasks; all other words are joined
-BLOCK = 64  # tokens of a transfer matrix
+LONG = 1024  # tokens beyond which a text is cut into blocks
+BLOCK = 64  # tokens of a block's transfer matrix
+SLICE, SLICE_ROWS = 2 << 20, 4096  # bytes and rows of texts that take their steps together
 END = -1  # the end token in the table of word counts
 
 
@@ -57,8 +60,66 @@ class Model:
         return Model(first / first.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0))
 
 
+class SideBySide:
+    """Scaled recursions over short texts: all texts of a slice take a step at a time.
+
+    ``obs`` holds the texts' tokens step by step, longest text first: ``active[t]`` texts have a token number t.
+    """
+
+    def __init__(self, model: Model, obs: np.ndarray, active: np.ndarray):
+        self.m, self.obs, self.active = model, obs, active
+        self.at = np.cumsum(active) - active
+
+    def forward(self, keep: bool = False) -> np.ndarray:
+        """Natural log likelihood of each text, longest first; with ``keep`` also every token's weights and scale."""
+        m, s = self.m, len(self.m.pi)
+        emit = m.emit[self.obs]
+        k0 = int(self.active[0]) if len(self.active) else 0
+        logp, a = np.zeros(k0), np.empty((k0, s))
+        if keep:
+            self.emit, self.alpha, self.scale = emit, np.empty((len(self.obs), s)), np.empty(len(self.obs))
+        for t, (at, k) in enumerate(zip(self.at.tolist(), self.active.tolist())):
+            a = (a[:k] @ m.step if t else np.broadcast_to(m.pi, (k, s))) * emit[at: at + k]
+            c = a.sum(1)
+            a /= c[:, None]
+            logp[:k] += np.log(c)
+            if keep:
+                self.alpha[at: at + k], self.scale[at: at + k] = a, c
+        return logp
+
+    def expect(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected (class, state), transition and start counts, and the log likelihood."""
+        logp = self.forward(keep=True)
+        m, s = self.m, len(self.m.pi)
+        beta, cross = np.ones((len(self.obs), s)), np.zeros((s, s))
+        self.emit /= self.scale[:, None]
+        for t in range(len(self.active) - 1, 0, -1):
+            at, k, before = int(self.at[t]), int(self.active[t]), int(self.at[t - 1])
+            v = self.emit[at: at + k] * beta[at: at + k]
+            cross += self.alpha[before: before + k].T @ v
+            beta[before: before + k] = v @ m.step.T
+        gamma = self.alpha * beta
+        counts = np.stack([np.bincount(self.obs, weights=gamma[:, z], minlength=len(m.emit)) for z in range(s)], 1)
+        pi = gamma[: int(self.active[0])].sum(0) if len(self.active) else np.zeros(s)
+        return counts, m.step * cross, pi, float(logp.sum())
+
+
+def step_by_step(obs: np.ndarray, n_tok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of texts that lie one after another, in the order of :class:`SideBySide`; ``active``; and the texts, longest first."""
+    order = np.argsort(-n_tok, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    longest = int(n_tok.max(initial=0))
+    active = np.searchsorted(-n_tok[order], -np.arange(longest), "left")
+    doc = np.repeat(np.arange(len(n_tok)), n_tok)
+    step = np.arange(len(obs)) - np.repeat(np.cumsum(n_tok) - n_tok, n_tok)
+    out = np.empty_like(obs)
+    out[(np.cumsum(active) - active)[step] + rank[doc]] = obs
+    return out, active, order
+
+
 class Recursion:
-    """Scaled recursions over the texts of a slice; texts are cut into blocks of BLOCK tokens.
+    """Scaled recursions over long texts, which are cut into blocks of BLOCK tokens.
 
     A block's transfer matrix carries the state weights over it, so long texts
     need as few sequential steps as blocks and all blocks run at once.
@@ -174,6 +235,32 @@ def _observed(h: np.ndarray, rows: np.ndarray, n: np.ndarray, classes: int) -> n
     return obs
 
 
+def _split(obs: np.ndarray, n_tok: np.ndarray):
+    """Tokens and sizes of the short texts, and of the long ones; and which texts are long."""
+    is_long = n_tok > LONG
+    if not is_long.any():
+        return obs, n_tok, obs[:0], n_tok[:0], is_long
+    of = np.repeat(is_long, n_tok)
+    return obs[~of], n_tok[~is_long], obs[of], n_tok[is_long], is_long
+
+
+def class_numbers(texts: DataFrame, classes: int) -> DataFrame:
+    """The classes of all tokens, a row for each slice of texts: short texts step by step (two bytes a token) with
+    the number of texts at each step, long texts one after another with their sizes."""
+    def run(batches):
+        hasher = Hasher(space_words())
+        for batch in batches:
+            data, offs = text_buffer(column(batch, "text"))
+            for a, b in slices(offs, SLICE, SLICE_ROWS):
+                h, rows, n = _tokens(hasher, data, offs, a, b)
+                short, n_short, long_, n_long, _ = _split(_observed(h, rows, n, classes), n + 1)
+                short, active, _ = step_by_step(short, n_short)
+                parts = [short.astype("<u2"), active.astype("<i4"), long_.astype("<u2"), n_long.astype("<i4")]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["obs", "active", "long_obs", "long_n"])
+
+    return texts.select("text").mapInArrow(run, "obs binary, active binary, long_obs binary, long_n binary")
+
+
 def word_counts(train: DataFrame) -> DataFrame:
     """(w, c): how often each word hash occurs in the texts; END counts the texts."""
 
@@ -190,41 +277,44 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).where("c > 0")
 
 
-def expected_counts(texts: DataFrame, model: Model, classes: int):
-    """One Baum-Welch pass: expected counts of every task, summed across partitions."""
+def expected_counts(slices_: DataFrame, model: Model, classes: int):
+    """One Baum-Welch pass over :func:`class_numbers`: expected counts of every task, summed across partitions."""
     states = len(model.pi)
     names = [f"s{z}" for z in range(states)]
-    sent = texts.sparkSession.sparkContext.broadcast(model)  # (CLASSES + 1) x STATES numbers
+    sent = slices_.sparkSession.sparkContext.broadcast(model)  # (CLASSES + 1) x STATES numbers
 
     def run(batches):
-        m, hasher = sent.value, Hasher(space_words())
+        m = sent.value
         total, xi, pi, ll = np.zeros((classes + 1, states)), np.zeros((states, states)), np.zeros(states), 0.0
         for batch in batches:
-            data, offs = text_buffer(column(batch, "text"))
-            for a, b in slices(offs):
-                h, rows, n = _tokens(hasher, data, offs, a, b)
-                c, x, p, one = Recursion(m, _observed(h, rows, n, classes), n + 1).expect()
-                total += c
-                xi += x
-                pi += p
-                ll += one
+            for row in zip(*(column(batch, c).to_pylist() for c in ("obs", "active", "long_obs", "long_n"))):
+                obs, active, long_, n = (np.frombuffer(x, t).astype(np.int64) for x, t in zip(row, ("<u2", "<i4", "<u2", "<i4")))
+                found = [SideBySide(m, obs, active).expect()] if len(active) else []
+                if len(n):
+                    found.append(Recursion(m, long_, n).expect())
+                for c, x, p, one in found:
+                    total += c
+                    xi += x
+                    pi += p
+                    ll += one
         every = np.concatenate([total, xi, pi[None], np.full((1, states), ll)])
         k = np.flatnonzero(every.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *(pa.array(every[k, z]) for z in range(states))], ["k", *names])
 
-    rows = texts.select("text").mapInArrow(run, "k long, " + ", ".join(f"{n} double" for n in names))
+    rows = slices_.mapInArrow(run, "k long, " + ", ".join(f"{n} double" for n in names))
     got = rows.groupBy("k").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
     every = np.zeros((classes + 1 + states + 2, states))
     every[got.column("k").to_numpy()] = np.stack([got.column(n).to_numpy() for n in names], 1) if got.num_rows else 0
+    sent.unpersist()
     return every[: classes + 1], every[classes + 1: -2], every[-2], float(every[-1, 0])
 
 
-def train(texts: DataFrame, class_counts: np.ndarray, states: int = STATES) -> Model:
-    """Baum-Welch rounds over all training texts: MOST_ROUNDS, or fewer if the log likelihood gains less than LEAST_GAIN of itself."""
+def train(slices_: DataFrame, class_counts: np.ndarray, states: int = STATES) -> Model:
+    """Baum-Welch rounds over :func:`class_numbers` of all training texts: MOST_ROUNDS, or fewer if the log likelihood gains less than LEAST_GAIN of itself."""
     classes = len(class_counts) - 1
     model, last = Model.start(class_counts, states), None
     for _ in range(MOST_ROUNDS):
-        gamma, xi, pi, ll = expected_counts(texts, model, classes)
+        gamma, xi, pi, ll = expected_counts(slices_, model, classes)
         if pi.sum() == 0:
             break
         model = Model.of_counts(class_counts, gamma, xi, pi)
@@ -234,6 +324,18 @@ def train(texts: DataFrame, class_counts: np.ndarray, states: int = STATES) -> M
     return model
 
 
+def log_likelihood(model: Model, obs: np.ndarray, n_tok: np.ndarray) -> np.ndarray:
+    """Natural log likelihood of each of the texts that lie one after another in ``obs``."""
+    short, n_short, long_, n_long, is_long = _split(obs, n_tok)
+    out = np.empty(len(n_tok))
+    if len(n_long):
+        out[is_long] = Recursion(model, long_, n_long).forward()
+    if len(n_short):
+        steps, active, order = step_by_step(short, n_short)
+        out[np.flatnonzero(~is_long)[order]] = SideBySide(model, steps, active).forward()
+    return out
+
+
 def score(docs: DataFrame, folds: int = 10, states: int = STATES, classes: int = CLASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
@@ -262,7 +364,7 @@ def score(docs: DataFrame, folds: int = 10, states: int = STATES, classes: int =
     n_of[per_class.column("k").to_numpy()] = per_class.column("n").to_numpy()
     v_of[per_class.column("k").to_numpy()] = per_class.column("v").to_numpy()
     n_of[classes] = ends
-    model = train(texts, n_of, states)
+    model = train(stored(class_numbers(texts, classes), f"{folder}/classes"), n_of, states)
     known = words.where((F.col("w") != END) & (level >= least)).toArrow() if least is not None else None
     top_w = known.column("w").to_numpy() if known is not None else np.zeros(0, np.int64)
     top_c = known.column("c").to_numpy() if known is not None else np.zeros(0, np.int64)
@@ -278,9 +380,9 @@ def score(docs: DataFrame, folds: int = 10, states: int = STATES, classes: int =
         hasher = Hasher(space_words())
         for batch in batches:
             data, offs = text_buffer(column(batch, "text"))
-            for a, b in slices(offs):
+            for a, b in slices(offs, SLICE, SLICE_ROWS):
                 h, rows, n = _tokens(hasher, data, offs, a, b)
-                logp = Recursion(m, _observed(h, rows, n, classes), n + 1).forward() / np.log(10)
+                logp = log_likelihood(m, _observed(h, rows, n, classes), n + 1) / np.log(10)
                 at = np.minimum(np.searchsorted(tw, h), max(len(tw) - 1, 0))
                 is_top = tw[at] == h if len(tw) else np.zeros(len(h), bool)
                 num = np.bincount(rows[is_top], weights=tl[at[is_top]], minlength=b - a)
