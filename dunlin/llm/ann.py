@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one per shard.
 
 Equal vectors form a class and are indexed once.  Classes are dealt to shards of
-bounded size by a hash.  In a shard, greedy searches propose neighbours for every
+bounded size by the size of their norm (a factor of two) and a hash, so one very long vector does not flatten the
+distances between the others.  In a shard, greedy searches propose neighbours for every
 node, and relaxed distance pruning keeps diverse edges (two rounds, the second with a
 larger relaxation); the graph is stored.  Queries visit every shard in blocks of bounded
 size; a beam search walks the shard's graph, and the best of all shards are merged.
 
-Nearness is the inner product.  Graphs are built on vectors with one more coordinate,
-sqrt(M^2 - |x|^2), M the shard's largest norm, which turns it into a Euclidean distance.
+Nearness is the inner product.  Graphs are built on the vectors over M, the shard's largest norm, with one more
+coordinate, sqrt(1 - |x/M|^2), which turns it into a Euclidean distance.  What the beam found is ranked by
+the inner products of the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 
 from dunlin.llm.shared import shared_dir, stored
 
-SHARD = 4096  # classes of a shard
-BLOCK = 4096  # queries that visit a shard together
+SHARD = 16384  # classes of a shard
+BLOCK = 16384  # queries that visit a shard together
+SMALL = 256  # classes of a shard that are all compared
 DEGREE, BEAM, WIDTH = 24, 64, 4  # edges of a node, length of the beam, nodes expanded together
 RELAX = (1.0, 1.2)
 
@@ -121,10 +124,25 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM) -> tuple[np.nda
     return graph, start
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    """Vectors over their largest component, then over their norm: no square overflows or vanishes."""
+    v = v / abs(v).max(1, keepdims=True)
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
 def lifted(v: np.ndarray) -> np.ndarray:
-    """Vectors with the coordinate that makes the inner product a distance."""
+    """Vectors over the largest norm, with the coordinate that makes the inner product a distance."""
+    v = v / abs(v).max()
     sq = (v * v).sum(1)
-    return np.concatenate([v, np.sqrt(np.maximum(sq.max() - sq, 0))[:, None]], 1).astype(np.float32)
+    most = sq.max()
+    return np.concatenate([v / np.sqrt(most), np.sqrt(np.maximum(1 - sq / most, 0))[:, None]], 1).astype(np.float32)
+
+
+def band(v):
+    """floor(log2) of the norm: vectors of a band differ by less than a factor of two in length."""
+    most = F.array_max(F.transform(v, F.abs))
+    part = F.aggregate(v, F.lit(0.0), lambda a, c: a + (c / most) * (c / most))
+    return F.floor(F.log2(most) + F.log2(part) / 2).cast("int")
 
 
 def _vectors(col) -> np.ndarray:
@@ -142,7 +160,7 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, vec: str = "embeddin
 
     Nearest first, ties to the smaller vec_id; all others if there are fewer than k.  Unusable vectors (see
     :func:`usable`) neither ask nor answer; vectors of another length never meet.  Rows with equal vec_id and vector count once.
-    Every row is indexed.  Of a class of equal vectors the k + 1 smallest vec_ids are kept as answers,
+    Every row is indexed.  Norms may be of any size: scores beyond a double's range (components of about 1e150) do not count as found.  Of a class of equal vectors the k + 1 smallest vec_ids are kept as answers,
     as no query can return more.
     """
     spark = table.sparkSession
@@ -150,14 +168,15 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, vec: str = "embeddin
     rows = usable(table, vec).select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("v"))
     # -0.0 and 0.0 are one component; the class key is two hashes of the components
     rows = rows.withColumn("v", F.transform("v", lambda c: c + F.lit(0.0))).withColumn("c1", F.xxhash64("v")).withColumn(
-        "c2", F.xxhash64(F.lit(1), "v")).withColumn("dim", F.size("v"))
+        "c2", F.xxhash64(F.lit(1), "v")).withColumn("dim", F.size("v")).withColumn("band", band("v"))
     rows = stored(rows, f"{folder}/rows")
-    classes = rows.groupBy("dim", "c1", "c2").agg(F.min("vec_id").alias("cid"))
-    of_dim = {r.dim: r.n for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row for each length that occurs
-    if not of_dim:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shards = F.create_map(*(x for d, n in of_dim.items() for x in (F.lit(d), F.lit(-(-n // SHARD)))))
-    classes = stored(classes.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "c1", "c2"), shards[F.col("dim")]).cast("int")), f"{folder}/classes")
+    classes = rows.groupBy("dim", "c1", "c2").agg(F.min("vec_id").alias("cid"), F.first("band").alias("band"))
+    # a row for each length that occurs and each band of norms, of which doubles have 2,200
+    shards = classes.groupBy("dim", "band").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("parts"))
+    shards = stored(shards, f"{folder}/shards")
+    part = F.pmod(F.xxhash64(F.lit(3), "c1", "c2"), F.col("parts")).cast("int")
+    classes = classes.join(F.broadcast(shards), ["dim", "band"]).withColumn("shard", F.struct("band", part.alias("part"))).drop("band", "parts")
+    classes = stored(classes, f"{folder}/classes")
     w = Window.partitionBy("c1", "c2").orderBy("vec_id")
     answers = rows.select("dim", "c1", "c2", "vec_id").distinct().withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k + 1)
     answers = answers.join(classes.select("dim", "c1", "c2", "cid"), ["dim", "c1", "c2"]).select("cid", "vec_id")
@@ -172,14 +191,14 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, vec: str = "embeddin
             "start", pa.array(np.arange(len(cid)) == start)).select(["dim", "shard", "cid", "v", "edges", "start"])
 
     graphs = stored(firsts.groupBy("dim", "shard").applyInArrow(
-        index, "dim int, shard int, cid long, v array<double>, edges array<int>, start boolean"), f"{folder}/graphs")
+        index, "dim int, shard struct<band: int, part: int>, cid long, v array<double>, edges array<int>, start boolean"), f"{folder}/graphs")
     queries = rows.where(F.col("vec_id") % every == 0).select("dim", "vec_id", "v").dropDuplicates(["vec_id", "v"])
     asked = {r.dim: r.n for r in queries.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     if not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     blocks = F.create_map(*(x for d, n in asked.items() for x in (F.lit(d), F.lit(-(-n // BLOCK)))))
-    visits = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks[F.col("dim")]).cast("int")).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), shards[F.col("dim")] - 1)))
+    every_shard = shards.select("dim", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("dim", F.struct("band", "part").alias("shard"))
+    visits = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks[F.col("dim")]).cast("int")).join(F.broadcast(every_shard), "dim")
     copies = graphs.where(F.col("dim").isin(list(asked))).withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("dim")] - 1)))
 
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -194,7 +213,10 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, vec: str = "embeddin
         out = []
         for a in range(0, len(q), 512):
             part = q[a: a + 512]
-            ids, _ = search(x, graph, start, np.concatenate([part, np.zeros((len(part), 1))], 1).astype(np.float32))
+            if len(x) <= SMALL:
+                ids = np.broadcast_to(np.arange(len(x)), (len(part), len(x)))
+            else:
+                ids, _ = search(x, graph, start, np.concatenate([unit(part), np.zeros((len(part), 1))], 1).astype(np.float32))
             score = np.einsum("mkd,md->mk", v[np.maximum(ids, 0)], part)
             score[ids < 0] = -np.inf
             names = cid[np.maximum(ids, 0)]

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from dunlin.llm import ann
 
@@ -60,3 +61,30 @@ def test_pruning_keeps_diverse_edges():
     x = np.array([[0, 0], [1, 0], [1.1, 0], [0, 1.5], [-3, 0]], np.float32)
     got = ann.robust_prune(x, np.array([0]), np.array([[1, 2, 3, 4, -1, 1, 0]]), 1.0, 3)
     assert got.tolist() == [[1, 3, 4]]
+
+
+@pytest.mark.parametrize("factor", [1e-20, 1e4, 1e20])
+def test_one_norm_of_another_size(spark, monkeypatch, factor):
+    monkeypatch.setattr(ann, "SMALL", 0)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 16))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    x[7] *= factor
+    rows = [(i, v) for i, v in enumerate(x)]
+    got, want = ann.nearest(table(spark, rows)).collect(), brute(rows)
+    assert recall(got, want) >= 0.95 and all(sum(r.query_id == q for r in got) == 20 for q in want)
+
+
+def test_norms_of_many_sizes(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 200)
+    rng = np.random.default_rng(3)
+    rows = [(i, v * 10.0 ** rng.uniform(-18, 18)) for i, v in enumerate(rng.normal(size=(400, 8)))]
+    got, want = ann.nearest(table(spark, rows)).collect(), brute(rows)
+    assert recall(got, want) >= 0.95 and all(sum(r.query_id == q for r in got) == 20 for q in want)
+
+
+def test_fewer_classes_than_the_beam(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4)) for i in range(12)] + [(20 + i, [1.0, 0, 0, 0]) for i in range(3)]
+    got, want = ann.nearest(table(spark, rows)).collect(), brute(rows)
+    assert {q: [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] for q in want} == {q: [i for _, i in w] for q, w in want.items()}
