@@ -78,23 +78,50 @@ FROM d LEFT JOIN g USING (r)"""
 
 
 def substrings() -> str:
-    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-    return rf"""WITH p AS (
-  SELECT doc_id, o, s, sum(len(s)) OVER (PARTITION BY doc_id ORDER BY o) - len(s) AS a FROM (
-    SELECT doc_id, unnest(x) AS s, unnest(generate_series(1, len(x))) AS o FROM (
-      SELECT DISTINCT doc_id, regexp_extract_all(text, '[^\n.!?]+[.!?]*|[\n.!?]+') AS x FROM documents WHERE text IS NOT NULL))),
+    """Rank is doc_id; the given tables have one row for each."""
+    S = substring_dedup
+    same = ("coalesce(nullif(list_position(list_transform(generate_series(1, least(len({a}), len({b}))), lambda k: {a}[k] = {b}[k]), false), 0), "
+            "least(len({a}), len({b})) + 1) - 1")
+    return rf"""WITH t AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
+piece AS (
+  SELECT r, o, s, sum(len(s)) OVER before - len(s) AS a, sum(len(s) - len(replace(s, chr(10), ''))) OVER before AS line FROM (
+    SELECT r, unnest(x) AS s, unnest(generate_series(1, len(x))) AS o FROM (SELECT r, regexp_extract_all(text, '{SPACED}|[\x20\x09-\x0D]+') AS x FROM t))
+  WINDOW before AS (PARTITION BY r ORDER BY o)),
 w AS (
-  SELECT doc_id, o, a + len(s) - len(ltrim(s, {white})) AS a, a + len(rtrim(s, {white})) AS e,
-    regexp_extract_all(translate(s, '{UPPER}', '{LOWER}'), '{SPACED}') AS w
-  FROM p WHERE regexp_matches(s, '^[^\n.!?]')),
+  SELECT r, line, a, a + len(s) AS e, w, row_number() OVER (PARTITION BY r ORDER BY o) - 1 AS i, strlen(w) AS size,
+    CAST('0x' || hex(encode(w))[1:2] AS INTEGER) AS first, CAST('0x' || hex(encode(w))[-2:] AS INTEGER) AS last
+  FROM (SELECT *, translate(s, '{UPPER}', '{LOWER}') AS w FROM piece WHERE regexp_matches(s, '^{SPACED}'))),
+c1 AS (SELECT *, (5 * size + last + 3 * first + 7 * coalesce(lag(last) OVER (PARTITION BY r ORDER BY i), 0)) % {S.CUT} = 0 AS ends FROM w),
+c2 AS (SELECT *, ends AND NOT coalesce(max(ends) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {S.APART - 1} PRECEDING AND 1 PRECEDING), FALSE) AS kept FROM c1),
+c3 AS (SELECT *, i = 0 OR lag(kept) OVER (PARTITION BY r ORDER BY i) AS opens FROM c2),
+c4 AS (SELECT *, max(CASE WHEN opens THEN i END) OVER (PARTITION BY r ORDER BY i) AS head FROM c3),
+c5 AS (SELECT *, sum(CASE WHEN opens OR (i - head) % {S.MOST} = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS chunk FROM c4),
 u AS (
-  SELECT doc_id, a, e, len(w) AS n, array_to_string(w, ' ') AS k, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS o
-  FROM w WHERE len(w) >= {substring_dedup.LEAST_WORDS}),
-f AS (SELECT *, first_value(doc_id) OVER v AS keeper, row_number() OVER v AS nth FROM u WINDOW v AS (PARTITION BY k ORDER BY doc_id, o)),
-g AS (SELECT *, o - row_number() OVER (PARTITION BY doc_id ORDER BY o) AS island FROM f WHERE nth > 1)
-SELECT doc_id, CAST(min(a) AS BIGINT) AS "start", CAST(max(e) AS BIGINT) AS "end", CAST(count(*) AS BIGINT) AS n_units, CAST(sum(n) AS BIGINT) AS n_words,
-  min(keeper) AS keeper, CAST(count(DISTINCT keeper) AS BIGINT) AS n_keepers
-FROM g GROUP BY doc_id, island HAVING sum(n) >= {substring_dedup.LEAST_PASSAGE}"""
+  SELECT r, 0 AS kind, line AS o, min(a) AS a, max(e) AS e, min(i) AS i, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS k FROM c5 GROUP BY r, line UNION ALL
+  SELECT r, 1, chunk, min(a), max(e), min(i), count(*), string_agg(w, ' ' ORDER BY i) FROM c5 GROUP BY r, chunk),
+f AS (SELECT u.*, row_number() OVER v AS nth, first_value(r) OVER v AS fr, first_value(i) OVER v AS fi FROM u JOIN t USING (r) WINDOW v AS (PARTITION BY kind, k ORDER BY doc_id, o)),
+g AS (SELECT *, o - row_number() OVER (PARTITION BY r ORDER BY o) AS island FROM f WHERE kind = 1 AND nth > 1),
+run AS (
+  SELECT r, min(a) AS a, max(e) AS e, min(i) AS i, max(i + n) AS j, arg_min(fr, o) AS hr, arg_min(fi, o) AS hi, arg_max(fr, o) AS tr, arg_max(fi + n, o) AS tj
+  FROM g GROUP BY r, island HAVING sum(n) >= {S.LEAST_RUN}),
+l AS (SELECT r, list(w ORDER BY i) AS ws, list(a ORDER BY i) AS starts, list(e ORDER BY i) AS stops FROM w GROUP BY r),
+near AS (
+  SELECT run.*, own.starts, own.stops, list_reverse(own.ws[greatest(i - {S.MOST - 1}, 1):i]) AS l1, list_reverse(h.ws[greatest(hi - {S.MOST - 1}, 1):hi]) AS l2,
+    own.ws[j + 1:j + {S.MOST}] AS r1, q.ws[tj + 1:tj + {S.MOST}] AS r2
+  FROM run JOIN l own ON own.r = run.r JOIN l h ON h.r = hr JOIN l q ON q.r = tr),
+grown AS (SELECT *, {same.format(a="l1", b="l2")} AS lefts, {same.format(a="r1", b="r2")} AS rights FROM near),
+gone AS (
+  SELECT r, kind, a, e, n FROM f WHERE kind = 0 AND nth > 1 UNION ALL
+  SELECT r, 1, starts[i - lefts + 1], stops[j + rights], j - i + lefts + rights FROM grown WHERE j - i + lefts + rights >= {S.LEAST_PASSAGE}),
+reach AS (SELECT r, a, e, max(e) OVER (PARTITION BY r ORDER BY a, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM (SELECT DISTINCT r, a, e FROM gone)),
+isle AS (SELECT *, sum(CASE WHEN m IS NULL OR a > m THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY a, e) AS k FROM reach),
+cut AS (SELECT r, min(a) AS a, max(e) AS e FROM isle GROUP BY r, k),
+span AS (SELECT r, sum(e - a) AS n, string_agg(CAST(a AS VARCHAR) || ':' || CAST(e AS VARCHAR), ',' ORDER BY a) AS s FROM cut GROUP BY r),
+num AS (SELECT r, count(*) FILTER (kind = 0) AS n_lines, sum(n) FILTER (kind = 0) AS line_words, count(*) FILTER (kind = 1) AS n_passages, max(n) FILTER (kind = 1) AS longest
+  FROM gone GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(line_words, 0) AS BIGINT) AS line_words, CAST(coalesce(n_passages, 0) AS BIGINT) AS n_passages,
+  CAST(coalesce(longest, 0) AS BIGINT) AS longest_passage, CAST(coalesce(span.n, 0) AS BIGINT) AS n_removed, coalesce(span.s, '') AS spans
+FROM t LEFT JOIN num USING (r) LEFT JOIN span USING (r)"""
 
 
 def content_sort() -> str:

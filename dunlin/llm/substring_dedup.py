@@ -1,93 +1,222 @@
 """Substring deduplication by hashing of text units.
 
-A text is cut into units: paragraphs, lines, or the sentences of lines.  A unit is
-normalised (A-Z lower-cased, white space runs to one space, trimmed) and hashed to 128
-bits.  Equal digests are grouped over all documents; the occurrence with the smallest
-(rank, place) stays, every other one is repeated.  Repeated units that follow one
-another form a passage; a passage of enough words goes, with its offsets in the original text.
-
-Sentences are the default unit: a repeated passage need not begin or end with a line, and a
-repeated line is a run of repeated sentences.
+Units are the lines of a text and, beside them, chunks of a few words whose ends follow from
+the words around them alone, so a passage is cut alike wherever it stands.  Units
+are normalised (A-Z lower-cased, white space runs to one space, trimmed) and hashed to 128 bits; equal
+digests are grouped over all documents, and the occurrence with the smallest (rank, place) stays.
+
+Every line that occurred before goes, however short.  Repeated chunks that follow one
+another are a run; a run is extended word by word, on both sides, as far as its
+text and the text around its first occurrence agree, so a passage glued into other sentences counts in
+full.  A run of enough words is a passage and goes too.  (A repeated paragraph is repeated lines.)
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dunlin.llm.shared import column, stored
+from dunlin.llm.shared import column, shared_dir, slices, stored, text_buffer
+from dunlin.llm.words import Hasher, U, mix, space_words
 
-UNITS = {"sentence": r"[^\n.!?]+[.!?]*", "line": r"[^\n]+", "paragraph": r"[^\n]+(?:\n[^\S\n]*[^\s][^\n]*)*"}
-WHITE = " \t\n\r\v\f"
-LEAST_WORDS = 4  # shorter units neither repeat nor interrupt a passage
-LEAST_PASSAGE = 25  # words of a passage that goes
+CUT = 4  # one word in about so many may end a chunk; about one in seven does
+APART, MOST = 3, 64  # distance of two such words at least, and words of a chunk at most
+LEAST_RUN = 8  # words of repeated chunks that are looked at as a passage
+LEAST_PASSAGE = 25  # words of a passage
+LINE, CHUNK = 0, 1
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
+ROW = ["nul", "did", "th"]  # a row of documents: whether its doc_id is null, doc_id, hash of its text
 
-def units(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, ord, start, end, n_words, d1, d2) of every unit of ``least_words`` words or more.
 
-    ord numbers a document's units; offsets are code points, end exclusive, without the white space around.
-    """
-    pattern = UNITS[unit]
-    names = ["doc_id", "ord", "start", "end", "n_words", "d1", "d2"]
+def cuts(size: np.ndarray, first: np.ndarray, last: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Whether a word is the first of a chunk; from the words' bytes: number, first, last.
 
+    A word ends a chunk if a sum over its bytes and the last byte of the word before is a multiple of CUT, unless
+    one of the APART - 1 words before does so; a chunk of MOST words ends too."""
+    n = len(size)
+    if not n:
+        return np.zeros(0, bool)
+    new_row = np.concatenate([[True], row[1:] != row[:-1]])
+    before = np.where(new_row, 0, np.concatenate([[0], last[:-1]]))
+    ends = (5 * size + last + 3 * first + 7 * before) % CUT == 0
+    kept = ends.copy()
+    for k in range(1, APART):
+        kept[k:] &= ~(ends[:-k] & (row[k:] == row[:-k]))
+    starts = new_row | np.concatenate([[False], kept[:-1]])
+    head = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
+    return starts | ((np.arange(n) - head) % MOST == 0)
+
+
+def _digests(hasher: Hasher, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the word sequences start to end."""
+    out = []
+    for x in (h, mix(h ^ U(0x5851F42D4C957F2D))):
+        acc = np.concatenate([np.zeros(1, U), np.cumsum(x * hasher.pw[: len(x)], dtype=U)])
+        out.append(mix((acc[end] - acc[start]) * hasher.ipw[start] + (end - start).astype(U)).view(np.int64))
+    return out[0], out[1]
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """nul, did, th and text of every row; rows of one doc_id with different texts are different rows."""
+    nul = docs["doc_id"].isNull()
+    return docs.select(nul.alias("nul"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("did"), F.xxhash64(docs["text"], nul).alias("th"), docs["text"])
+
+
+UNITS = ["kind", "ord", "start", "end", "word0", "n_words", "d1", "d2"]
+
+
+def units(rows: DataFrame) -> DataFrame:
+    """nul, did, th, kind, ord, start, end, word0, n_words, d1, d2 of every line with words and every chunk.
+
+    ord numbers a row's units of a kind; offsets are code points, end exclusive, without the white space around; word0
+    is the number of words before."""
+    def run(batches):
+        hasher, low = Hasher(space_words()), np.arange(256)
+        low[65:91] += 32
+        for batch in batches:
+            data, offs = text_buffer(column(batch, "text"))
+            for a, b in slices(offs):
+                body, at = data[offs[a]: offs[b]], offs[a: b + 1] - offs[a]
+                h, row, ws, we = hasher.words(body, at)
+                if not len(h):
+                    continue
+                point = np.concatenate([[0], np.cumsum((body & 0xC0) != 0x80)])  # code points before a byte
+                base, line = point[at[:-1]], np.cumsum(body == 10)[ws]
+                new_row = np.concatenate([[True], row[1:] != row[:-1]])
+                word_of_row = np.arange(len(h)) - np.maximum.accumulate(np.where(new_row, np.arange(len(h)), 0))
+                new_line = new_row | np.concatenate([[False], line[1:] != line[:-1]])
+                found = []
+                for kind, starts in ((LINE, new_line), (CHUNK, cuts(we - ws, low[body[ws]], low[body[we - 1]], row))):
+                    s = np.flatnonzero(starts)
+                    e = np.append(s[1:], len(h))
+                    r = row[s]
+                    nth = np.arange(len(s)) - np.searchsorted(r, r)
+                    found.append((r, np.full(len(s), kind), nth, point[ws[s]] - base[r], point[we[e - 1]] - base[r], word_of_row[s], e - s, *_digests(hasher, h, s, e)))
+                r, *cols = (np.concatenate(c) for c in zip(*found))
+                own = pa.array(r + a)
+                yield pa.RecordBatch.from_arrays([column(batch, c).take(own) for c in ROW] + [pa.array(c.astype(np.int64)) for c in cols], ROW + UNITS)
+
+    return rows.mapInArrow(run, "nul boolean, did long, th long, " + ", ".join(f"`{c}` long" for c in UNITS))
+
+
+def _around(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """side, pos, words, places for each asked (row, side, pos): the at most MOST words before (side 0, nearest
+    first) or after (side 1) a place in the row's text, and where each begins (0) or ends (1)."""
     def run(batches):
-        import xxhash
-        find = re.compile(pattern).finditer
         for batch in batches:
-            cols: list[list] = [[] for _ in names]
-            for doc, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist()):
-                ord_ = 0
-                for m in find(text or ""):
-                    raw = m.group()
-                    words = raw.encode().lower().split()
-                    if len(words) < least_words:
-                        continue
-                    h = xxhash.xxh3_128_intdigest(b" ".join(words))
-                    start = m.start() + len(raw) - len(raw.lstrip(WHITE))
-                    row = (doc, ord_, start, m.start() + len(raw.rstrip(WHITE)), len(words), (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63))
-                    ord_ += 1
-                    for c, v in zip(cols, row):
-                        c.append(v)
-                if len(cols[0]) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
-                    cols = [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
-
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
-
-
-def repeated(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS, least_passage: int = LEAST_PASSAGE) -> DataFrame:
-    """(doc_id, start, end, n_units, n_words, keeper, n_keepers) of every passage that goes; keepers
-    are the documents where its units stay, keeper the first of them.
-
-    Rank is doc_id: the earliest document keeps a unit, and of one document the first
-    place.  First occurrences are minima that combine before the shuffle; only digests
-    that occur twice or more are joined back, so a unit in a third of all rows costs a
-    row per occurrence, and nothing is gathered but a document's own passages.  Null
-    and empty texts have no units, an empty table no passages.  Rows that repeat a
-    doc_id and its text are one document.
-    """
-    u = stored(units(docs, unit, least_words))
-    first = u.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "ord")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = u.join(first.select("d1", "d2", "first"), ["d1", "d2"]).where("doc_id <> first.doc_id or ord <> first.ord")
-    again = again.select("doc_id", "ord", "start", "end", "n_words", F.col("first.doc_id").alias("keeper")).distinct()
-    island = F.col("ord") - F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "start"))
-    runs = again.withColumn("island", island).groupBy("doc_id", "island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("n_words").alias("n_words"),
-        F.min("keeper").alias("keeper"), F.countDistinct("keeper").alias("n_keepers"))
-    return runs.where(F.col("n_words") >= least_passage).drop("island")
-
-
-def cleaned(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with the repeated passages cut out of text and ``removed`` (start, end in the original) added; null where nothing went."""
-    gone = repeated(docs, **how).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    acc = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at"))
-    text = F.aggregate(
-        "removed", acc, lambda a, s: F.struct(F.concat(a["kept"], F.substr("text", (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))).alias("kept"), s["end"].alias("at")),
-        lambda a: F.concat(a["kept"], F.substr("text", (a["at"] + 1).cast("int"))))
-    j = docs.join(gone, "doc_id", "left")
-    return j.withColumn("text", F.when(F.col("removed").isNotNull(), text).otherwise(F.col("text")))
+            out = []
+            keys = list(zip(*(column(batch, c).to_pylist() for c in ROW)))
+            for key, text, asks in zip(keys, column(batch, "text").to_pylist(), column(batch, "asks").to_pylist()):
+                found = [(m.start(), m.end(), m.group().encode().lower()) for m in WORD.finditer(text or "")]
+                begins = np.array([f[0] for f in found])
+                for ask in asks:
+                    k = int(np.searchsorted(begins, ask["pos"]))
+                    near = found[max(k - MOST, 0): k][::-1] if ask["side"] == 0 else found[k: k + MOST]
+                    out.append((*key, ask["side"], ask["pos"], [f[2].decode() for f in near], [f[ask["side"]] for f in near]))
+            cols = list(zip(*out)) or [[]] * 7
+            types = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [*ROW, "side", "pos", "words", "places"])
+
+    asks = asked.distinct().groupBy(*ROW).agg(F.collect_list(F.struct("side", "pos")).alias("asks"))
+    answers = rows.join(asks, ROW).mapInArrow(run, "nul boolean, did long, th long, side long, pos long, words array<string>, places array<long>")
+    return answers.dropDuplicates([*ROW, "side", "pos"])  # repeated rows answer twice
+
+
+def repeated(docs: DataFrame, least_passage: int = LEAST_PASSAGE, least_run: int = LEAST_RUN) -> DataFrame:
+    """nul, did, th, kind, start, end, n_words, keeper_nul, keeper of all that goes: repeated lines (kind 0) and passages (kind 1).
+
+    Rank is doc_id, null last, then a hash of the text: the row of smallest rank keeps a unit, and of one row the first place.  keeper
+    is the doc_id of the row that keeps the line, or a passage's first chunk.  Rows that repeat a doc_id and its text are one row; null and empty
+    texts have no units, an empty table has nothing to remove.  First occurrences are minima that combine before the shuffle; only digests that
+    occur twice or more are joined back, so a line of a third of all rows costs a row per occurrence, and nothing is
+    gathered but a row's own places.  A passage is found if its whole chunks have ``least_run`` words or more: nearly always from 30 words on,
+    and from 50 words on in all but about one of 200."""
+    folder = shared_dir(docs.sparkSession)
+    rows = identified(docs)
+    u = stored(units(rows), f"{folder}/units")
+    me = F.struct(*ROW, "ord", "start", "end")
+    first = u.groupBy("kind", "d1", "d2").agg(F.min(me).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    own = F.lit(True)
+    for c in (*ROW, "ord"):
+        own = own & (F.col(c) == F.col(f"first.{c}"))
+    again = stored(u.join(first, ["kind", "d1", "d2"]).where(~own).select(*ROW, "kind", "ord", "start", "end", "word0", "n_words", "first"), f"{folder}/again")
+    lines = again.where(F.col("kind") == LINE).select(
+        *ROW, "kind", "start", "end", "n_words", F.col("first.nul").alias("keeper_nul"), F.col("first.did").alias("keeper")).distinct()
+    island = F.col("ord") - F.dense_rank().over(Window.partitionBy(*ROW).orderBy("ord"))
+    runs = again.where(F.col("kind") == CHUNK).withColumn("island", island).groupBy(*ROW, "island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("word0") + F.col("n_words")) - F.min("word0")).alias("n_words"),
+        F.min(F.struct("ord", "first"))["first"].alias("head"), F.max(F.struct("ord", "first"))["first"].alias("tail"))
+    runs = stored(runs.where(F.col("n_words") >= least_run), f"{folder}/runs")
+    places = [(ROW, "start", 0), ([f"head.{c}" for c in ROW], "head.start", 0), (ROW, "end", 1), ([f"tail.{c}" for c in ROW], "tail.end", 1)]
+    asked = None
+    for key, pos, side in places:
+        one = runs.select(*(F.col(k).alias(c) for k, c in zip(key, ROW)), F.lit(side).cast("long").alias("side"), F.col(pos).alias("pos"))
+        asked = one if asked is None else asked.unionByName(one)
+    around = stored(_around(rows, asked), f"{folder}/around")
+    j = runs
+    for k, (key, pos, side) in enumerate(places):
+        a = around.where(F.col("side") == side).select(*(F.col(c).alias(f"{c}{k}") for c in (*ROW, "pos")), F.col("words").alias(f"words{k}"), F.col("places").alias(f"places{k}"))
+        on = F.col(pos) == F.col(f"pos{k}")
+        for x, c in zip(key, ROW):
+            on = on & (F.col(x) == F.col(f"{c}{k}"))
+        j = j.join(a, on)
+    # words that agree, nearest first
+    same = lambda a, b: F.array_position(F.array_append(F.zip_with(F.slice(a, 1, F.least(F.size(a), F.size(b))), b, lambda x, y: x.eqNullSafe(y)), F.lit(False)), False) - 1
+    j = j.withColumn("left", same("words0", "words1")).withColumn("right", same("words2", "words3")).withColumn("n_words", F.col("n_words") + F.col("left") + F.col("right"))
+    passages = j.where(F.col("n_words") >= least_passage).select(
+        *ROW, F.lit(CHUNK).cast("long").alias("kind"), F.when(F.col("left") > 0, F.get("places0", (F.col("left") - 1).cast("int"))).otherwise(F.col("start")).alias("start"),
+        F.when(F.col("right") > 0, F.get("places2", (F.col("right") - 1).cast("int"))).otherwise(F.col("end")).alias("end"), "n_words",
+        F.col("head.nul").alias("keeper_nul"), F.col("head.did").alias("keeper"))
+    return lines.unionByName(passages)
+
+
+def merged(gone: DataFrame) -> DataFrame:
+    """nul, did, th, start, end of the union of overlapping spans, row by row."""
+    before = Window.partitionBy(*ROW).orderBy("start", "end")
+    reach = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
+    numbered = gone.select(*ROW, "start", "end").distinct().withColumn("new", new).withColumn("island", F.sum("new").over(before))
+    return numbered.groupBy(*ROW, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
+def report(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, n_lines, line_words, n_passages, longest_passage, n_removed, spans of every row: repeated lines and their
+    words, passages and the words of the longest, and the code points that go with their places (``start:end``, joined by commas)."""
+    gone = stored(repeated(docs, **how))
+    line = F.col("kind") == LINE
+    counts = gone.groupBy(*ROW).agg(
+        F.count(F.when(line, 1)).alias("n_lines"), F.sum(F.when(line, F.col("n_words"))).alias("line_words"),
+        F.count(F.when(~line, 1)).alias("n_passages"), F.max(F.when(~line, F.col("n_words"))).alias("longest_passage"))
+    spans = merged(gone).groupBy(*ROW).agg(F.sum(F.col("end") - F.col("start")).alias("n_removed"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"))
+    spans = spans.select(*ROW, "n_removed", F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("spans"))
+    j = identified(docs).select(*ROW).join(counts.join(spans, ROW), ROW, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return j.select(F.when(~F.col("nul"), F.col("did")).alias("doc_id"), *(zero(c) for c in ("n_lines", "line_words", "n_passages", "longest_passage", "n_removed")),
+                    F.coalesce("spans", F.lit("")).alias("spans"))
+
+
+def cleaned(docs: DataFrame, spans: str = "removed_spans", **how) -> DataFrame:
+    """``docs`` with all that goes cut out of text, and a column ``spans`` of the (start, end) cut out of the original, null where
+    nothing was; n_chars, if there is such a column, counts the new text.  Raises if there is a column of that name."""
+    if spans in docs.columns:
+        raise ValueError(f"there is a column {spans}")
+    gone = merged(repeated(docs, **how)).groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cut"))
+    sub = lambda a, n: F.substr("text", a.cast("int"), n.cast("int"))
+    # what stays lies between the spans
+    from_ = F.concat(F.array(F.lit(0).cast("long")), F.transform("__cut", lambda s: s["end"]))
+    to = F.array_append(F.transform("__cut", lambda s: s["start"]), F.length("text").cast("long"))
+    kept = F.array_join(F.transform(F.arrays_zip(from_.alias("a"), to.alias("b")), lambda x: sub(x["a"] + 1, x["b"] - x["a"])), "")
+    me = (docs["doc_id"].isNull(), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)), F.xxhash64(docs["text"], docs["doc_id"].isNull()))
+    keyed = docs.withColumns({f"__{c}": x for c, x in zip(ROW, me)})
+    j = keyed.join(gone.select(*(F.col(c).alias(f"__{c}") for c in ROW), "__cut"), [f"__{c}" for c in ROW], "left")
+    changed = F.col("__cut").isNotNull()
+    j = j.withColumn("text", F.when(changed, kept).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        n = F.when(changed, F.length("text")).otherwise(F.col("n_chars"))
+        j = j.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))
+    return j.select(*docs.columns, F.col("__cut").alias(spans))
