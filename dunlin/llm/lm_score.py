@@ -22,11 +22,14 @@ from pyspark.sql import functions as F
 from dunlin.llm.shared import column, shared_dir, slices, stored, text_buffer
 from dunlin.llm.words import Hasher, U, counts_of, mix, space_words
 
-STATES = 8
+STATES = 4
 CLASSES = 1 << 14  # at most 65,535, as they are stored in two bytes
 MOST_ROUNDS, LEAST_GAIN = 8, 1e-3  # Baum-Welch rounds, and the relative gain in log likelihood below which they end
 KNOWN_WORDS = 1 << 17  # counts sent to the tasks; all other words are joined
-LONG = 1024  # tokens beyond which a text is cut into blocks
+LONG = 1024  # tokens beyond which a text waits for others like it
+POOL = 1 << 19  # tokens of such texts that take their steps together
+LONGEST = 1 << 14  # tokens beyond which a text is cut into blocks
+LONGEST_SCORED = 1 << 12  # the same where texts are scored, slice by slice
 BLOCK = 64  # tokens of a block's transfer matrix
 SLICE, SLICE_ROWS = 2 << 20, 4096  # bytes and rows of texts that take their steps together
 END = -1  # the end token in the table of word counts
@@ -235,9 +238,9 @@ def _observed(h: np.ndarray, rows: np.ndarray, n: np.ndarray, classes: int) -> n
     return obs
 
 
-def _split(obs: np.ndarray, n_tok: np.ndarray):
-    """Tokens and sizes of the short texts, and of the long ones; and which texts are long."""
-    is_long = n_tok > LONG
+def _split(obs: np.ndarray, n_tok: np.ndarray, limit: int):
+    """Tokens and sizes of the texts of at most ``limit`` tokens, and of the longer ones; and which texts are longer."""
+    is_long = n_tok > limit
     if not is_long.any():
         return obs, n_tok, obs[:0], n_tok[:0], is_long
     of = np.repeat(is_long, n_tok)
@@ -245,18 +248,33 @@ def _split(obs: np.ndarray, n_tok: np.ndarray):
 
 
 def class_numbers(texts: DataFrame, classes: int) -> DataFrame:
-    """The classes of all tokens, a row for each slice of texts: short texts step by step (two bytes a token) with
-    the number of texts at each step, long texts one after another with their sizes."""
+    """The classes of all tokens: a row for each slice of texts and for each pool of long ones, step by step (two bytes
+    a token) with the number of texts at each step; the longest texts one after another with their sizes."""
+    def row(obs, n, long_obs=np.zeros(0, np.int64), long_n=np.zeros(0, np.int64)):
+        steps, active, _ = step_by_step(obs, n)
+        parts = [steps.astype("<u2"), active.astype("<i4"), long_obs.astype("<u2"), long_n.astype("<i4")]
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["obs", "active", "long_obs", "long_n"])
+
+    def pooled(waiting):
+        obs, n = (np.concatenate(x) for x in zip(*waiting))
+        return row(*_split(obs, n, LONGEST)[:4])
+
     def run(batches):
-        hasher = Hasher(space_words())
+        hasher, waiting, held = Hasher(space_words()), [], 0
         for batch in batches:
             data, offs = text_buffer(column(batch, "text"))
             for a, b in slices(offs, SLICE, SLICE_ROWS):
                 h, rows, n = _tokens(hasher, data, offs, a, b)
-                short, n_short, long_, n_long, _ = _split(_observed(h, rows, n, classes), n + 1)
-                short, active, _ = step_by_step(short, n_short)
-                parts = [short.astype("<u2"), active.astype("<i4"), long_.astype("<u2"), n_long.astype("<i4")]
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["obs", "active", "long_obs", "long_n"])
+                short, n_short, long_, n_long, _ = _split(_observed(h, rows, n, classes), n + 1, LONG)
+                yield row(short, n_short)
+                if len(n_long):
+                    waiting.append((long_, n_long))
+                    held += len(long_)
+                if held >= POOL:
+                    yield pooled(waiting)
+                    waiting, held = [], 0
+        if waiting:
+            yield pooled(waiting)
 
     return texts.select("text").mapInArrow(run, "obs binary, active binary, long_obs binary, long_n binary")
 
@@ -326,7 +344,7 @@ def train(slices_: DataFrame, class_counts: np.ndarray, states: int = STATES) ->
 
 def log_likelihood(model: Model, obs: np.ndarray, n_tok: np.ndarray) -> np.ndarray:
     """Natural log likelihood of each of the texts that lie one after another in ``obs``."""
-    short, n_short, long_, n_long, is_long = _split(obs, n_tok)
+    short, n_short, long_, n_long, is_long = _split(obs, n_tok, LONGEST_SCORED)
     out = np.empty(len(n_tok))
     if len(n_long):
         out[is_long] = Recursion(model, long_, n_long).forward()
