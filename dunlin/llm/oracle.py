@@ -91,11 +91,10 @@ w AS (
   SELECT r, line, a, a + len(s) AS e, w, row_number() OVER (PARTITION BY r ORDER BY o) - 1 AS i, strlen(w) AS size,
     CAST('0x' || hex(encode(w))[1:2] AS INTEGER) AS first, CAST('0x' || hex(encode(w))[-2:] AS INTEGER) AS last
   FROM (SELECT *, translate(s, '{UPPER}', '{LOWER}') AS w FROM piece WHERE regexp_matches(s, '^{SPACED}'))),
-c1 AS (SELECT *, (5 * size + last + 3 * first + 7 * coalesce(lag(last) OVER (PARTITION BY r ORDER BY i), 0)) % {S.CUT} = 0 AS ends FROM w),
-c2 AS (SELECT *, ends AND NOT coalesce(max(ends) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {S.APART - 1} PRECEDING AND 1 PRECEDING), FALSE) AS kept FROM c1),
-c3 AS (SELECT *, i = 0 OR lag(kept) OVER (PARTITION BY r ORDER BY i) AS opens FROM c2),
-c4 AS (SELECT *, max(CASE WHEN opens THEN i END) OVER (PARTITION BY r ORDER BY i) AS head FROM c3),
-c5 AS (SELECT *, sum(CASE WHEN opens OR (i - head) % {S.MOST} = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS chunk FROM c4),
+c1 AS (SELECT *, (131 * size + 31 * last + 17 * first + 7 * coalesce(lag(last) OVER v, 0) + 3 * coalesce(lag(first) OVER v, 0)) % 251 AS value FROM w WINDOW v AS (PARTITION BY r ORDER BY i)),
+c2 AS (SELECT r, i, min(value * 10000000 - i) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {S.WINDOW - 1} PRECEDING AND CURRENT ROW) AS least FROM c1),
+c3 AS (SELECT DISTINCT r, (10000000 - least % 10000000) % 10000000 AS i, TRUE AS opens FROM c2 WHERE i >= {S.WINDOW - 1}),
+c5 AS (SELECT w.*, sum(CASE WHEN opens OR i = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS chunk FROM w LEFT JOIN c3 USING (r, i)),
 u AS (
   SELECT r, 0 AS kind, line AS o, min(a) AS a, max(e) AS e, min(i) AS i, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS k FROM c5 GROUP BY r, line UNION ALL
   SELECT r, 1, chunk, min(a), max(e), min(i), count(*), string_agg(w, ' ' ORDER BY i) FROM c5 GROUP BY r, chunk),

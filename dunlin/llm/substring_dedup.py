@@ -1,7 +1,8 @@
 """Substring deduplication by hashing of text units.
 
-Units are the lines of a text and, beside them, chunks of a few words whose ends follow from
-the words around them alone, so a passage is cut alike wherever it stands.  Units
+Units are the lines of a text and, beside them, chunks of some words.  A chunk begins at a word
+that is the least of any WINDOW words in a row (by a sum over its bytes and those of the word before), so a passage is cut alike
+wherever it stands, and two windows' length of it holds a whole chunk.  Units
 are normalised (A-Z lower-cased, white space runs to one space, trimmed) and hashed to 128 bits; equal
 digests are grouped over all documents, and the occurrence with the smallest (rank, place) stays.
 
@@ -23,33 +24,34 @@ from pyspark.sql import functions as F
 from dunlin.llm.shared import column, shared_dir, slices, stored, text_buffer
 from dunlin.llm.words import Hasher, U, mix, space_words
 
-CUT = 4  # one word in about so many may end a chunk; about one in seven does
-APART, MOST = 3, 64  # distance of two such words at least, and words of a chunk at most
+WINDOW = 25  # words of which one begins a chunk; chunks have 13 words on average
+MOST = 2 * WINDOW  # words that a chunk can have
 LEAST_RUN = 8  # words of repeated chunks that are looked at as a passage
 LEAST_PASSAGE = 25  # words of a passage
 LINE, CHUNK = 0, 1
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-ROW = ["nul", "did", "th"]  # a row of documents: whether its doc_id is null, doc_id, hash of its text
+ROW = ["did", "th"]  # a row of documents: doc_id (LAST if null) and a hash of its text
+LAST = (1 << 63) - 1
 
 
 def cuts(size: np.ndarray, first: np.ndarray, last: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Whether a word is the first of a chunk; from the words' bytes: number, first, last.
 
-    A word ends a chunk if a sum over its bytes and the last byte of the word before is a multiple of CUT, unless
-    one of the APART - 1 words before does so; a chunk of MOST words ends too."""
+    Of each WINDOW words of a row the one with the least sum begins a chunk, of equal ones the last; so does a row's first word."""
     n = len(size)
     if not n:
         return np.zeros(0, bool)
-    new_row = np.concatenate([[True], row[1:] != row[:-1]])
-    before = np.where(new_row, 0, np.concatenate([[0], last[:-1]]))
-    ends = (5 * size + last + 3 * first + 7 * before) % CUT == 0
-    kept = ends.copy()
-    for k in range(1, APART):
-        kept[k:] &= ~(ends[:-k] & (row[k:] == row[:-k]))
-    starts = new_row | np.concatenate([[False], kept[:-1]])
-    head = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
-    return starts | ((np.arange(n) - head) % MOST == 0)
+    starts = np.concatenate([[True], row[1:] != row[:-1]])
+    if n >= WINDOW:
+        before = lambda x: np.where(starts, 0, np.concatenate([[0], x[:-1]]))
+        value = ((131 * size + 31 * last + 17 * first + 7 * before(last) + 3 * before(first)) % 251).astype(np.int32) * 64
+        near = np.lib.stride_tricks.sliding_window_view(value, WINDOW) + np.arange(WINDOW - 1, -1, -1, dtype=np.int32)
+        least = near.min(1) % 64  # distance from the window's end
+        inside = row[: n - WINDOW + 1] == row[WINDOW - 1:]
+        at = np.arange(WINDOW - 1, n) - least
+        starts[at[inside]] = True
+    return starts
 
 
 def _digests(hasher: Hasher, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,19 +64,23 @@ def _digests(hasher: Hasher, h: np.ndarray, start: np.ndarray, end: np.ndarray)
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """nul, did, th and text of every row; rows of one doc_id with different texts are different rows."""
-    nul = docs["doc_id"].isNull()
-    return docs.select(nul.alias("nul"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("did"), F.xxhash64(docs["text"], nul).alias("th"), docs["text"])
+    """did, th and text of every row; rows of one doc_id with different texts are different rows (a doc_id of 2^63 - 1 counts as null)."""
+    return docs.select(*_identity(docs), docs["text"])
 
 
-UNITS = ["kind", "ord", "start", "end", "word0", "n_words", "d1", "d2"]
+def _identity(docs: DataFrame) -> list:
+    did = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST))
+    return [did.alias("did"), F.hash(docs["text"], did == LAST).cast("long").alias("th")]
+
+
+UNITS = ["key", "span", "n_words", "d1", "d2"]
 
 
 def units(rows: DataFrame) -> DataFrame:
-    """nul, did, th, kind, ord, start, end, word0, n_words, d1, d2 of every line with words and every chunk.
+    """did, key, span, n_words, d1, d2 of every line with words and every chunk, packed as they are shuffled twice.
 
-    ord numbers a row's units of a kind; offsets are code points, end exclusive, without the white space around; word0
-    is the number of words before."""
+    key is the text's hash and the place (twice the number of words before, one more for a chunk), 32 bits each; span the
+    start and the end in code points, end exclusive, without the white space around."""
     def run(batches):
         hasher, low = Hasher(space_words()), np.arange(256)
         low[65:91] += 32
@@ -95,13 +101,21 @@ def units(rows: DataFrame) -> DataFrame:
                     s = np.flatnonzero(starts)
                     e = np.append(s[1:], len(h))
                     r = row[s]
-                    nth = np.arange(len(s)) - np.searchsorted(r, r)
-                    found.append((r, np.full(len(s), kind), nth, point[ws[s]] - base[r], point[we[e - 1]] - base[r], word_of_row[s], e - s, *_digests(hasher, h, s, e)))
-                r, *cols = (np.concatenate(c) for c in zip(*found))
+                    d1, d2 = _digests(hasher, h, s, e)
+                    found.append((r, 2 * word_of_row[s] + kind, (point[ws[s]] - base[r]) << 32 | point[we[e - 1]] - base[r], e - s, d1 ^ kind, d2))
+                r, place, *cols = (np.concatenate(c) for c in zip(*found))
                 own = pa.array(r + a)
-                yield pa.RecordBatch.from_arrays([column(batch, c).take(own) for c in ROW] + [pa.array(c.astype(np.int64)) for c in cols], ROW + UNITS)
+                key = column(batch, "th").take(own).to_numpy() << 32 | place
+                yield pa.RecordBatch.from_arrays([column(batch, "did").take(own), pa.array(key)] + [pa.array(c.astype(np.int64)) for c in cols], ["did"] + UNITS)
+
+    return rows.mapInArrow(run, "did long, " + ", ".join(f"`{c}` long" for c in UNITS))
+
 
-    return rows.mapInArrow(run, "nul boolean, did long, th long, " + ", ".join(f"`{c}` long" for c in UNITS))
+def _unpacked(u: DataFrame) -> DataFrame:
+    """th, kind, word0, start, end of a unit's key and span."""
+    place = F.col("key").bitwiseAND(0xFFFFFFFF)
+    return u.withColumns({"th": F.shiftright("key", 32), "kind": place.bitwiseAND(1), "word0": F.shiftright(place, 1),
+                          "start": F.shiftright("span", 32), "end": F.col("span").bitwiseAND(0xFFFFFFFF)}).drop("key", "span")
 
 
 def _around(rows: DataFrame, asked: DataFrame) -> DataFrame:
@@ -118,39 +132,40 @@ def _around(rows: DataFrame, asked: DataFrame) -> DataFrame:
                     k = int(np.searchsorted(begins, ask["pos"]))
                     near = found[max(k - MOST, 0): k][::-1] if ask["side"] == 0 else found[k: k + MOST]
                     out.append((*key, ask["side"], ask["pos"], [f[2].decode() for f in near], [f[ask["side"]] for f in near]))
-            cols = list(zip(*out)) or [[]] * 7
-            types = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+            cols = list(zip(*out)) or [[]] * 6
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [*ROW, "side", "pos", "words", "places"])
 
     asks = asked.distinct().groupBy(*ROW).agg(F.collect_list(F.struct("side", "pos")).alias("asks"))
-    answers = rows.join(asks, ROW).mapInArrow(run, "nul boolean, did long, th long, side long, pos long, words array<string>, places array<long>")
+    answers = rows.join(asks, ROW).mapInArrow(run, "did long, th long, side long, pos long, words array<string>, places array<long>")
     return answers.dropDuplicates([*ROW, "side", "pos"])  # repeated rows answer twice
 
 
 def repeated(docs: DataFrame, least_passage: int = LEAST_PASSAGE, least_run: int = LEAST_RUN) -> DataFrame:
-    """nul, did, th, kind, start, end, n_words, keeper_nul, keeper of all that goes: repeated lines (kind 0) and passages (kind 1).
+    """did, th, kind, start, end, n_words, keeper of all that goes: repeated lines (kind 0) and passages (kind 1).
 
     Rank is doc_id, null last, then a hash of the text: the row of smallest rank keeps a unit, and of one row the first place.  keeper
-    is the doc_id of the row that keeps the line, or a passage's first chunk.  Rows that repeat a doc_id and its text are one row; null and empty
+    is the doc_id (LAST: null) of the row that keeps the line, or a passage's first chunk.  Rows that repeat a doc_id and its text are one row; null and empty
     texts have no units, an empty table has nothing to remove.  First occurrences are minima that combine before the shuffle; only digests that
     occur twice or more are joined back, so a line of a third of all rows costs a row per occurrence, and nothing is
-    gathered but a row's own places.  A passage is found if its whole chunks have ``least_run`` words or more: nearly always from 30 words on,
-    and from 50 words on in all but about one of 200."""
+    gathered but a row's own places.  A passage is found if its whole chunks have ``least_run`` words or more: nearly always from
+    two windows (50 words) on, mostly from 30 words on."""
     folder = shared_dir(docs.sparkSession)
     rows = identified(docs)
     u = stored(units(rows), f"{folder}/units")
-    me = F.struct(*ROW, "ord", "start", "end")
-    first = u.groupBy("kind", "d1", "d2").agg(F.min(me).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    own = F.lit(True)
-    for c in (*ROW, "ord"):
-        own = own & (F.col(c) == F.col(f"first.{c}"))
-    again = stored(u.join(first, ["kind", "d1", "d2"]).where(~own).select(*ROW, "kind", "ord", "start", "end", "word0", "n_words", "first"), f"{folder}/again")
-    lines = again.where(F.col("kind") == LINE).select(
-        *ROW, "kind", "start", "end", "n_words", F.col("first.nul").alias("keeper_nul"), F.col("first.did").alias("keeper")).distinct()
-    island = F.col("ord") - F.dense_rank().over(Window.partitionBy(*ROW).orderBy("ord"))
-    runs = again.where(F.col("kind") == CHUNK).withColumn("island", island).groupBy(*ROW, "island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("word0") + F.col("n_words")) - F.min("word0")).alias("n_words"),
-        F.min(F.struct("ord", "first"))["first"].alias("head"), F.max(F.struct("ord", "first"))["first"].alias("tail"))
+    me = F.struct("did", "key", "span")
+    first = u.groupBy("d1", "d2").agg(F.min(me).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = u.join(first, ["d1", "d2"]).where((F.col("did") != F.col("first.did")) | (F.col("key") != F.col("first.key"))).drop("d1", "d2")
+    again = stored(again, f"{folder}/again")
+    again = _unpacked(again).withColumn("first", F.struct(F.col("first.did").alias("did"), F.shiftright("first.key", 32).alias("th"),
+                                                          F.shiftright("first.span", 32).alias("start"), F.col("first.span").bitwiseAND(0xFFFFFFFF).alias("end")))
+    lines = again.where(F.col("kind") == LINE).select(*ROW, "kind", "start", "end", "n_words", F.col("first.did").alias("keeper")).distinct()
+    chunks = again.where(F.col("kind") == CHUNK).select(*ROW, "word0", "start", "end", "n_words", "first").distinct()  # repeated rows are one
+    of_row = Window.partitionBy(*ROW).orderBy("word0")
+    new = F.when(F.lag(F.col("word0") + F.col("n_words")).over(of_row) == F.col("word0"), 0).otherwise(1)
+    runs = chunks.withColumn("new", new).withColumn("island", F.sum("new").over(of_row)).groupBy(*ROW, "island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"),
+        F.min(F.struct("word0", "first"))["first"].alias("head"), F.max(F.struct("word0", "first"))["first"].alias("tail"))
     runs = stored(runs.where(F.col("n_words") >= least_run), f"{folder}/runs")
     places = [(ROW, "start", 0), ([f"head.{c}" for c in ROW], "head.start", 0), (ROW, "end", 1), ([f"tail.{c}" for c in ROW], "tail.end", 1)]
     asked = None
@@ -171,12 +186,12 @@ def repeated(docs: DataFrame, least_passage: int = LEAST_PASSAGE, least_run: int
     passages = j.where(F.col("n_words") >= least_passage).select(
         *ROW, F.lit(CHUNK).cast("long").alias("kind"), F.when(F.col("left") > 0, F.get("places0", (F.col("left") - 1).cast("int"))).otherwise(F.col("start")).alias("start"),
         F.when(F.col("right") > 0, F.get("places2", (F.col("right") - 1).cast("int"))).otherwise(F.col("end")).alias("end"), "n_words",
-        F.col("head.nul").alias("keeper_nul"), F.col("head.did").alias("keeper"))
+        F.col("head.did").alias("keeper"))
     return lines.unionByName(passages)
 
 
 def merged(gone: DataFrame) -> DataFrame:
-    """nul, did, th, start, end of the union of overlapping spans, row by row."""
+    """did, th, start, end of the union of overlapping spans, row by row."""
     before = Window.partitionBy(*ROW).orderBy("start", "end")
     reach = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
@@ -196,7 +211,7 @@ def report(docs: DataFrame, **how) -> DataFrame:
     spans = spans.select(*ROW, "n_removed", F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("spans"))
     j = identified(docs).select(*ROW).join(counts.join(spans, ROW), ROW, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return j.select(F.when(~F.col("nul"), F.col("did")).alias("doc_id"), *(zero(c) for c in ("n_lines", "line_words", "n_passages", "longest_passage", "n_removed")),
+    return j.select(F.when(F.col("did") != LAST, F.col("did")).alias("doc_id"), *(zero(c) for c in ("n_lines", "line_words", "n_passages", "longest_passage", "n_removed")),
                     F.coalesce("spans", F.lit("")).alias("spans"))
 
 
@@ -211,8 +226,7 @@ def cleaned(docs: DataFrame, spans: str = "removed_spans", **how) -> DataFrame:
     from_ = F.concat(F.array(F.lit(0).cast("long")), F.transform("__cut", lambda s: s["end"]))
     to = F.array_append(F.transform("__cut", lambda s: s["start"]), F.length("text").cast("long"))
     kept = F.array_join(F.transform(F.arrays_zip(from_.alias("a"), to.alias("b")), lambda x: sub(x["a"] + 1, x["b"] - x["a"])), "")
-    me = (docs["doc_id"].isNull(), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)), F.xxhash64(docs["text"], docs["doc_id"].isNull()))
-    keyed = docs.withColumns({f"__{c}": x for c, x in zip(ROW, me)})
+    keyed = docs.withColumns({f"__{c}": x for c, x in zip(ROW, _identity(docs))})
     j = keyed.join(gone.select(*(F.col(c).alias(f"__{c}") for c in ROW), "__cut"), [f"__{c}" for c in ROW], "left")
     changed = F.col("__cut").isNotNull()
     j = j.withColumn("text", F.when(changed, kept).otherwise(F.col("text")))

@@ -21,12 +21,9 @@ def pieces(text):
 
 
 def chunk_starts(ws):
-    ends, out = [], []
-    for i, (_, _, w) in enumerate(ws):
-        ends.append((5 * len(w) + w[-1] + 3 * w[0] + 7 * (ws[i - 1][2][-1] if i else 0)) % S.CUT == 0)
-        opens = i == 0 or (ends[i - 1] and not any(ends[max(i - S.APART, 0): i - 1]))
-        out.append(i if opens or i - out[-1] == S.MOST else out[-1])
-    return sorted(set(out))
+    value = [(131 * len(w) + 31 * w[-1] + 17 * w[0] + (7 * ws[i - 1][2][-1] + 3 * ws[i - 1][2][0] if i else 0)) % 251 for i, (_, _, w) in enumerate(ws)]
+    least = {min(range(i, i + S.WINDOW), key=lambda k: (value[k], -k)) for i in range(len(ws) - S.WINDOW + 1)}
+    return sorted(least | {0}) if ws else []
 
 
 def brute(rows):
@@ -146,4 +143,9 @@ def test_empty(spark):
 
 def test_cuts_follow_from_the_words_around():
     ws = pieces(words(3, 400, 50))
-    assert all(b - a <= S.MOST for a, b in zip(chunk_starts(ws), chunk_starts(ws)[1:]))
+    starts = chunk_starts(ws)
+    assert all(b - a <= S.MOST for a, b in zip(starts, [*starts[1:], len(ws)]))
+    for at in range(0, 300, 7):  # a passage of two windows holds a whole chunk, wherever it stands
+        own = chunk_starts(pieces(words(at, 11, 50) + " ") + ws[at: at + 2 * S.WINDOW])
+        there = {at + k - 11 for k in own if 11 < k}
+        assert len(there & set(starts)) >= 2
