@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 
 from dunlin.llm.shared import column
 
+# a quote opens an attribute's value behind "=" only; elsewhere, as in data-x=don't, it is part of it
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|noscript|textarea|iframe)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<![^>]*>|<\?[^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
+    r"|<![^>]*>|<\?[^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|[^<]+|<", re.S | re.I)
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -37,10 +38,15 @@ ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*("[
 # log odds that a container lends to what it holds
 TAG_WEIGHT = {"nav": -8.0, "footer": -8.0, "aside": -8.0, "header": -8.0, "form": -8.0, "menu": -8.0, "dialog": -8.0, "fieldset": -6.0,
               "article": 5.0, "main": 3.0}
-BAD_WORD = re.compile(
-    r"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?<!without[_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|cookies?|consent|notices?|alert|popup|modal|"
-    r"newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|comments?|replies|reply|disqus|respond|discussion|widget|toolbar|pagination|pager|"
-    r"search|tags|legal|copyright|complementary|contentinfo|navigation|dialog)(?=$|[\s_-])", re.I)
+BAD_PART = re.compile(
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|menu|nav\w*|breadcrumbs?|footer|header|masthead|cookies?|consent|notices?|alert|popup|modal|newsletter|"
+    r"subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|comments?|replies|reply|disqus|respond|discussion|widget|toolbar|pagination|pager|"
+    r"search|tags|legal|copyright|complementary|contentinfo|navigation|dialog)", re.I)
+# what may stand beside such a word in one class: category-legal, social-history or has-sidebar say something else
+PLAIN_PART = re.compile(
+    r"(?:\d+|box|bar|block|body|bottom|buttons?|col|column|container|content|count|fixed|form|group|head|heading|holder|icons?|inner|inline|item|items|js|label|"
+    r"left|right|top|main|site|page|links?|list|message|meta|mobile|module|outer|overlay|panel|policy|posts?|primary|secondary|row|section|area|small|sticky|text|thread|title|"
+    r"unit|widgets?|wrap|wrapper|zone|global|local|user|reader|slot|gdpr|strip|center|centre|desktop|sub|e)", re.I)
 BAD_CLASS, HIDDEN = -9.0, -9.0
 BAD_OUTSIDE = -3.0  # what class words of the containers around an article or main lend to what is in it, at worst
 # learned: words in a block, share of them inside links, sentence ends
@@ -59,13 +65,23 @@ class Block:
         self.held: list[tuple[int, bool, tuple]] = []  # parts that go if a DROPPED element around them has its end tag
 
 
+def says_boilerplate(value: str) -> bool:
+    """Whether one of the names in a class, id or role is made of words for boilerplate, at least one, and words for any container."""
+    for name in value.split():
+        parts = [p for p in re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])", name) if p]
+        bad = [bool(BAD_PART.fullmatch(p)) for p in parts]
+        if any(bad) and all(b or PLAIN_PART.fullmatch(p) for b, p in zip(bad, parts)):
+            return True
+    return False
+
+
 def _weight(tag: str, attrs: str) -> tuple[float, float]:
     """Weight of a container, and the part of it that comes from class words."""
     w, words = TAG_WEIGHT.get(tag, 0.0), 0.0
     if attrs and tag not in ("html", "body"):
         for name, value in ATTRIBUTE.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
-            if name in ("class", "id", "role") and BAD_WORD.search(value):
+            if name in ("class", "id", "role") and says_boilerplate(value):
                 w, words = min(w, 0.0) + BAD_CLASS, words + BAD_CLASS
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 w = min(w, 0.0) + HIDDEN

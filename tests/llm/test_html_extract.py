@@ -89,3 +89,39 @@ def test_prior_odds_without_examples(spark):
     rows = [(1, "u", f"<div><a href=/>Home</a></div><p>{SENTENCES[0]} {SENTENCES[1]}</p><div><a href=/y>About us</a></div>")]
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
     assert got.text == f"{SENTENCES[0]} {SENTENCES[1]}"
+
+
+@pytest.mark.parametrize("opening", [
+    "<article class='post type-post category-legal tag-search status-publish'>", "<article><div class='post social-history'>", "<article><div class='left side'>",
+    "<article><p data-x=don't>First line of it.</p><div class=entry>", "<article class='has-sidebar no-comments with-banner'>", "<article id='search-for-a-cure'>",
+    "<article title='a > b' data-y=\"it's > that\">", "<main class=search-results-of-a-study><div class='share-price'>", "<article><a href=x?a='1>Link</a><div>"])
+def test_articles_behind_ordinary_names_and_values_stay(opening):
+    html, text = page(9)
+    got = H.text_of(html.replace("<article>", opening), LEARNED)
+    assert got.endswith(text % "")
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "commentsArea", "cookie-notice", "share-box", "left sidebar", "nav-links", "site-footer", "related-posts", "social_icons", "ads", "ad-slot-3"])
+def test_names_of_boilerplate(name):
+    assert H.says_boilerplate(name)
+
+
+def test_tags_without_an_end_are_given_up_at_once():
+    import time
+    begun = time.time()
+    H.blocks("<a " + "b=\"1\" c='2' " * 20_000)
+    assert time.time() - begun < 5
+
+
+def test_generated_pages_against_their_article():
+    rnd = random.Random(12)
+    names = ["post", "entry category-legal", "tag-search", "social-history", "left side", "type-post", "story share-price", "notice-of-a-meeting"]
+    boiler = ["<nav><a href=/>Home</a> <a href=/b>More of it</a></nav>", "<div class='ad'>Buy it now. Cheap.</div>", "<aside>Also this. Or that.</aside>",
+              "<form><label>Mail</label> Subscribe. Now.</form>", "<footer>All rights. Reserved.</footer>", "<section class=comments><p>I like it. Very much so, as a reader.</p></section>"]
+    for _ in range(60):
+        paragraphs = [rnd.choice(SENTENCES) for _ in range(rnd.randrange(1, 9))]
+        inside = [f"<div class='{rnd.choice(names)}'><p{rnd.choice(['', " data-x=don't", ' id=p1'])}>{p}</p></div>" for p in paragraphs]
+        for b in rnd.sample(boiler[1:4] + boiler[5:], 2):
+            inside.insert(rnd.randrange(len(inside) + 1), b)
+        html = f"<body>{rnd.choice(boiler)}<article class='{rnd.choice(names)}'>{''.join(inside)}</article>{''.join(rnd.sample(boiler, 3))}</body>"
+        assert H.text_of(html, LEARNED) == "\n".join(paragraphs)
