@@ -11,6 +11,7 @@ are never shuffled.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from itertools import chain
@@ -103,7 +104,8 @@ class Encoder:
     """Ids of many texts, as the tokenizer file gives them.
 
     Texts split into pre-tokens over whole batches; each distinct one (by a 64-bit
-    hash and its length) is merged once.  Texts with rare characters go to the
+    hash and its length) is merged once.  Texts with rare characters, or with the name of a token that was added to
+    the vocabulary (an end mark written out is that token, as the tokenizer has it), go to the
     tokenizer as they are.  Tests hold both ways against the tokenizer.
     """
 
@@ -113,13 +115,13 @@ class Encoder:
         import tiktoken
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [c for c in range(256) if c not in printable]
         byte_of = {chr(c): c for c in printable} | {chr(256 + k): c for k, c in enumerate(rest)}
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         special = {x["content"] for x in model.get("added_tokens", [])}
+        self.added = re.compile(b"|".join(re.escape(x.encode()) for x in sorted(special))) if special else None
         ranks = {bytes(byte_of[ch] for ch in t): i for t, i in model["model"]["vocab"].items() if t not in special}
         self.merge = tiktoken.Encoding("file", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.of_byte = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
@@ -166,7 +168,9 @@ class Encoder:
         of_text = begin[np.searchsorted(at, offs)].tolist()
         for k in range(n_texts):
             out[k] = every[of_text[k]: of_text[k + 1]]
-        odd = np.concatenate(odd).tolist()
+        if self.added:
+            odd.append(np.searchsorted(offs, [m.start() for m in self.added.finditer(raw)], "right") - 1)
+        odd = np.unique(np.concatenate(odd)).astype(np.int64).tolist()
         for k, x in zip(odd, self.whole([raw[offs[k]: offs[k + 1]].decode() for k in odd])):
             out[k] = np.array(x, np.uint32)
         return out
