@@ -24,11 +24,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dunlin.llm.components import components
-from dunlin.llm.shared import column, row_key, shared_dir, slices, stored, text_buffer, without
+from dunlin.llm.shared import column, row_key, shared_dir, slices, stored, text_buffer
 from dunlin.llm.words import Hasher, U, mix, shingles, space_words
 
 GROUP_BYTES = 1 << 23  # text whose tokens a task holds at once
@@ -317,12 +317,17 @@ def _labelled(docs: DataFrame, percent: int, k: int, carry: tuple[str, ...] = ()
 def deduplicated(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest doc_id.
 
-    Rows without words are in no group and stay.  A row without a doc_id goes if its group has
-    one with a doc_id; of a group without any doc_id the text with the least hash stays.  Of
-    rows that repeat a doc_id (or have none) and their text, all stay or none.
+    Rows without words are in no group and stay.  Exactly one row of a group stays: the one with the smallest doc_id,
+    a null one last; of several texts with that doc_id the one with the least hash, and of equal rows any one.
     """
-    found = _labelled(docs.withColumn("__row", row_key()), percent, k, ("__row",))
-    nameless = found.where("component_id is null and label is not null").select("label", "__row").distinct()
-    least = nameless.groupBy("label").agg(F.min("__row").alias("__least"))
-    gone = found.where("component_id < doc_id or doc_id is null and component_id is not null").select("__row")
-    return without(docs, gone.unionByName(nameless.join(least, "label").where("__row <> __least").select("__row")))
+    me = docs.withColumn("__row", row_key())
+    found = _labelled(me, percent, k, ("__row",)).where("label is not null")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    texts = found.where(first).select("label", "__row").distinct()  # of the smallest doc_id: one, unless texts share it
+    least = texts.groupBy("label").agg(F.min("__row").alias("__least"))
+    gone = found.where(~first).select("__row").unionByName(texts.join(least, "label").where("__row <> __least").select("__row"))
+    # one of equal rows; a row without words is like no other
+    alone = F.when(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)), F.monotonically_increasing_id())
+    me = me.withColumn("__row", F.concat_ws(":", "__row", alone))
+    me = me.withColumn("__nth", F.row_number().over(Window.partitionBy("__row").orderBy("__row"))).where("__nth = 1")
+    return me.join(gone.distinct(), "__row", "left_anti").select(*docs.columns)

@@ -34,7 +34,6 @@ def test_stages_against_brute_force(spark):
             at = max(at, b)
         left[i] = out + t[at:] if spans else t
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = {i: len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in left.items()}
     out = corpus_pipeline.run(spark, SF).collect()
     got = {}
@@ -70,3 +69,17 @@ def test_decisions_hold_for_their_row(spark):
     both = docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
     left = quality.kept(both, labels).select("doc_id", "text").collect()
     assert rejected and not rejected & {r.text for r in left} and {r.doc_id for r in left} == good | {None}
+
+
+def test_one_row_of_a_group_stays(spark):
+    a, b = words(1, 60), words(2, 60)
+    df = spark.createDataFrame([(1, a, "p"), (1, a, "q"), (1, a, "p"), (2, b, "p"), (3, a + " x", "p"), (4, a + " y", "p"), (4, a + " z", "p"),
+                                (5, "", "p"), (5, "", "p"), (6, None, "p"), (None, b, "p"), (7, words(3, 60), "p"), (7, words(3, 60) + " more", "p")],
+                               "doc_id long, text string, x string").repartition(4)
+    left = [(r.doc_id, r.text) for r in ngram_join.deduplicated(df).collect()]
+    assert sorted(i for i, _ in left) == [1, 2, 5, 5, 6, 7] and (1, a) in left and (2, b) in left
+
+
+def test_rows_that_only_share_a_doc_id_all_stay(spark):
+    df = spark.createDataFrame([(9, words(k, 50)) for k in range(5)], "doc_id long, text string")
+    assert ngram_join.deduplicated(df).count() == 5
