@@ -63,27 +63,45 @@ def templates(shapes: DataFrame, bad_share: float) -> DataFrame:
 
     Level by level: a branch keeps its segment only if it holds LEAST_LABELLED labelled
     pages and its bad share differs from its siblings' by Z standard errors; all others become ``*``.
+
+    A branch can split only while it has more labelled pages than that, good and bad ones.  One that cannot
+    is finished at once, as all its paths go on together: a segment stays where all of them have the same.  So
+    there are as many rounds as levels with enough labels, however long a single path is.
     """
     folder = shared_dir(shapes.sparkSession)
-    t = stored(shapes.withColumn("template", F.lit("")), f"{folder}/shapes")
-    levels = t.agg(F.max(F.size("shape"))).first()[0] or 0
-    for level in range(levels):
+    # at: the level from which the rest of the template follows at once; null while the branch may split
+    t = shapes.withColumn("template", F.lit("")).withColumn("at", F.lit(None).cast("int"))
+    group = ["host", "template"]
+    level = 0
+    while True:
         # a level reads the last one several times: written, so plans do not multiply
-        t = stored(t, f"{folder}/{level}").withColumn("seg", F.get("shape", F.lit(level)))
-        own = t.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("m").alias("m"), F.sum("b").alias("b"))
-        every = own.groupBy("host", "template").agg(F.sum("m").alias("all_m"), F.sum("b").alias("all_b"), F.count("*").alias("kinds"))
-        j = own.join(every, ["host", "template"])
+        t = stored(t, f"{folder}/{level}").withColumn("seg", F.when(F.col("at").isNull(), F.get("shape", F.lit(level))))
+        own = t.where("seg is not null").groupBy(*group, "seg").agg(F.sum("m").alias("m"), F.sum("b").alias("b"))
+        every = own.groupBy(*group).agg(F.sum("m").alias("all_m"), F.sum("b").alias("all_b"), F.count("*").alias("kinds"))
+        every = stored(every.where((F.col("all_m") > LEAST_LABELLED) & (F.col("all_b") > 0) & (F.col("all_b") < F.col("all_m"))), f"{folder}/{level}-open")
+        if not every.limit(1).count():
+            break
+        j = own.join(every, group)
         rest_m, rest_b = F.col("all_m") - F.col("m"), F.col("all_b") - F.col("b")
         p = (F.col("all_b") + 0.5) / (F.col("all_m") + 1.0)
         gap = F.abs(F.try_divide("b", "m") - F.try_divide(rest_b, rest_m))
         error = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1.0), "m") + F.try_divide(F.lit(1.0), rest_m)))
         apart = (F.col("m") >= LEAST_LABELLED) & F.coalesce(gap >= Z * error, F.lit(False))
-        kept = j.select("host", "template", "seg", F.when((F.col("kinds") == 1) | apart, F.col("seg")).otherwise(F.lit("*")).alias("to"))
-        t = t.join(kept, ["host", "template", "seg"], "left").withColumn(
+        kept = j.select(*group, "seg", F.when((F.col("kinds") == 1) | apart, F.col("seg")).otherwise(F.lit("*")).alias("to"))
+        t = t.join(kept, [*group, "seg"], "left")
+        # a row that does not go on, or whose branch is closed, is finished from here
+        t = t.withColumn("at", F.when(F.col("at").isNull() & F.col("to").isNull(), level).otherwise(F.col("at"))).withColumn(
             "template", F.when(F.col("to").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "to"))).drop("seg", "to")
-    t = stored(t, f"{folder}/{levels}")
-    total = t.groupBy("host", "template").agg(F.sum("m").alias("tm"), F.sum("b").alias("tb"))
-    return t.join(total, ["host", "template"]).withColumn(
+        level += 1
+    t = t.drop("seg").withColumn("at", F.coalesce("at", F.lit(level)))
+    ahead = t.where(F.size("shape") > F.col("at")).select(*group, "at", F.posexplode(F.slice("shape", F.col("at") + 1, F.size("shape"))).alias("pos", "seg"))
+    ahead = ahead.groupBy(*group, "at", "pos").agg(F.when(F.min("seg") == F.max("seg"), F.min("seg")).otherwise("*").alias("to"))
+    ahead = ahead.groupBy(*group, "at").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "to"))), lambda x: F.concat(F.lit("/"), x["to"])).alias("tail"))
+    t = t.join(ahead, [*group, "at"], "left")
+    tail = F.array_join(F.slice("tail", 1, F.greatest(F.size("shape") - F.col("at"), F.lit(0))), "")
+    t = stored(t.withColumn("template", F.concat("template", F.coalesce(tail, F.lit("")))).drop("at", "tail"), f"{folder}/all")
+    total = t.groupBy(*group).agg(F.sum("m").alias("tm"), F.sum("b").alias("tb"))
+    return t.join(total, group).withColumn(
         "purity", (F.col("tb") + F.lit(WEIGHT * bad_share)) / (F.col("tm") + F.lit(WEIGHT))).drop("tm", "tb")
 
 

@@ -1,3 +1,4 @@
+import random
 from urllib.parse import urlsplit
 
 from dunlin.llm import url_filter as U
@@ -75,3 +76,53 @@ def test_sections_below_the_fourth_segment_stay_apart(spark):
     labels = spark.createDataFrame([(k, k % 2 == 0) for k in range(0, 60)], "page_id long, bad boolean")
     got = {r.page_id: (r.verdict, r.template) for r in U.judge(pages(spark, urls), labels).collect()}
     assert got == {k: (("block", "allow")[k % 2], f"/en/site/blog/posts/all/{('casino', 'news')[k % 2]}/{{n}}") for k in urls}
+
+
+def tree(rows):
+    """(host, shape) -> template, level by level as far as any path goes; rows are (host, shape, labelled, bad)."""
+    at = {(h, s): "" for h, s, _, _ in rows}
+    for level in range(max(len(s) for _, s, _, _ in rows)):
+        groups = {}
+        for h, s, m, b in rows:
+            if len(s) > level:
+                groups.setdefault((h, at[h, s]), []).append((s, m, b))
+        step = {}
+        for (h, _), own in groups.items():
+            every_m, every_b, kinds = sum(m for _, m, _ in own), sum(b for _, _, b in own), {s[level] for s, _, _ in own}
+            for kind in kinds:
+                m, b = (sum(x[k] for x in own if x[0][level] == kind) for k in (1, 2))
+                rm, rb, p = every_m - m, every_b - b, (every_b + 0.5) / (every_m + 1)
+                apart = m >= U.LEAST_LABELLED and rm > 0 and abs(b / m - rb / rm) >= U.Z * (p * (1 - p) * (1 / m + 1 / rm)) ** 0.5
+                for s, _, _ in own:
+                    if s[level] == kind:
+                        step[h, s] = "/" + (kind if apart or len(kinds) == 1 else "*")
+        for k, v in step.items():
+            at[k] += v
+    return at
+
+
+def test_template_tree_against_every_level(spark):
+    rnd = random.Random(6)
+    rows, seen = [], set()
+    for _ in range(500):
+        h = rnd.choice("hhhg") + ".net"
+        s = tuple(rnd.choice(("a", "b", "c", "x{n}")[: rnd.randrange(1, 5)]) for _ in range(rnd.randrange(0, 7)))
+        if (h, s) not in seen:
+            seen.add((h, s))
+            m = rnd.randrange(0, 14)
+            rows.append((h, s, m, min(m, rnd.randrange(0, m + 1) if len(s) % 2 else (m if "b" in s else 0))))
+    df = spark.createDataFrame([(h, list(s), 1, m, b) for h, s, m, b in rows], "host string, shape array<string>, n long, m long, b long").repartition(3)
+    got = {(r.host, tuple(r["shape"])): r.template for r in U.templates(df, 0.3).collect()}
+    assert got == tree(rows)
+    assert len(set(got.values())) > 8
+
+
+def test_a_very_long_path_adds_no_rounds(spark, monkeypatch):
+    urls = {k: f"http://deep.net/{('casino', 'news')[k % 2]}/{k}" for k in range(60)} | {1000: "http://deep.net/casino/" + "/".join("ab" for _ in range(1000)),
+                                                                                  1001: "http://trap.net/" + "/".join(f"x{k}" for k in range(1500))}
+    labels = spark.createDataFrame([(k, k % 2 == 0) for k in urls], "page_id long, bad boolean")
+    written, of = [], U.stored
+    monkeypatch.setattr(U, "stored", lambda df, folder=None: written.append(folder) or of(df, folder))
+    got = {r.page_id: r for r in U.judge(pages(spark, urls), labels).collect()}
+    assert len(written) < 10
+    assert got[0].verdict == "block" and got[1].verdict == "allow" and got[1001].template.count("/") == 1500
