@@ -10,14 +10,12 @@ the stated query set and goes to the tasks in blocks of bounded size.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunlin.llm.shared import column, row_key, slices, stored, text_buffer, without
+from dunlin.llm.shared import column, row_key, slices, text_buffer, without
 from dunlin.llm.words import Hasher, U, alnum_words, counts_of
 
 WINDOW = 10
@@ -115,72 +113,70 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, by: str =
     word inside any occurrence is hit.  spans are the longest verbatim matches:
     item_id, item_word, word, n_words.  Null or wordless texts have no words and no
     matches; repeated rows come out as often as they came in; an empty benchmark hits
-    nothing.  What several blocks find is merged by a hash of (``by``, text), in one shuffle.
+    nothing.
+
+    The benchmark goes to the tasks in blocks of about BLOCK_BYTES; documents are read and their words hashed
+    once, whatever the number of blocks, and a shard is searched for one block after another.
     """
-    out = []
-    for k, items in _blocks(benchmark):
-        out.append(_scan_block(docs, items, window, by))
-    if len(out) == 1:
-        return out[0].drop("row_key", "hits")
-    both = out[0]
-    for x in out[1:]:
-        both = both.unionByName(x)
-    g = stored(both).groupBy("row_key").agg(
-        F.first(by).alias(by), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("h"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"),
-        (F.count("*") / len(out)).cast("int").alias("times"))
-    return g.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).select(by, "n_words", F.size("h").cast("long").alias("n_hit"), "items", "spans")
-
-
-def _scan_block(docs: DataFrame, items: list, window: int, by: str) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(items)  # at most about BLOCK_BYTES
+    return _scan(docs, benchmark, window, by).drop("row_key")
+
+
+def _scan(docs: DataFrame, benchmark: DataFrame, window: int, by: str) -> DataFrame:
+    """:func:`scan` with the row's key."""
+    context = docs.sparkSession.sparkContext
+    sent = [context.broadcast(items) for _, items in _blocks(benchmark)]  # at most about BLOCK_BYTES each
 
     def run(batches):
-        tests, hasher = Tests(sent.value, window), Hasher(alnum_words())
+        every, hasher = [Tests(x.value, window) for x in sent], Hasher(alnum_words())
         for batch in batches:
             data, offs = text_buffer(column(batch, "text"))
             ids = column(batch, by)
             for a, b in slices(offs):
                 h, rows, _, _ = hasher.words(data[offs[a]: offs[b]], offs[a: b + 1] - offs[a])
                 n = counts_of(rows, b - a)
-                pos, which = _matches(tests, h, rows)
-                size = tests.size[which]
-                mark = np.zeros(len(h) + 1, np.int64)
-                np.add.at(mark, pos, 1)
-                np.add.at(mark, pos + size, -1)
-                hit = np.cumsum(mark[:-1]) > 0
-                n_hit = np.bincount(rows[hit], minlength=b - a)
                 first = np.concatenate([[0], np.cumsum(n)])
-                found: list[list[str]] = [[] for _ in range(b - a)]
+                hit = np.zeros(len(h), bool)
+                found: list[set[str]] = [set() for _ in range(b - a)]
                 spans: list[list[dict]] = [[] for _ in range(b - a)]
-                hits: list[list[int]] = [[] for _ in range(b - a)]
-                if len(pos):
-                    many = (tests.cut[1:] - tests.cut[:-1])[which]
-                    flat = np.repeat(tests.cut[which], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    p, item, off, size = np.repeat(pos, many), tests.owner[flat], tests.at[flat], np.repeat(size, many)
-                    row = rows[p]
-                    order = np.lexsort((p, p - off, item, row))
-                    p, item, off, size, row = p[order], item[order], off[order], size[order], row[order]
-                    new = np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | ((p - off)[1:] != (p - off)[:-1]) | (p[1:] != p[:-1] + 1)])
-                    at = np.flatnonzero(new)
-                    end = np.append(at[1:], len(p)) - 1
-                    for s, e in zip(at, end):
-                        r = int(row[s])
-                        spans[r].append({"item_id": tests.ids[item[s]], "item_word": int(off[s]), "word": int(p[s] - first[r]),
-                                         "n_words": int(p[e] - p[s] + size[e])})
-                    for r, i in set(zip(row.tolist(), item.tolist())):
-                        found[r].append(tests.ids[i])
-                    for w in np.flatnonzero(hit).tolist():
-                        hits[int(rows[w])].append(w - int(first[int(rows[w])]))
+                for tests in every:
+                    pos, which = _matches(tests, h, rows)
+                    if len(pos):
+                        hit |= _covered(len(h), pos, tests.size[which])
+                        for r, span in _spans(tests, pos, which, rows, first):
+                            found[r].add(span["item_id"])
+                            spans[r].append(span)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(set(x)) for x in found], pa.list_(pa.string())),
+                    [ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(np.bincount(rows[hit], minlength=b - a), pa.int64()),
+                     pa.array([sorted(x) for x in found], pa.list_(pa.string())),
                      pa.array(spans, pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("word", pa.int64()), ("n_words", pa.int64())]))),
-                     column(batch, "row_key").slice(a, b - a), pa.array(hits, pa.list_(pa.int64()))],
-                    [by, "n_words", "n_hit", "items", "spans", "row_key", "hits"])
+                     column(batch, "row_key").slice(a, b - a)],
+                    [by, "n_words", "n_hit", "items", "spans", "row_key"])
 
     kind = dict(docs.dtypes)[by]
     return docs.select(by, "text", row_key(by).alias("row_key")).mapInArrow(
-        run, f"{by} {kind}, n_words long, n_hit long, items array<string>, spans array<struct<item_id:string,item_word:long,word:long,n_words:long>>, row_key string, hits array<long>")
+        run, f"{by} {kind}, n_words long, n_hit long, items array<string>, spans array<struct<item_id:string,item_word:long,word:long,n_words:long>>, row_key string")
+
+
+def _covered(n: int, pos: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Words inside any of the occurrences at pos, of that many words."""
+    mark = np.zeros(n + 1, np.int64)
+    np.add.at(mark, pos, 1)
+    np.add.at(mark, pos + size, -1)
+    return np.cumsum(mark[:-1]) > 0
+
+
+def _spans(tests: Tests, pos: np.ndarray, which: np.ndarray, rows: np.ndarray, first: np.ndarray):
+    """(row, longest verbatim match) of the occurrences: windows of an item that follow one another are one match."""
+    many = (tests.cut[1:] - tests.cut[:-1])[which]
+    flat = np.repeat(tests.cut[which], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    p, item, off, size = np.repeat(pos, many), tests.owner[flat], tests.at[flat], np.repeat(tests.size[which], many)
+    row = rows[p]
+    order = np.lexsort((p, p - off, item, row))
+    p, item, off, size, row = p[order], item[order], off[order], size[order], row[order]
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | ((p - off)[1:] != (p - off)[:-1]) | (p[1:] != p[:-1] + 1)])
+    at = np.flatnonzero(new)
+    for s, e in zip(at, np.append(at[1:], len(p)) - 1):
+        yield int(row[s]), {"item_id": tests.ids[item[s]], "item_word": int(off[s]), "word": int(p[s] - first[row[s]]), "n_words": int(p[e] - p[s] + size[e])}
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -193,5 +189,4 @@ def flagged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows whose text has a hit word; columns as they were."""
-    hit = [_scan_block(docs, items, window, "doc_id").where("n_hit > 0").select(F.col("row_key").alias("__row")) for _, items in _blocks(benchmark)]
-    return without(docs, reduce(DataFrame.unionByName, hit))
+    return without(docs, _scan(docs, benchmark, window, "doc_id").where("n_hit > 0").select(F.col("row_key").alias("__row")))

@@ -72,3 +72,11 @@ def test_empty_tables_and_clean(spark):
     left = decontam.clean(docs, benchmark(spark, ITEMS))
     assert left.columns == docs.columns
     assert {r.doc_id for r in left.collect()} == {i for i, v in brute(cases(), ITEMS).items() if not v[4]}
+
+
+def test_documents_are_read_once_for_any_number_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 150)
+    items = spark.createDataFrame([(k, words(k, 30)) for k in range(40)], "item_id long, text string")
+    docs = documents(spark, {k: words(k, 60) for k in range(20)})
+    plan = decontam.scan(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
