@@ -119,9 +119,10 @@ def _unpacked(u: DataFrame) -> DataFrame:
 
 
 def _around(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """side, pos, words, places for each asked (row, side, pos): the at most MOST words before (side 0, nearest
-    first) or after (side 1) a place in the row's text, and where each begins (0) or ends (1)."""
+    """side, pos, words, places for each asked (row, side, pos): 32-bit hashes of the at most MOST words before (side 0, nearest
+    first) or after (side 1) a place in the row's text, and how far from it each begins (0) or ends (1)."""
     def run(batches):
+        import zlib
         for batch in batches:
             out = []
             keys = list(zip(*(column(batch, c).to_pylist() for c in ROW)))
@@ -131,13 +132,13 @@ def _around(rows: DataFrame, asked: DataFrame) -> DataFrame:
                 for ask in asks:
                     k = int(np.searchsorted(begins, ask["pos"]))
                     near = found[max(k - MOST, 0): k][::-1] if ask["side"] == 0 else found[k: k + MOST]
-                    out.append((*key, ask["side"], ask["pos"], [f[2].decode() for f in near], [f[ask["side"]] for f in near]))
+                    out.append((*key, ask["side"], ask["pos"], [zlib.crc32(f[2]) - (1 << 31) for f in near], [abs(f[ask["side"]] - ask["pos"]) for f in near]))
             cols = list(zip(*out)) or [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [*ROW, "side", "pos", "words", "places"])
 
     asks = asked.distinct().groupBy(*ROW).agg(F.collect_list(F.struct("side", "pos")).alias("asks"))
-    answers = rows.join(asks, ROW).mapInArrow(run, "did long, th long, side long, pos long, words array<string>, places array<long>")
+    answers = rows.join(asks, ROW).mapInArrow(run, "did long, th long, side long, pos long, words array<int>, places array<int>")
     return answers.dropDuplicates([*ROW, "side", "pos"])  # repeated rows answer twice
 
 
@@ -175,7 +176,8 @@ def repeated(docs: DataFrame, least_passage: int = LEAST_PASSAGE, least_run: int
     around = stored(_around(rows, asked), f"{folder}/around")
     j = runs
     for k, (key, pos, side) in enumerate(places):
-        a = around.where(F.col("side") == side).select(*(F.col(c).alias(f"{c}{k}") for c in (*ROW, "pos")), F.col("words").alias(f"words{k}"), F.col("places").alias(f"places{k}"))
+        own = [F.col("places").alias(f"places{k}")] if key is ROW else []
+        a = around.where(F.col("side") == side).select(*(F.col(c).alias(f"{c}{k}") for c in (*ROW, "pos")), F.col("words").alias(f"words{k}"), *own)
         on = F.col(pos) == F.col(f"pos{k}")
         for x, c in zip(key, ROW):
             on = on & (F.col(x) == F.col(f"{c}{k}"))
@@ -184,8 +186,8 @@ def repeated(docs: DataFrame, least_passage: int = LEAST_PASSAGE, least_run: int
     same = lambda a, b: F.array_position(F.array_append(F.zip_with(F.slice(a, 1, F.least(F.size(a), F.size(b))), b, lambda x, y: x.eqNullSafe(y)), F.lit(False)), False) - 1
     j = j.withColumn("left", same("words0", "words1")).withColumn("right", same("words2", "words3")).withColumn("n_words", F.col("n_words") + F.col("left") + F.col("right"))
     passages = j.where(F.col("n_words") >= least_passage).select(
-        *ROW, F.lit(CHUNK).cast("long").alias("kind"), F.when(F.col("left") > 0, F.get("places0", (F.col("left") - 1).cast("int"))).otherwise(F.col("start")).alias("start"),
-        F.when(F.col("right") > 0, F.get("places2", (F.col("right") - 1).cast("int"))).otherwise(F.col("end")).alias("end"), "n_words",
+        *ROW, F.lit(CHUNK).cast("long").alias("kind"), F.when(F.col("left") > 0, F.col("start") - F.get("places0", (F.col("left") - 1).cast("int"))).otherwise(F.col("start")).alias("start"),
+        F.when(F.col("right") > 0, F.col("end") + F.get("places2", (F.col("right") - 1).cast("int"))).otherwise(F.col("end")).alias("end"), "n_words",
         F.col("head.did").alias("keeper"))
     return lines.unionByName(passages)
 
