@@ -2,7 +2,7 @@
 
 The seven input tables are derived from the driver's parquet files and
 materialised once (as a production deployment would have them stored:
-snapshot partitioned by day, event tables sorted by time) into a fresh folder
+by day, payments a second time by their own day) into a fresh folder
 under ``spark.checkpoint.dir``; that step is timed as ``materialize``.  Each
 query is then timed end to end (plan + full execution into Spark's ``noop``
 sink).  Prints one JSON line.
@@ -70,7 +70,8 @@ def main() -> None:
         s = time.time()
         # run the whole plan; the noop sink discards rows instead of shipping
         # them to Python (row-level outputs would otherwise time the transfer)
-        with tables.reusing() as t:
+        # the reports keep what several of their KPIs share; a single KPI uses everything once
+        with tables.reusing() if name.endswith(("_report", "_4weeks")) else tables as t:
             fn(t).write.mode("overwrite").format("noop").save()
         times[name] = round(time.time() - s, 3)
     total = round(sum(times.values()), 3)

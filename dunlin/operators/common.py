@@ -76,7 +76,7 @@ def calls_in_periods(t: Tables, periods: Periods, references, subcategory=None,
         *KEY, AS_OF, "call_id", "call_at", "mobile",
         phone10("mobile").alias("phone10"),
         flag("is_apc").alias("apc"), flag("is_rpc").alias("rpc"), flag("is_ptp").alias("ptp"),
-        "is_apc", "agent", "reference", "subcategory",
+        "is_apc", "agent", "reference", "subcategory", "campaign", "agent_group", "employee_id", "connected", "not_connected", "call_result",
     )
 
 

@@ -54,7 +54,7 @@ def reminder_call_contact_rate(t: Tables, periods: Periods, rules: Rules = DEFAU
 
 def welcome_call_detail(t: Tables, periods: Periods, rules: Rules = DEFAULT) -> DataFrame:
     """Call-level rows behind the welcome-call rate (the reconciliation
-    extract): the winning leg of every eligible call with its flags."""
+    extract): the winning leg of every eligible call with its flags, campaign, agent and outcome."""
     top = last_leg(_eligible_calls(t, periods, "WC", rules))
     return top.select(
         *KEY, "call_id", "call_at", F.col("phone10").alias("mobileNumber"),
@@ -62,7 +62,7 @@ def welcome_call_detail(t: Tables, periods: Periods, rules: Rules = DEFAULT) ->
         F.when(F.col("apc") == 1, F.col("phone10")).alias("apc_m"),
         F.when(F.col("rpc") == 1, F.col("phone10")).alias("rpc_m"),
         F.when(F.col("ptp") == 1, F.col("phone10")).alias("ptp_m"),
-        "agent",
+        "campaign", "agent_group", "agent", "employee_id", "connected", "not_connected", "call_result",
     )
 
 

@@ -29,6 +29,11 @@ CALLS = T.StructType([
     T.StructField("is_apc", T.IntegerType()),
     T.StructField("is_rpc", T.IntegerType()),
     T.StructField("is_ptp", T.IntegerType()),
+    T.StructField("agent_group", T.StringType()),
+    T.StructField("employee_id", T.StringType()),
+    T.StructField("connected", T.IntegerType()),
+    T.StructField("not_connected", T.IntegerType()),
+    T.StructField("call_result", T.StringType()),
 ])
 
 CAMPAIGN_MASTER = T.StructType([

@@ -71,6 +71,12 @@ def calls(events: DataFrame) -> DataFrame:
         F.when(e % 13 == 0, F.lit(None)).otherwise((v > 20).cast("int")).cast("int").alias("is_apc"),
         (v > 40).cast("int").alias("is_rpc"),
         (v > 60).cast("int").alias("is_ptp"),
+        # columns of the detail extract, which the fixture's rules leave open
+        F.concat(F.lit("Group "), (e % 4).cast("string")).alias("agent_group"),
+        F.concat(F.lit("E"), F.lpad((e % 40).cast("string"), 4, "0")).alias("employee_id"),
+        (v > 10).cast("int").alias("connected"),
+        (v <= 10).cast("int").alias("not_connected"),
+        F.when(v > 60, "PTP").when(v > 40, "RPC").when(v > 20, "Answered").when(v > 10, "Voicemail").otherwise("No answer").alias("call_result"),
     )
 
 

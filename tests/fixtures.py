@@ -24,7 +24,7 @@ def loan(acct, cust, mobile, status="Normal", disb=TS(2023, 1, 1), flag=1):
 
 
 def call(cid, at, mobile, campaign="SIGNUP", apc=1, rpc=0, ptp=0, agent="A"):
-    return (cid, at, mobile, campaign, agent, apc, rpc, ptp)
+    return (cid, at, mobile, campaign, agent, apc, rpc, ptp, "G", "E1", apc, None if apc is None else 1 - apc, None)
 
 
 def snap(acct, day, dpd, status="In Arrears", out="100.00", od="10.00", first_due=D(2023, 12, 1)):
