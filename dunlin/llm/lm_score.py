@@ -26,8 +26,8 @@ STATES = 4
 CLASSES = 1 << 14  # at most 65,535, as they are stored in two bytes
 MOST_ROUNDS, LEAST_GAIN = 8, 1e-3  # Baum-Welch rounds, and the relative gain in log likelihood below which they end
 KNOWN_WORDS = 1 << 17  # counts sent to the tasks; all other words are joined
-LONG = 1024  # tokens beyond which a text waits for others like it
-POOL = 1 << 19  # tokens of such texts that take their steps together
+LONG = 1024  # tokens beyond which a text takes its steps with others like it
+POOL = 1 << 20  # tokens of texts that take their steps together
 LONGEST = 1 << 14  # tokens beyond which a text is cut into blocks
 LONGEST_SCORED = 1 << 12  # the same where texts are scored, slice by slice
 BLOCK = 64  # tokens of a block's transfer matrix
@@ -44,6 +44,10 @@ class Model:
     def __init__(self, pi: np.ndarray, step: np.ndarray, emit: np.ndarray):
         self.pi, self.step, self.emit = pi, step, emit  # (S), (S, S), (CLASSES + 1, S)
 
+    def single(self) -> "Model":
+        """In single precision: enough for the expected counts of a round, which are added up in double precision."""
+        return Model(*(x.astype(np.float32) for x in (self.pi, self.step, self.emit)))
+
     @staticmethod
     def start(classes: np.ndarray, states: int) -> "Model":
         """classes: training tokens of each class. Fixed noise tells the states apart."""
@@ -78,9 +82,10 @@ class SideBySide:
         m, s = self.m, len(self.m.pi)
         emit = m.emit[self.obs]
         k0 = int(self.active[0]) if len(self.active) else 0
-        logp, a = np.zeros(k0), np.empty((k0, s))
+        kind = emit.dtype
+        logp, a = np.zeros(k0), np.empty((k0, s), kind)
         if keep:
-            self.emit, self.alpha, self.scale = emit, np.empty((len(self.obs), s)), np.empty(len(self.obs))
+            self.emit, self.alpha, self.scale = emit, np.empty((len(self.obs), s), kind), np.empty(len(self.obs), kind)
         for t, (at, k) in enumerate(zip(self.at.tolist(), self.active.tolist())):
             a = (a[:k] @ m.step if t else np.broadcast_to(m.pi, (k, s))) * emit[at: at + k]
             c = a.sum(1)
@@ -94,7 +99,7 @@ class SideBySide:
         """Expected (class, state), transition and start counts, and the log likelihood."""
         logp = self.forward(keep=True)
         m, s = self.m, len(self.m.pi)
-        beta, cross = np.ones((len(self.obs), s)), np.zeros((s, s))
+        beta, cross = np.ones((len(self.obs), s), self.emit.dtype), np.zeros((s, s))
         self.emit /= self.scale[:, None]
         for t in range(len(self.active) - 1, 0, -1):
             at, k, before = int(self.at[t]), int(self.active[t]), int(self.at[t - 1])
@@ -103,7 +108,7 @@ class SideBySide:
             beta[before: before + k] = v @ m.step.T
         gamma = self.alpha * beta
         counts = np.stack([np.bincount(self.obs, weights=gamma[:, z], minlength=len(m.emit)) for z in range(s)], 1)
-        pi = gamma[: int(self.active[0])].sum(0) if len(self.active) else np.zeros(s)
+        pi = gamma[: int(self.active[0])].sum(0, dtype=np.float64) if len(self.active) else np.zeros(s)
         return counts, m.step * cross, pi, float(logp.sum())
 
 
@@ -248,33 +253,30 @@ def _split(obs: np.ndarray, n_tok: np.ndarray, limit: int):
 
 
 def class_numbers(texts: DataFrame, classes: int) -> DataFrame:
-    """The classes of all tokens: a row for each slice of texts and for each pool of long ones, step by step (two bytes
+    """The classes of all tokens: rows of about POOL tokens of short or of long texts, step by step (two bytes
     a token) with the number of texts at each step; the longest texts one after another with their sizes."""
-    def row(obs, n, long_obs=np.zeros(0, np.int64), long_n=np.zeros(0, np.int64)):
+    def row(waiting):
+        obs, n = (np.concatenate(x) for x in zip(*waiting))
+        obs, n, long_obs, long_n, _ = _split(obs, n, LONGEST)
         steps, active, _ = step_by_step(obs, n)
         parts = [steps.astype("<u2"), active.astype("<i4"), long_obs.astype("<u2"), long_n.astype("<i4")]
         return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["obs", "active", "long_obs", "long_n"])
 
-    def pooled(waiting):
-        obs, n = (np.concatenate(x) for x in zip(*waiting))
-        return row(*_split(obs, n, LONGEST)[:4])
-
     def run(batches):
-        hasher, waiting, held = Hasher(space_words()), [], 0
+        hasher, pools = Hasher(space_words()), ([], [])
         for batch in batches:
             data, offs = text_buffer(column(batch, "text"))
             for a, b in slices(offs, SLICE, SLICE_ROWS):
                 h, rows, n = _tokens(hasher, data, offs, a, b)
                 short, n_short, long_, n_long, _ = _split(_observed(h, rows, n, classes), n + 1, LONG)
-                yield row(short, n_short)
-                if len(n_long):
-                    waiting.append((long_, n_long))
-                    held += len(long_)
-                if held >= POOL:
-                    yield pooled(waiting)
-                    waiting, held = [], 0
-        if waiting:
-            yield pooled(waiting)
+                for pool, part in zip(pools, ((short.astype(np.uint16), n_short), (long_.astype(np.uint16), n_long))):
+                    pool.append(part)
+                    if sum(len(x) for x, _ in pool) >= POOL:
+                        yield row(pool)
+                        pool.clear()
+        for pool in pools:
+            if pool:
+                yield row(pool)
 
     return texts.select("text").mapInArrow(run, "obs binary, active binary, long_obs binary, long_n binary")
 
@@ -302,12 +304,12 @@ def expected_counts(slices_: DataFrame, model: Model, classes: int):
     sent = slices_.sparkSession.sparkContext.broadcast(model)  # (CLASSES + 1) x STATES numbers
 
     def run(batches):
-        m = sent.value
+        m, short = sent.value, sent.value.single()
         total, xi, pi, ll = np.zeros((classes + 1, states)), np.zeros((states, states)), np.zeros(states), 0.0
         for batch in batches:
             for row in zip(*(column(batch, c).to_pylist() for c in ("obs", "active", "long_obs", "long_n"))):
                 obs, active, long_, n = (np.frombuffer(x, t).astype(np.int64) for x, t in zip(row, ("<u2", "<i4", "<u2", "<i4")))
-                found = [SideBySide(m, obs, active).expect()] if len(active) else []
+                found = [SideBySide(short, obs, active).expect()] if len(active) else []
                 if len(n):
                     found.append(Recursion(m, long_, n).expect())
                 for c, x, p, one in found:

@@ -104,3 +104,32 @@ def test_every_round_reads_all_training_texts(spark, monkeypatch):
     assert L.score(documents(spark, texts), classes=16).count() == len(texts)
     assert set(read) == {sum(zlib.crc32(str(i).encode()) % 10 > 0 for i in texts)}
     assert 2 <= len(read) <= L.MOST_ROUNDS and gains == sorted(gains)
+
+
+def test_texts_side_by_side_equal_texts_in_blocks():
+    rng = np.random.default_rng(5)
+    emit = rng.random((201, 4))
+    m = L.Model(rng.dirichlet(np.ones(4)), rng.dirichlet(np.ones(4), 4), emit / emit.sum(0))
+    n = np.array([1, 900, 3, 64, 65, 1, 300, 2])
+    obs = rng.integers(0, 201, n.sum())
+    want, logp = L.Recursion(m, obs, n).expect(), L.Recursion(m, obs, n).forward()
+    steps, active, order = L.step_by_step(obs, n)
+    assert np.allclose(L.SideBySide(m, steps, active).forward(), logp[order])
+    for model, near in ((m, 1e-9), (m.single(), 1e-3)):
+        got = L.SideBySide(model, steps, active).expect()
+        assert all(np.allclose(a, b, rtol=near, atol=near) for a, b in zip(got, want))
+    assert np.allclose(L.log_likelihood(m, obs, n), logp)
+
+
+def test_long_texts_wait_for_one_another(spark, monkeypatch):
+    monkeypatch.setattr(L, "LONG", 20)
+    monkeypatch.setattr(L, "POOL", 300)
+    monkeypatch.setattr(L, "LONGEST", 120)
+    texts = {k: words(k, n, 60) for k, n in enumerate([5, 30, 19, 20, 21, 200, 119, 120, 121, 60, 70, 80, 90, 1, 0, 400])}
+    df = documents(spark, texts, parts=1)
+    rows = L.class_numbers(df, 64).collect()
+    got = sum(int(np.frombuffer(r.active, "<i4")[:1].sum()) + len(r.long_n) // 4 for r in rows)
+    assert got == len(texts) and sum(len(r.obs) // 2 + len(r.long_obs) // 2 for r in rows) == sum(len((t or "").split()) + 1 for t in texts.values())
+    m = L.Model.start(np.ones(65), 4)
+    counts, xi, pi, ll = L.expected_counts(L.class_numbers(df, 64), m, 64)
+    assert round(pi.sum()) == len(texts) and abs(counts.sum() - sum(len(t.split()) + 1 for t in texts.values())) < 1e-2
