@@ -1,15 +1,15 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one per shard.
 
 Equal vectors form a class and are indexed once.  Classes are dealt to shards of
-bounded size by the size of their norm (a factor of two) and a hash, so one very long vector does not flatten the
-distances between the others.  In a shard, greedy searches propose neighbours for every
+bounded size by the size of their norm (a factor of 2^(1/16)) and a hash.  In a shard, greedy searches propose neighbours for every
 node, and relaxed distance pruning keeps diverse edges (two rounds, the second with a
 larger relaxation); the graph is stored.  Queries visit every shard in blocks of bounded
-size; a beam search walks the shard's graph, and the best of all shards are merged.
+size; a beam search walks the shard's graph from nodes far apart, and the best of all shards are merged.
 
 Nearness is the inner product.  Graphs are built on the vectors over M, the shard's largest norm, with one more
-coordinate, sqrt(1 - |x/M|^2), which turns it into a Euclidean distance.  What the beam found is ranked by
-the inner products of the original vectors in double precision.
+coordinate, sqrt(1 - |x/M|^2), which turns it into a Euclidean distance.  Bands are narrow, so that this coordinate
+stays small: where it is large, neighbours in the graph are not those of queries.  A query's beam is longer than the
+builder's.  What the beam found is ranked by the inner products of the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -24,12 +24,15 @@ from dunlin.llm.shared import shared_dir, stored
 SHARD = 16384  # classes of a shard
 BLOCK = 16384  # queries that visit a shard together
 SMALL = 256  # classes of a shard that are all compared
-DEGREE, BEAM, WIDTH = 24, 64, 4  # edges of a node, length of the beam, nodes expanded together
+DEGREE, BEAM, WIDTH = 24, 64, 4  # edges of a node, length of the builder's beam, nodes expanded together
+QUERY_BEAM, QUERY_WIDTH = 256, 16  # of a query
+BANDS, ENTRIES = 16, 32  # bands of norms to a factor of two, nodes where searches start
 RELAX = (1.0, 1.2)
 
 
-def search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int = BEAM):
-    """(m, beam) node numbers and squared distances (nearest first; -1 and inf where there are fewer)."""
+def search(x: np.ndarray, graph: np.ndarray, start: np.ndarray, queries: np.ndarray, beam: int = BEAM, width: int = WIDTH):
+    """(m, beam) node numbers and squared distances (nearest first; -1 and inf where there are fewer), walking from
+    the nodes ``start``, of which there are no more than ``beam``."""
     m, n = len(queries), len(x)
     ids = np.full((m, beam), -1, np.int64)
     dist = np.full((m, beam), np.inf, np.float32)
@@ -37,15 +40,17 @@ def search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, be
     seen = np.zeros((m, n + 1), bool)
     seen[:, n] = True  # stands for a missing edge
     norm, qn = (x * x).sum(1), (queries * queries).sum(1)
-    ids[:, 0], open_[:, 0], seen[:, start] = start, True, True
-    dist[:, 0] = norm[start] + qn - 2 * queries @ x[start]
+    first = norm[start] + qn[:, None] - 2 * queries @ x[start].T
+    order = np.argsort(first, 1, kind="stable")
+    ids[:, : len(start)], open_[:, : len(start)], seen[:, start] = start[order], True, True
+    dist[:, : len(start)] = np.take_along_axis(first, order, 1)
     rows = np.arange(m)[:, None]
     while True:
         live = open_.any(1)
         if not live.any():
             return ids, dist
         r = np.flatnonzero(live)
-        pick = np.argsort(~open_[r], axis=1, kind="stable")[:, :WIDTH]
+        pick = np.argsort(~open_[r], axis=1, kind="stable")[:, :width]
         nodes = np.where(np.take_along_axis(open_[r], pick, 1), np.take_along_axis(ids[r], pick, 1), -1)
         op = open_[r]
         np.put_along_axis(op, pick, False, 1)
@@ -91,11 +96,22 @@ def robust_prune(x: np.ndarray, node: np.ndarray, cand: np.ndarray, alpha: float
     return out
 
 
-def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM) -> tuple[np.ndarray, int]:
-    """(n, degree) graph over the rows of x and the node where searches start."""
+def entries(x: np.ndarray, many: int = ENTRIES) -> np.ndarray:
+    """The row nearest to the mean, then each time the row farthest from those before, so groups apart from the others have one too."""
+    out = [int(((x - x.mean(0)) ** 2).sum(1).argmin())]
+    far = ((x - x[out[0]]) ** 2).sum(1)
+    while len(out) < min(many, len(x)):
+        out.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[out[-1]]) ** 2).sum(1))
+        far[out] = -1
+    return np.array(out)
+
+
+def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """(n, degree) graph over the rows of x and the nodes where searches start."""
     n = len(x)
     rng = np.random.default_rng(7)
-    start = int(((x - x.mean(0)) ** 2).sum(1).argmin())
+    start = entries(x)
     graph = rng.integers(0, n, (n, degree))
     graph[graph == np.arange(n)[:, None]] = -1
     for alpha in RELAX:
@@ -139,10 +155,10 @@ def lifted(v: np.ndarray) -> np.ndarray:
 
 
 def band(v):
-    """floor(log2) of the norm: vectors of a band differ by less than a factor of two in length."""
+    """floor(BANDS * log2) of the norm: vectors of a band differ by less than a factor of 2^(1/BANDS) in length."""
     most = F.array_max(F.transform(v, F.abs))
     part = F.aggregate(v, F.lit(0.0), lambda a, c: a + (c / most) * (c / most))
-    return F.floor(F.log2(most) + F.log2(part) / 2).cast("int")
+    return F.floor((F.log2(most) + F.log2(part) / 2) * BANDS).cast("int")
 
 
 def _vectors(col) -> np.ndarray:
@@ -171,7 +187,7 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, vec: str = "embeddin
         "c2", F.xxhash64(F.lit(1), "v")).withColumn("dim", F.size("v")).withColumn("band", band("v"))
     rows = stored(rows, f"{folder}/rows")
     classes = rows.groupBy("dim", "c1", "c2").agg(F.min("vec_id").alias("cid"), F.first("band").alias("band"))
-    # a row for each length that occurs and each band of norms, of which doubles have 2,200
+    # a row for each length that occurs and each band of norms, of which doubles have 35,000
     shards = classes.groupBy("dim", "band").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("parts"))
     shards = stored(shards, f"{folder}/shards")
     part = F.pmod(F.xxhash64(F.lit(3), "c1", "c2"), F.col("parts")).cast("int")
@@ -188,7 +204,7 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, vec: str = "embeddin
         table = table.take(pa.array(order))
         graph, start = build(lifted(_vectors(table.column("v"))))
         return table.append_column("edges", pa.array(list(graph.astype(np.int32)), pa.list_(pa.int32()))).append_column(
-            "start", pa.array(np.arange(len(cid)) == start)).select(["dim", "shard", "cid", "v", "edges", "start"])
+            "start", pa.array(np.isin(np.arange(len(cid)), start))).select(["dim", "shard", "cid", "v", "edges", "start"])
 
     graphs = stored(firsts.groupBy("dim", "shard").applyInArrow(
         index, "dim int, shard struct<band: int, part: int>, cid long, v array<double>, edges array<int>, start boolean"), f"{folder}/graphs")
@@ -208,7 +224,7 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, vec: str = "embeddin
         v, cid = _vectors(right.column("v")), right.column("cid").to_numpy()
         x = lifted(v)
         graph = np.array(right.column("edges").to_pylist(), np.int64)
-        start = int(np.flatnonzero(right.column("start").to_numpy())[0])
+        start = np.flatnonzero(right.column("start").to_numpy(zero_copy_only=False))
         qid, q = left.column("vec_id").to_numpy(), _vectors(left.column("v"))
         out = []
         for a in range(0, len(q), 512):
@@ -216,7 +232,7 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, vec: str = "embeddin
             if len(x) <= SMALL:
                 ids = np.broadcast_to(np.arange(len(x)), (len(part), len(x)))
             else:
-                ids, _ = search(x, graph, start, np.concatenate([unit(part), np.zeros((len(part), 1))], 1).astype(np.float32))
+                ids, _ = search(x, graph, start, np.concatenate([unit(part), np.zeros((len(part), 1))], 1).astype(np.float32), QUERY_BEAM, QUERY_WIDTH)
             score = np.einsum("mkd,md->mk", v[np.maximum(ids, 0)], part)
             score[ids < 0] = -np.inf
             names = cid[np.maximum(ids, 0)]

@@ -88,3 +88,17 @@ def test_fewer_classes_than_the_beam(spark):
     rows = [(i, rng.normal(size=4)) for i in range(12)] + [(20 + i, [1.0, 0, 0, 0]) for i in range(3)]
     got, want = ann.nearest(table(spark, rows)).collect(), brute(rows)
     assert {q: [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] for q in want} == {q: [i for _, i in w] for q, w in want.items()}
+
+
+@pytest.mark.parametrize("kind", ["normal", "many lengths", "yes and no", "one direction"])
+def test_recall_on_vectors_without_groups(spark, monkeypatch, kind):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 64))
+    if kind == "many lengths":
+        x *= np.exp(rng.normal(size=(6000, 1)) / 2)
+    elif kind == "yes and no":
+        x = (rng.random((6000, 64)) < 0.3) + 1e-6 * rng.random((6000, 64))
+    elif kind == "one direction":
+        x = 5 + x / 20
+    rows = list(enumerate(x))
+    assert recall(ann.nearest(table(spark, rows)).collect(), brute(rows)) >= 0.95
