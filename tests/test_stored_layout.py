@@ -7,6 +7,7 @@ import uuid
 
 import pytest
 from pyspark.sql import DataFrame
+from pyspark.sql.functions import count, spark_partition_id
 
 from dunlin.operators import contact, migration, ptp, recovery
 from dunlin.sources import stored
@@ -165,6 +166,17 @@ def test_buckets_follow_the_size_of_the_data(plain):
     assert stored.buckets_for(plain) == 1 and stored.buckets_for(plain, rows=day // 4 + 1) == 4
 
 
+def test_a_task_writes_a_bounded_number_of_rows(spark, plain, scratch):
+    flow = plain.bucket_flow.withColumn("day", plain.bucket_flow["bucket_date"])
+    dealt = stored._dealt(flow, "day", 2, rows=flow.count() // 12 + 1)
+    # six pieces of a bucket's days, every bucket of a day in one of them, none much larger than a sixth
+    sizes = [r["n"] for r in dealt.groupBy(spark_partition_id().alias("p")).agg(count("*").alias("n")).collect()]
+    assert len(sizes) == 12 and max(sizes) < 1.3 * sum(sizes) / 12
+    dealt.write.partitionBy("day").bucketBy(2, "loan_account").sortBy("loan_account").option("path", f"{scratch}/flow").saveAsTable(f"t{uuid.uuid4().hex[:10]}")
+    assert len(glob.glob(f"{scratch}/flow/*/*.parquet")) == 62
+    assert stored._dealt(flow, "day", 2, rows=flow.count()).rdd.getNumPartitions() == 2
+
+
 def test_payments_are_stored_by_their_day(by_day, plain):
     by_pay = by_day.by_day["installments", "last_payment_date"]
     assert by_pay.count() == plain.installments.filter("last_payment_date is not null").count()
