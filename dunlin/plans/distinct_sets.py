@@ -1,7 +1,7 @@
 """Distinct counts over many days from stored, mergeable, exact sets.
 
 A dictionary gives every agent and every loan a place: a block of 32,768 numbers and a bit
-in it.  For each day the agents who worked, the loans in work and the accounts that
+in it.  Members that come up on the same first day are given places together, so a day's accounts fill few blocks.  For each day the agents who worked, the loans in work and the accounts that
 started are stored as one bitmap per block.  The count over any set of days is the
 number of bits of the days' bitmaps or-ed block by block, so a yearly report reads a few
 bitmaps a day and neither the calls nor the snapshot, and equals the exact rescan.
@@ -25,6 +25,7 @@ from ..sources.periods import AS_OF, KEY, PE, PS, Periods
 from ..sources.tables import Tables
 
 BLOCK = 32768  # bits of a bitmap, fixed by Spark's bitmap functions
+FILL = 30720  # members that are dealt to a block at a time: hashes deal unevenly, and few should need a second block
 
 # What is counted -> dictionary of its members.
 KINDS = {"FTE": "agent", "active_works": "loan", "total_accounts": "loan"}
@@ -80,19 +81,28 @@ def _stored_ids(spark: SparkSession, path: str) -> DataFrame:
 def extend_dictionary(values: DataFrame, path: str, block: int = BLOCK) -> DataFrame:
     """Give a place to every (dict, value) that has none yet, and return the whole dictionary.
 
-    A value's lane is a hash; its position counts up within the lane, so numbers are dense and no task sees
-    more than a lane.  The number of lanes is chosen when a dictionary starts, so that a lane fills about one block;
-    later values go on in the lane's next blocks."""
+    New values are put in the order of their first ``day`` (if there is such a column) and, within a day, of a hash, and ``block``
+    of them after the other go to each lane; positions count up within the lane, so numbers are dense and no task sees more
+    than a lane.  The number of lanes is chosen when a dictionary starts, so that a lane fills about one block;
+    later values go on in the lanes' next blocks."""
     spark = values.sparkSession
     old = _stored_ids(spark, path)
-    have = {r["dict"]: r.lanes for r in old.groupBy("dict").agg(F.max("lanes").alias("lanes")).collect()}  # a row for each dictionary
-    new = values.distinct().join(old.select("dict", "value"), ["dict", "value"], "left_anti")
-    fresh = {r["dict"]: r.n for r in new.groupBy("dict").agg(F.count(F.lit(1)).alias("n")).collect()}
+    have = {r["dict"]: r for r in old.groupBy("dict").agg(F.max("lanes").alias("lanes"), F.count(F.lit(1)).alias("n")).collect()}  # a row for each dictionary
+    day = F.col("day") if "day" in values.columns else F.lit(None)
+    new = values.groupBy("dict", "value").agg(F.coalesce(F.min(day.cast("date")), F.lit("1970-01-01").cast("date")).alias("first"))
+    new = new.join(old.select("dict", "value"), ["dict", "value"], "left_anti")
+    days = new.groupBy("dict", "first").agg(F.count(F.lit(1)).alias("n"))
+    fresh = {r["dict"]: r.n for r in days.groupBy("dict").agg(F.sum("n").alias("n")).collect()}
     if not fresh:
         return old
-    lanes = {d: have.get(d) or -(-n // block) for d, n in fresh.items()}
-    of = F.create_map(*(F.lit(x) for kv in lanes.items() for x in kv))
-    new = new.withColumn("lanes", of[F.col("dict")].cast("int")).withColumn("lane", F.pmod(F.xxhash64("value"), F.col("lanes")).cast("int"))
+    of = lambda x: F.create_map(*(F.lit(v) for kv in x.items() for v in kv))[F.col("dict")]
+    lanes = {d: have[d].lanes if d in have else -(-n // block) for d, n in fresh.items()}
+    begun = {d: have[d].n if d in have else 0 for d in fresh}
+    before = F.sum("n").over(Window.partitionBy("dict").orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
+    days = days.withColumn("begin", F.coalesce(before, F.lit(0)) + of(begun))
+    place = F.col("begin") + F.pmod(F.xxhash64("value"), F.col("n"))
+    new = new.join(F.broadcast(days), ["dict", "first"])  # a row for each dictionary and day
+    new = new.withColumn("lanes", of(lanes).cast("int")).withColumn("lane", F.pmod(F.floor(place / block), F.col("lanes")).cast("int"))
     used = old.groupBy("dict", "lane").agg((F.max("pos") + 1).alias("used"))
     nth = F.row_number().over(Window.partitionBy("dict", "lane").orderBy("value")) - 1
     new = new.join(used, ["dict", "lane"], "left").withColumn("pos", (nth + F.coalesce("used", F.lit(0))).cast("long"))
@@ -104,15 +114,24 @@ def build(t: Tables, periods: Periods, root: str) -> DistinctSets:
     """Store the sets of the days between the periods' first and last below ``root`` (a shared folder), beside those already there.
 
     Accounts are stored anew, as one part: a loan that was closed since is no account any more.
-    A day of agents or loans in work that is built again replaces itself."""
+    A day of agents or loans in work that is built again replaces itself.
+
+    The members' days are read once and travel as one number for each member and month, whose bits are the days; they become
+    rows of their own only in the task that sets the bits of a block and month."""
     spark = t.calls.sparkSession
-    days = members(t, periods).distinct()
     dicts = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))
-    days = days.withColumn("dict", dicts[F.col("kind")])
-    ids = extend_dictionary(days.select("dict", "value"), f"{root}/ids")
+    months = members(t, periods).groupBy("kind", "value", F.trunc("day", "month").alias("month")).agg(
+        F.bit_or(F.expr("shiftleft(1, dayofmonth(day) - 1)")).alias("days"))
+    months.withColumn("dict", dicts[F.col("kind")]).write.mode("overwrite").parquet(f"{root}/members")
+    months = spark.read.schema("kind string, value string, month date, days int, dict string").parquet(f"{root}/members")
+    first = F.date_add("month", F.bit_count(F.expr("(days & -days) - 1")))  # the lowest bit
+    ids = extend_dictionary(months.select("dict", "value", first.alias("day")), f"{root}/ids", FILL)
     block = F.floor(F.col("pos") / BLOCK) * F.col("lanes") + F.col("lane")
-    sets = (days.join(ids, ["dict", "value"]).groupBy("kind", "day", block.cast("long").alias("block"))
-            .agg(F.bitmap_construct_agg((F.col("pos") % BLOCK).cast("long")).alias("bits")))
+    parts = sum(r.lanes for r in ids.groupBy("dict").agg(F.max("lanes").alias("lanes")).collect()) * len({(d.year, d.month) for s, e, _ in periods.spans for d in (s, e)})
+    sets = months.join(ids, ["dict", "value"]).select("kind", "month", "days", "pos", block.cast("long").alias("block")).repartition(max(parts, 1), "block", "month")
+    sets = sets.withColumn("nth", F.explode(F.filter(F.sequence(F.lit(0), F.lit(30)), lambda i: F.getbit("days", i) == 1)))
+    sets = (sets.groupBy("kind", "month", F.date_add("month", F.col("nth")).alias("day"), "block")
+            .agg(F.bitmap_construct_agg((F.col("pos") % BLOCK).cast("long")).alias("bits")).drop("month"))
     part = F.when(F.col("kind") == "total_accounts", WHOLE).otherwise(F.col("day").cast("string"))
     sets = sets.withColumn("part", part).hint("rebalance", "kind", "part").sortWithinPartitions("kind", "part", "day")
     sets.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "part").parquet(f"{root}/sets")

@@ -81,6 +81,16 @@ def test_small_blocks_and_later_values(spark, scratch):
     assert all(sorted(p) == list(range(len(p))) for p in by_lane.values())
 
 
+def test_accounts_of_a_day_fill_few_blocks(spark, scratch, monkeypatch):
+    monkeypatch.setattr(DS, "FILL", 64)
+    loans = [loan(f"{k}", 1, "6", disb=TS(2023, 1 + k // 250, 1 + k % 250 // 10)) for k in range(1000)]  # ten a day on a hundred days
+    t = make_tables(spark, loans=loans, snapshot=[snap(f"{k}", D(2024, 1, 1 + k % 7), 5) for k in range(1100)])
+    s = DS.build(t, WEEKS, scratch)
+    n = s.sets.filter("kind = 'total_accounts'").count()
+    assert 100 <= n <= 100 + 18  # a day has one block, or two where a block ends
+    assert from_sets(s, WEEKS) == rescan(t, WEEKS)
+
+
 def test_traps(spark, scratch):
     t = make_tables(
         spark,
